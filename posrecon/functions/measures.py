@@ -110,10 +110,13 @@ def within_tolerance(
     return F.when(F.abs(_col(c)) <= tolerance, pass_label).otherwise(fail_label)
 
 
-def exact_sum(c: Column | str) -> Column:
-    """Sum of doubles that does not depend on row order (four decimals kept)."""
-    return F.sum(_col(c).cast("decimal(18,4)")).cast("double")
+def exact_sum(c: Column | str, scale: int = 4) -> Column:
+    """Sum of doubles that does not depend on row order (``scale`` decimals kept)."""
+    return F.sum(_col(c).cast(f"decimal(18,{scale})")).cast("double")
 
 
-def total(c: Column | str, exact: bool = False) -> Column:
-    return exact_sum(c) if exact else F.sum(_col(c))
+def total(c: Column | str, exact: bool | int = False) -> Column:
+    """Plain double sum, or an exact one with 4 (``True``) or the given decimals."""
+    if exact is False:
+        return F.sum(_col(c))
+    return exact_sum(c, 4 if exact is True else exact)

@@ -19,7 +19,7 @@ from posrecon.operators.skew import PAGE_SIZE, SALTS, join_in_pages
 KEYS = ["UPC_CODE", "PRODUCT_DESCRIPTION"]
 
 
-def audit_summary(rows: DataFrame, exact: bool = False) -> DataFrame:
+def audit_summary(rows: DataFrame, exact: bool | int = False) -> DataFrame:
     """Sums per (UPC, description) of one side's row-level output; bad numbers count
     as 0 and rows with a null key are left out."""
     return (
@@ -84,14 +84,14 @@ def upc_agreement(presence: DataFrame) -> DataFrame:
 
     The pairs are counted, not formed: n_bau * n_test - n_shared.
     """
-    n_bau = F.count("BAU Units")
-    n_test = F.count("TEST Units")
+    bau = F.count("BAU Units")
+    test = F.count("TEST Units")
     shared = F.count_if(F.col("Present In") == IN_BOTH)
     return presence.groupBy("UPC_CODE").agg(
-        n_bau.alias("bau_descriptions"),
-        n_test.alias("test_descriptions"),
-        shared.alias("shared_descriptions"),
-        (n_bau * n_test - shared).alias("mismatched_pairs"),
+        bau.alias("n_bau"),
+        test.alias("n_test"),
+        shared.alias("n_shared"),
+        (bau * test - shared).alias("mismatched_pairs"),
         F.sum("BAU Units").alias("BAU_TOTAL_UNITS"),
         F.sum("TEST Units").alias("TEST_TOTAL_UNITS"),
         F.sum("BAU Dollars").alias("BAU_TOTAL_DOLLARS"),
@@ -101,14 +101,12 @@ def upc_agreement(presence: DataFrame) -> DataFrame:
 
 def common_upcs(agreement: DataFrame) -> DataFrame:
     """UPCs that both sides have."""
-    return agreement.where(
-        (F.col("bau_descriptions") > 0) & (F.col("test_descriptions") > 0)
-    )
+    return agreement.where((F.col("n_bau") > 0) & (F.col("n_test") > 0))
 
 
 def disjoint_upcs(agreement: DataFrame) -> DataFrame:
     """UPCs on both sides that share no description."""
-    return common_upcs(agreement).where(F.col("shared_descriptions") == 0)
+    return common_upcs(agreement).where(F.col("n_shared") == 0)
 
 
 def _with_upc(presence: DataFrame, upcs: DataFrame, columns: list[str]) -> DataFrame:
@@ -128,7 +126,7 @@ def description_mismatch(presence: DataFrame, agreement: DataFrame) -> DataFrame
     side's descriptions it differs from. Rows grow with the input; the pairs of a
     UPC are each BAU row with each TEST row of another description.
     """
-    counts = ["bau_descriptions", "test_descriptions"]
+    counts = ["n_bau", "n_test"]
     keys = _with_upc(presence, agreement.where(F.col("mismatched_pairs") > 0), counts)
     in_both = (F.col("Present In") == IN_BOTH).cast("long")
     sides = F.explode(
@@ -138,7 +136,7 @@ def description_mismatch(presence: DataFrame, agreement: DataFrame) -> DataFrame
                     F.lit(side).alias("side"),
                     F.col(f"{side} Units").alias("units"),
                     F.col(f"{side} Dollars").alias("dollars"),
-                    (F.col(f"{other}_descriptions") - in_both).alias("partners"),
+                    (F.col(f"n_{other}") - in_both).alias("partners"),
                 )
                 for side, other in (("BAU", "test"), ("TEST", "bau"))
             ]

@@ -65,7 +65,7 @@ def store_diffs(
 
 
 def store_validation(
-    prod_rows: DataFrame, test_rows: DataFrame, exact: bool = False, ordered: bool = True
+    prod_rows: DataFrame, test_rows: DataFrame, exact: bool | int = False, ordered: bool = True
 ) -> DataFrame:
     """Store comparison straight from canonical store rows."""
     return store_diffs(
@@ -111,7 +111,7 @@ def item_summary(comparison: DataFrame, ordered: bool = True) -> DataFrame:
 
 
 def item_validation(
-    bau_rows: DataFrame, test_rows: DataFrame, exact: bool = False
+    bau_rows: DataFrame, test_rows: DataFrame, exact: bool | int = False
 ) -> tuple[DataFrame, DataFrame]:
     """Comparison and presence summary from canonical item rows."""
     comparison = item_comparison(

@@ -28,7 +28,7 @@ def review_rows(df: DataFrame, config: FormatConfig) -> DataFrame:
 
 
 def file_review(
-    rows: DataFrame, files: DataFrame | None = None, exact: bool = False
+    rows: DataFrame, files: DataFrame | None = None, exact: bool | int = False
 ) -> DataFrame:
     """One row per file from one scan.
 

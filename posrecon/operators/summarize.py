@@ -26,7 +26,7 @@ def _level(level: str) -> tuple[list[str], list[str]]:
 
 
 def summarize(
-    rows: DataFrame, keys: list[str], sums: list[str], exact: bool = False
+    rows: DataFrame, keys: list[str], sums: list[str], exact: bool | int = False
 ) -> DataFrame:
     """``groupBy(keys)`` with a sum per measure. Partial sums form before the shuffle,
     so a hot key costs one partial row per task."""
@@ -34,7 +34,7 @@ def summarize(
 
 
 def summarize_level(
-    rows: DataFrame, level: str, exact: bool = False, ordered: bool = False
+    rows: DataFrame, level: str, exact: bool | int = False, ordered: bool = False
 ) -> DataFrame:
     """Summary of canonical rows. ``ordered`` sorts by key (never for UPC); leave it
     off where a join follows."""
@@ -44,7 +44,7 @@ def summarize_level(
 
 
 def aggregate(
-    df: DataFrame, level: str, config: FormatConfig, exact: bool = False, ordered: bool = True
+    df: DataFrame, level: str, config: FormatConfig, exact: bool | int = False, ordered: bool = True
 ) -> DataFrame:
     """Raw columns to the summary of one level."""
     _level(level)
@@ -52,7 +52,7 @@ def aggregate(
 
 
 def merge_summaries(
-    summaries: list[DataFrame], level: str = "store", exact: bool = False
+    summaries: list[DataFrame], level: str = "store", exact: bool | int = False
 ) -> DataFrame:
     """Add stored summaries together, e.g. a new day's to the running one."""
     if not summaries:
@@ -63,7 +63,7 @@ def merge_summaries(
 
 
 def aggregate_by_rule(
-    rows: DataFrame, rule: ValidationRule, level: str, exact: bool = False
+    rows: DataFrame, rule: ValidationRule, level: str, exact: bool | int = False
 ) -> DataFrame:
     """Group and sum by the rule's columns, or by the level's where it names none."""
     keys, sums = _level(level)
@@ -75,7 +75,7 @@ def aggregate_by_rule(
     )
 
 
-def two_level_summary(sales: DataFrame, exact: bool = False) -> DataFrame:
+def two_level_summary(sales: DataFrame, exact: bool | int = False) -> DataFrame:
     """Store and item sums from one pass over sales rows.
 
     Grouping sets feed both groupings from the same scan; :func:`store_part` and

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from posrecon.config import as_layout
 from posrecon.functions.text import slice_field, split_literal
-from posrecon.sources.lines import VALUE, as_paths, first_lines
+from posrecon.sources.lines import BLOCK, SEQ, VALUE, as_paths, first_lines
 from posrecon.sources.records import record_body
 from posrecon.sources.transactions import read_transactions
 
@@ -87,7 +87,8 @@ def preview_transactions(
     trailer_prefix: str | None = None,
     trailer_layout=None,
 ) -> DataFrame:
-    return read_transactions(
+    rows = read_transactions(
         spark, as_paths(paths)[0], header_prefix, header_layout, detail_layout,
-        trailer_prefix, trailer_layout,
-    ).limit(n_rows)
+        trailer_prefix, trailer_layout, with_position=True,
+    )
+    return rows.orderBy(BLOCK, SEQ).limit(n_rows).drop(BLOCK, SEQ)

@@ -44,13 +44,15 @@ def read_transactions(
     trailer_layout=None,
     encoding: str = "cp1252",
     with_file: bool = False,
+    with_position: bool = False,
 ) -> DataFrame:
     """Details with their header's fields and, given a trailer, its fields.
 
     A detail field wins over a header field of the same name, a trailer field over
     both. Details before any header, or between a trailer and the next header, are
     dropped. Without ``trailer_prefix`` a trailer line counts as a detail. Details
-    after the last trailer have null trailer fields.
+    after the last trailer have null trailer fields. ``with_position`` keeps the
+    columns that order the rows inside a file.
     """
     headers, details = as_layout(header_layout), as_layout(detail_layout)
     trailers = as_layout(trailer_layout) if trailer_prefix else []
@@ -110,7 +112,9 @@ def read_transactions(
 
     names = list(dict.fromkeys([f.field for f in headers + details + trailers]))
     return rows.select(
-        *[value(n) for n in names], *([F.col(FILE)] if with_file else [])
+        *[value(n) for n in names],
+        *([F.col(FILE)] if with_file else []),
+        *([F.col(BLOCK), F.col(SEQ)] if with_position else []),
     )
 
 

@@ -27,11 +27,17 @@ def read_fixed_width(
     records. Without ``start_line`` the scan is a pure map over splits; with it,
     lines are numbered per (file, block) first.
     """
+    lines = read_lines(spark, paths, encoding, ordered=start_line > 0)
+    return cut_fields(skip_lines(lines, start_line), layout, record_type, with_file)
+
+
+def cut_fields(
+    lines: DataFrame, layout, record_type: str | None = None, with_file: bool = False
+) -> DataFrame:
+    """Layout fields of lines that are already read."""
     fields = as_layout(layout)
     if not fields:
         raise ValueError("a fixed-width file needs a layout")
-    lines = read_lines(spark, paths, encoding, ordered=start_line > 0)
-    lines = skip_lines(lines, start_line)
     if record_type:
         lines = lines.where(F.startswith(F.col(VALUE), F.lit(record_type)))
     return lines.select(

@@ -42,10 +42,22 @@ def read_records(
     Without names the width is that of the widest row (one extra pass) and columns
     are called ``Column_0``, ``Column_1``, ... Short rows are padded with ``""``.
     """
+    return split_records(
+        read_lines(spark, paths, encoding), record_types, delimiter, column_names, with_file
+    )
+
+
+def split_records(
+    lines: DataFrame,
+    record_types: Iterable[str] | None = None,
+    delimiter: str = "|",
+    column_names: list[str] | None = None,
+    with_file: bool = False,
+) -> DataFrame:
+    """Record rows of lines that are already read."""
     types = list(record_types or DEFAULT_RECORD_TYPES)
     cells = (
-        read_lines(spark, paths, encoding)
-        .select(record_body(F.col(VALUE), types, delimiter).alias("__body"), FILE)
+        lines.select(record_body(F.col(VALUE), types, delimiter).alias("__body"), FILE)
         .where(F.col("__body") != "")
         .select(split_literal(F.col("__body"), delimiter).alias(_CELLS), FILE)
     )

@@ -9,7 +9,7 @@ from posrecon.config import FormatConfig
 from posrecon.functions.text import decode_bytes
 from posrecon.operators.summarize import aggregate
 from posrecon.sources.fixed import cut_fields
-from posrecon.sources.lines import VALUE
+from posrecon.sources.lines import FILE, VALUE
 from posrecon.sources.records import split_records
 
 
@@ -35,7 +35,8 @@ def stream_summary(
         )
     else:
         lines = spark.readStream.text(folder).select(
-            decode_bytes(F.col("value").cast("binary"), config.encoding).alias(VALUE)
+            decode_bytes(F.col("value").cast("binary"), config.encoding).alias(VALUE),
+            F.col("_metadata.file_path").alias(FILE),
         )
         if config.file_type == "fixed":
             raw = cut_fields(lines, config.layout, config.record_type)

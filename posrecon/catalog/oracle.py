@@ -52,6 +52,11 @@ d as (select *, units_prod - units_test as units_diff, dollars_prod - dollars_te
              {_pct('dollars_prod', 'dollars_test')} as sales_pct from j)
 """
 
+_STORE_VIEW = f"""{_STORE_DIFFS}
+select store, units_prod, dollars_prod, units_test, dollars_test,
+  round(units_diff, 4) as units_diff, round(sales_diff, 4) as sales_diff,
+  round(units_pct, 6) as units_diff_pct, round(sales_pct, 6) as sales_diff_pct from d"""
+
 _PRESENT = (
     "case when b.units is null then 'Present only in TEST' "
     "when t.units is null then 'Present only in BAU' else 'Present in Both' end"
@@ -123,10 +128,7 @@ select conv_id, turn, length(bare) - length(replace(bare, ',', '')) as commas,
   length(bare) - length(replace(bare, ';', '')) as semicolons from x""",
     "merge_summaries": _STORE,
     "rule_aggregate": f"with {_BAU} select store, month, {_sum('units')} as units from bau group by all",
-    "store_validation": f"""{_STORE_DIFFS}
-select store, units_prod, dollars_prod, units_test, dollars_test,
-  round(units_diff, 4) as units_diff, round(sales_diff, 4) as sales_diff,
-  round(units_pct, 6) as units_diff_pct, round(sales_pct, 6) as sales_diff_pct from d""",
+    "store_validation": _STORE_VIEW,
     "item_validation": _ITEM_DIFFS + _ITEM_VIEW,
     "item_validation_named": _item_diffs(
         _named("0"), _named("case when l_partkey % 9 = 0 then 1 else 0 end"), "one as (select 1)"
@@ -200,4 +202,64 @@ ts as (select upc, string_agg(descr, ' | ' order by descr) as d, sum(units) as u
 select a.upc, bs.d as bau_descriptions, ts.d as test_descriptions, round(bs.u, 2) as bau_units,
   round(ts.u, 2) as test_units, round(bs.p, 2) as bau_dollars, round(ts.p, 2) as test_dollars
 from a join bs on a.upc = bs.upc join ts on a.upc = ts.upc where a.shared_descriptions = 0""",
+    "audit_one_store": f"""
+select 3.0::double as store, count(*) as n, {_sum('l_quantity')} as units
+from lineitem where lpad(cast(l_suppkey as varchar), 5, '0') = '00003' having count(*) > 0""",
+    "read_mixed_headers_store": _STORE,
+    "read_start_line_store": _STORE,
+    "line_numbering": """
+select 0::bigint as odd, 'H' as kind, count(*) as n from lineitem
+union all select 1, 'D', count(*) from lineitem""",
+    "two_level_summary": f"""
+with {_BAU}
+select 'store' as level, store as key, '' as descr, {_sum('units')} as units, {_sum('price')} as dollars
+from bau group by store
+union all select 'item', upc, descr, {_sum('units')}, {_sum('price')} from bau group by upc, descr""",
+    "reconcile_two_formats": _STORE_VIEW,
+    "onboard_store_list": f"""
+with {_TEST}, p as (select distinct lower(store) as store from test),
+t as (select distinct 's' || lpad(cast(s_suppkey as varchar), 10, '0') as store from supplier)
+select 'missing_in_test' as side, store from (select store from p except select store from t)
+union all select 'missing_in_prod', store from (select store from t except select store from p)""",
+    "landing_stream_store": _STORE,
+    "profile_formats": """
+select * from (values
+  ('delimited', 'delimited', ',', true, 'cp1252', null, null, 'Store,UPC,Description,Units,Price', 'Store', 'Price'),
+  ('fixed', 'fixed', null, true, 'cp1252', null, null, null, null, null),
+  ('records', 'multiline', '|', false, 'cp1252', null, 'D,H',
+   'Column_0,Column_1,Column_2,Column_3,Column_4', 'Column_0', 'Column_0'),
+  ('transactions', 'multiline', '|', false, 'cp1252', 'HDRS', null, null, null, null)
+) as t(kind, file_type, delimiter, has_header, encoding, header_prefix, record_types, columns, store_col, price_col)""",
+    "config_check": """
+with c as (
+  select s_suppkey,
+    case s_suppkey % 4 when 0 then 'delimited' when 1 then 'fixed' when 2 then 'multiline' end as ft,
+    s_nationkey % 2 = 0 as lay, s_nationkey % 3 = 0 as hdr, s_nationkey % 5 = 0 as hl,
+    s_suppkey % 3 = 0 as rt, s_suppkey % 7 <> 0 as sch, s_suppkey % 5 <> 0 as st,
+    s_suppkey % 6 = 0 as ds, s_nationkey % 4 <> 0 as un, s_nationkey % 4 <> 1 as pr from supplier)
+select s_suppkey, array_to_string(list_filter([
+  case when ft is null then 'File type is not set (required: delimited, fixed, or multiline).' end,
+  case when ft = 'fixed' and not lay then 'Fixed-width files require a layout CSV file path.' end,
+  case when ft = 'multiline' and hdr and not hl then 'HDR files require a header layout CSV.' end,
+  case when ft = 'multiline' and hdr and hl then 'HDR files require a detail layout CSV.' end,
+  case when ft = 'multiline' and not hdr and not rt then 'Multiline files require record type prefixes (e.g. H,D).' end,
+  case when not sch then 'No schema or detected columns — cannot determine data structure.' end,
+  case when not st then 'Store column mapping is required.' end,
+  case when not un then 'Units column mapping is required.' end,
+  case when not pr then 'Price column mapping is required.' end,
+  case when sch and ds then 'Mapped columns not found in schema: Text' end], lambda x: x is not null), '; ') as errors
+from c""",
+    "mapping_check": """
+with c as (select s_suppkey, 'c' || (s_nationkey % 3) as a, 'c' || (s_suppkey % 3) as b,
+    case when s_suppkey % 2 = 0 then 'c9' end as d, case when s_nationkey % 2 = 0 then 'c9' else '' end as u
+  from supplier),
+m as (select s_suppkey, list_filter([
+  case when d is null then 'Description column is not selected.' end,
+  case when u = '' then 'Units column is not selected.' end,
+  case when a = b then 'Duplicate column: ''' || a || ''' is selected for both ''Store'' and ''UPC''. Each column must be unique.' end,
+  case when d = u then 'Duplicate column: ''c9'' is selected for both ''Description'' and ''Units''. Each column must be unique.' end,
+  case when b = 'c1' then 'Duplicate column: ''c1'' is selected for both ''UPC'' and ''Price''. Each column must be unique.'
+       when a = 'c1' then 'Duplicate column: ''c1'' is selected for both ''Store'' and ''Price''. Each column must be unique.' end
+  ], lambda x: x is not null) as e from c)
+select s_suppkey, cast(len(e) as integer) as n_errors, array_to_string(e, '; ') as errors from m""",
 }

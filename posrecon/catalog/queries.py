@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 from posrecon.catalog import sides
 from posrecon.catalog.sides import CONFIGS, TABLE_CONFIG, raw_files, table
 from posrecon.config import UNIT_PRICE, ValidationRule
-from posrecon.functions.measures import is_bad_measure, safe_numeric
+from posrecon.functions.measures import exact_sum, is_bad_measure, safe_numeric
 from posrecon.functions.text import delimiter_count
 from posrecon.operators import audit as au
 from posrecon.operators import compare as cmp
 from posrecon.operators import review as rv
 from posrecon.operators import stores as st
 from posrecon.operators import summarize as sm
-from posrecon.operators.canonical import to_item_rows, to_rows
+from posrecon.operators.canonical import to_item_rows, to_rows, to_sales_rows
+from posrecon.plans.config_audit import config_errors
+from posrecon.plans.mapping import check_mapping
+from posrecon.plans.profile import profile_files
+from posrecon.plans.reconcile import onboard, reconcile
 from posrecon.sources.delimited import list_files, read_delimited
 from posrecon.sources.dispatch import read_pos
-from posrecon.sources.lines import FILE
+from posrecon.sources.lines import FILE, LINE_NO, number_lines, read_lines
+from posrecon.sources.preview import preview_raw
+from posrecon.streaming.landing import stream_summary
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,7 +98,7 @@ def measure_parsing(spark, sf):
         )
         .groupBy("l_returnflag", "l_linenumber")
         .agg(
-            F.sum(F.col("price").cast("decimal(18,4)")).cast("double").alias("price"),
+            exact_sum("price").alias("price"),
             F.count_if("bad").alias("bad_measures"),
             F.count(F.lit(1)).alias("n"),
         )
@@ -154,9 +160,8 @@ def _item_comparison(spark, sf) -> DataFrame:
     )[0]
 
 
-@register
-def store_validation(spark, sf):
-    return _store_diffs(spark, sf).select(
+def _store_view(df: DataFrame) -> DataFrame:
+    return df.select(
         F.col("STORE_NUMBER").alias("store"),
         F.col("Units_Prod").alias("units_prod"), F.col("Totalprice_Prod").alias("dollars_prod"),
         F.col("Units_Test").alias("units_test"), F.col("Totalprice_Test").alias("dollars_test"),
@@ -166,6 +171,11 @@ def store_validation(spark, sf):
     )
 
 
+@register
+def store_validation(spark, sf):
+    return _store_view(_store_diffs(spark, sf))
+
+
 def _item_view(df: DataFrame) -> DataFrame:
     return df.select(
         F.col("UPC_CODE").alias("upc"), F.col("PRODUCT_DESCRIPTION").alias("descr"),
@@ -194,14 +204,14 @@ def item_validation_named(spark, sf):
             table(spark, sf, "lineitem")
             .groupBy("l_partkey")
             .agg(
-                F.sum((F.col("l_quantity") + extra).cast("decimal(18,4)")).alias("u"),
-                F.sum(F.col("l_extendedprice").cast("decimal(18,4)")).alias("p"),
+                exact_sum(F.col("l_quantity") + extra).alias("u"),
+                exact_sum("l_extendedprice").alias("p"),
             )
         )
         return sums.join(names, F.col("l_partkey") == F.col("p_partkey")).select(
             F.lpad(F.col("l_partkey").cast("string"), 12, "0").alias("UPC"),
             F.col("p_name").alias("Description"),
-            F.col("u").cast("double").alias("Units"), F.col("p").cast("double").alias("Price"),
+            F.col("u").alias("Units"), F.col("p").alias("Price"),
         )
 
     args = ("UPC", "Description", "Units", "Price")
@@ -321,8 +331,8 @@ def read_transactions_trailer(spark, sf):
         safe_numeric("TotalPrice").alias("trailer_dollars"),
     ).agg(
         F.count(F.lit(1)).alias("details"),
-        F.sum(safe_numeric("Units").cast("decimal(18,4)")).cast("double").alias("units"),
-        F.sum(safe_numeric("Price").cast("decimal(18,4)")).cast("double").alias("dollars"),
+        exact_sum(safe_numeric("Units")).alias("units"),
+        exact_sum(safe_numeric("Price")).alias("dollars"),
     )
 
 
@@ -429,3 +439,178 @@ def audit_mismatch_report(spark, sf):
         F.round("BAU_TOTAL_DOLLARS", 2).alias("bau_dollars"),
         F.round("TEST_TOTAL_DOLLARS", 2).alias("test_dollars"),
     )
+
+
+@register
+def audit_one_store(spark, sf):
+    """Rows of one store with its code read as a number."""
+    rows = table(spark, sf, "lineitem").select(
+        F.lpad(F.col("l_suppkey").cast("string"), 5, "0").alias("Store"), "l_partkey", "l_quantity"
+    )
+    return au.store_rows(rows, "00003").groupBy(F.col("Store").alias("store")).agg(
+        F.count(F.lit(1)).alias("n"), exact_sum("l_quantity").alias("units")
+    )
+
+
+# --- more readers ----------------------------------------------------------
+
+
+@register
+def read_mixed_headers_store(spark, sf):
+    raw = read_delimited(
+        spark, raw_files(spark, sf, "bau", "mixed"), ",", encoding="auto", mixed_headers=True
+    )
+    return _names(_level(raw, "store"), **_STORE)
+
+
+@register
+def read_start_line_store(spark, sf):
+    config = TABLE_CONFIG.with_(start_line=len(sides.BANNER))
+    raw = read_pos(spark, raw_files(spark, sf, "bau", "banner"), config)
+    return _names(_level(raw, "store"), **_STORE)
+
+
+@register
+def line_numbering(spark, sf):
+    """Record files alternate H and D lines, so even line numbers are H lines."""
+    lines = read_lines(spark, raw_files(spark, sf, "bau", "records"), ordered=True)
+    return (
+        number_lines(lines)
+        .groupBy(
+            (F.col(LINE_NO) % 2).cast("long").alias("odd"), F.substring("value", 1, 1).alias("kind")
+        )
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+@register
+def preview_fixed(spark, sf):
+    """First 20 records of the first file, as a person sees them."""
+    path = raw_files(spark, sf, "bau", "fixed")
+    first = list_files(spark, path).where(F.col("bytes") > 0).orderBy(FILE).first()[FILE]
+    return preview_raw(spark, first, "fixed", layout=sides.FIXED_LAYOUT)
+
+
+# --- whole runs ------------------------------------------------------------
+
+
+@register
+def two_level_summary(spark, sf):
+    """Store and item sums from one scan, as one table."""
+    both = sm.two_level_summary(to_sales_rows(sides.bau(spark, sf), TABLE_CONFIG), exact=True)
+    stores = sm.store_part(both).select(
+        F.lit("store").alias("level"), F.col("STORE_NUMBER").alias("key"), F.lit("").alias("descr"),
+        F.col("Units").alias("units"), F.col("Totalprice").alias("dollars"),
+    )
+    items = sm.item_part(both).select(
+        F.lit("item").alias("level"), F.col("UPC_CODE").alias("key"),
+        F.col("PRODUCT_DESCRIPTION").alias("descr"),
+        F.col("UNITS_SOLD").alias("units"), F.col("TOTAL_DOLLARS").alias("dollars"),
+    )
+    return stores.unionByName(items)
+
+
+def _two_formats(spark, sf):
+    """BAU from delimited files against TEST from fixed-width files."""
+    configs = CONFIGS["delimited"], CONFIGS["fixed"]
+    raw = [
+        read_pos(spark, raw_files(spark, sf, side, kind), config)
+        for side, kind, config in zip(("bau", "test"), ("delimited", "fixed"), configs)
+    ]
+    return reconcile(*raw, *configs, exact=True)
+
+
+@register
+def reconcile_two_formats(spark, sf):
+    return _store_view(_two_formats(spark, sf)["store_validation"])
+
+
+@register
+def onboard_store_list(spark, sf):
+    """Stores in the TEST files against the supplier list."""
+    suppliers = table(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 10, "0"), F.lit(" ")).alias("Store")
+    )
+    run = onboard(sides.test(spark, sf), TABLE_CONFIG, suppliers, "Store", exact=True)
+    return run["store_list"]
+
+
+@register
+def landing_stream_store(spark, sf):
+    """The store summary computed as files land; every trigger rewrites the table."""
+    out = sides.scratch_dir(spark)
+    stream = stream_summary(
+        spark, raw_files(spark, sf, "bau", "delimited"), CONFIGS["delimited"], "store", exact=True
+    )
+    query = (
+        stream.writeStream.outputMode("complete")
+        .option("checkpointLocation", f"{out}/progress")
+        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/summary"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return _names(spark.read.parquet(f"{out}/summary"), **_STORE)
+
+
+# --- profiles and configurations -------------------------------------------
+
+
+@register
+def profile_formats(spark, sf):
+    """What profiling finds in the raw files of each format."""
+    kinds = ("delimited", "fixed", "records", "transactions")
+    paths = [raw_files(spark, sf, "bau", kind) for kind in kinds]
+    return (
+        profile_files(spark, paths)
+        .select(
+            F.regexp_extract(FILE, "/bau-([a-z]+)/", 1).alias("kind"),
+            "file_type", "delimiter", "has_header", "encoding",
+            "header_prefix", F.array_join("record_types", ",").alias("record_types"),
+            F.array_join("columns", ",").alias("columns"), "store_col", "price_col",
+        )
+        .distinct()
+    )
+
+
+@register
+def config_check(spark, sf):
+    """One configuration per supplier, with different parts left out."""
+    s = table(spark, sf, "supplier")
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    known = F.array(F.lit("Store"), F.lit("UPC"), F.lit("Units"), F.lit("Price"))
+    configs = s.select(
+        "s_suppkey",
+        F.when(key % 4 == 0, "delimited").when(key % 4 == 1, "fixed").when(key % 4 == 2, "multiline")
+        .alias("file_type"),
+        F.when(nation % 2 == 0, "layout.csv").alias("layout_file"),
+        F.when(nation % 3 == 0, "HDR").alias("header_prefix"),
+        F.when(nation % 5 == 0, "h.csv").alias("header_layout_file"),
+        F.when(nation % 5 != 0, "d.csv").alias("detail_layout_file"),
+        F.when(key % 3 == 0, F.array(F.lit("H"), F.lit("D"))).alias("ml_record_types"),
+        F.when(key % 7 != 0, known).alias("schema"),
+        F.lit(None).cast("array<string>").alias("detected_columns"),
+        F.when(key % 5 != 0, "Store").alias("store_col"),
+        F.lit("UPC").alias("upc_col"),
+        F.when(key % 6 == 0, "Text").alias("desc_col"),
+        F.when(nation % 4 != 0, "Units").alias("units_col"),
+        F.when(nation % 4 != 1, "Price").alias("price_col"),
+    )
+    return configs.select("s_suppkey", F.array_join(config_errors(), "; ").alias("errors"))
+
+
+@register
+def mapping_check(spark, sf):
+    """One column mapping per supplier, with unset and repeated columns."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    mapped = table(spark, sf, "supplier").select(
+        "s_suppkey",
+        F.concat(F.lit("c"), (nation % 3).cast("string")).alias("store_col"),
+        F.concat(F.lit("c"), (key % 3).cast("string")).alias("upc_col"),
+        F.when(key % 2 == 0, "c9").alias("desc_col"),
+        F.when(nation % 2 == 0, "c9").otherwise("").alias("units_col"),
+        F.lit("c1").alias("price_col"),
+    )
+    return check_mapping(mapped).select(
+        "s_suppkey", F.size("errors").alias("n_errors"), F.array_join("errors", "; ").alias("errors")
+    )

@@ -21,7 +21,7 @@ RAW = ["Store", "UPC", "Description", "Units", "Price"]
 ROLES = dict(
     store_col="Store", upc_col="UPC", desc_col="Description", units_col="Units", price_col="Price"
 )
-TABLE_CONFIG = FormatConfig(file_type="delimited", delimiter=",", **ROLES)
+TABLE_CONFIG = FormatConfig(file_type="delimited", delimiter=",", schema=RAW, **ROLES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,7 +175,45 @@ def _write_transactions(rows: DataFrame, path: str) -> None:
     lines.repartition(*keys).sortWithinPartitions(*keys, "kind").select("value").write.text(path)
 
 
+def _write_mixed(rows: DataFrame, path: str) -> None:
+    """Two headers in one folder: one line state in the usual column order, the other
+    in reverse order."""
+    rows.where(F.col("Status") == "F").select(*RAW).write.option("header", True).csv(path)
+    rows.where(F.col("Status") != "F").select(*reversed(RAW)).write.mode("append").option(
+        "header", True
+    ).csv(path)
+
+
+BANNER = ["Daily sales export", "all stores"]
+
+
+def _write_banner(rows: DataFrame, path: str) -> None:
+    """Files that begin with two lines of text before the header row."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    top = F.array(
+        *[
+            F.struct(F.lit(i).alias("kind"), F.lit(text).alias("value"))
+            for i, text in enumerate([*BANNER, ",".join(RAW)])
+        ]
+    )
+    lines = rows.select(
+        F.pmod(F.xxhash64(*RAW), F.lit(n)).alias("part"),
+        F.lit(len(BANNER) + 1).alias("kind"),
+        F.concat_ws(",", "Store", "UPC", "Description", F.col("Units").cast("string"), _money("Price"))
+        .alias("value"),
+    ).unionByName(
+        spark.range(n).select(F.col("id").alias("part"), F.explode(top).alias("t")).select("part", "t.*")
+    )
+    (
+        lines.repartition(n, "part").sortWithinPartitions("part", "kind")
+        .select("part", "value").write.partitionBy("part").text(path)
+    )
+
+
 _WRITERS = {
+    "mixed": _write_mixed,
+    "banner": _write_banner,
     "delimited": _write_delimited,
     "deliveries": _write_deliveries,
     "fixed": _write_fixed,

@@ -111,8 +111,13 @@ def within_tolerance(
 
 
 def exact_sum(c: Column | str, scale: int = 4) -> Column:
-    """Sum of doubles that does not depend on row order (``scale`` decimals kept)."""
-    return F.sum(_col(c).cast(f"decimal(18,{scale})")).cast("double")
+    """Sum of doubles that does not depend on row order (``scale`` decimals kept).
+
+    Values are summed as scaled whole numbers, which stays in fast long arithmetic.
+    A sum beyond 9.2e18 / 10^scale fails the job instead of wrapping around.
+    """
+    unit = float(10**scale)
+    return F.sum(F.rint(_col(c) * unit).cast("long")).cast("double") / unit
 
 
 def total(c: Column | str, exact: bool | int = False) -> Column:

@@ -143,7 +143,7 @@ def rank_by_diff(
     rank_col: str = "Units_Diff_%",
     rank_name: str = "Rank",
     ascending: bool = False,
-    buckets: int = 200,
+    buckets: int = 100,
 ) -> DataFrame:
     """Rank by a difference column, 1 = largest. Ties take the average of their
     ranks, cut to an integer; null has no rank.

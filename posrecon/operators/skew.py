@@ -44,7 +44,7 @@ def lookup_by_key(
 
 
 def rows_before(
-    table: DataFrame, key: str, weight: str, ascending: bool, buckets: int = 200
+    table: DataFrame, key: str, weight: str, ascending: bool, buckets: int = 100
 ) -> DataFrame:
     """Add ``__before``: the total weight of the keys ordered before each key.
 
@@ -53,8 +53,10 @@ def rows_before(
     start with a window of its own.
     """
     k = F.col(f"`{key}`")
-    steps = [i / buckets for i in range(1, buckets)]
-    bounds = table.agg(F.percentile_approx(k, steps, 10 * buckets)).scalar()
+    steps = ", ".join(f"{i}D/{buckets}D" for i in range(1, buckets))
+    bounds = table.agg(
+        F.expr(f"percentile_approx(`{key}`, array({steps}), {10 * buckets})")
+    ).scalar()
     ranged = table.withColumn("__bounds", bounds).withColumn(
         "__range", F.size(F.filter("__bounds", lambda b: b < k))
     ).drop("__bounds")
@@ -67,7 +69,9 @@ def rows_before(
     inside = F.sum(weight).over(up_to_now(Window.partitionBy("__range").orderBy(direction(k))))
     return (
         ranged.withColumn("__inside", inside)
-        .join(F.broadcast(starts), "__range")
+        # A left join: an inner one would infer "range is not null" and evaluate the
+        # range of every row below the aggregation.
+        .join(F.broadcast(starts), "__range", "left")
         .withColumn(
             "__before",
             F.coalesce("__start", F.lit(0)) + F.coalesce("__inside", F.lit(0)),

@@ -63,6 +63,7 @@ def _file_format(sample: DataFrame) -> DataFrame:
         F.bool_and(ascii_line).alias("ascii"),
         F.bool_and(ascii_line | valid).alias("utf8"),
         F.max(F.when(F.col(LINE_NO) == 0, strip(text))).alias("first_line"),
+        F.collect_list(F.struct(LINE_NO, _TEXT)).alias("lines"),
     )
     best = F.greatest(*[F.col(f"s{i}") for i in range(len(DELIMITERS))])
     found = None
@@ -108,6 +109,7 @@ def _file_format(sample: DataFrame) -> DataFrame:
                     F.array(*[F.lit(t) for t in DEFAULT_RECORD_TYPES])
                 ),
             ).alias("record_types"),
+            "lines",
         )
     )
 
@@ -123,9 +125,16 @@ def _cells(line: Column, delimiter: Column) -> Column:
     )
 
 
-def _column_types(sample: DataFrame, formats: DataFrame) -> DataFrame:
-    """Column names and sampled types per file (delimited and record files)."""
-    rows = sample.join(formats.select(FILE, "file_type", "delimiter", "record_types"), FILE)
+_FORMAT = [
+    FILE, "filename", "file_type", "delimiter", "encoding", "has_header", "header_prefix",
+    "record_types",
+]
+
+
+def _with_columns(formats: DataFrame) -> DataFrame:
+    """Add column names and sampled types (delimited and record files); the sampled
+    lines are unfolded from each file's row, so nothing is read again."""
+    rows = formats.select(*_FORMAT, F.explode("lines").alias("l")).select(*_FORMAT, "l.*")
     delimited = F.col("file_type") == "delimited"
     # Record types found by profiling are single letters.
     after = F.substr(F.col(_TEXT), F.lit(2))
@@ -137,13 +146,13 @@ def _column_types(sample: DataFrame, formats: DataFrame) -> DataFrame:
         F.when(delimited & (F.col(_TEXT) != ""), _cells(F.col(_TEXT), F.col("delimiter")))
         .when((F.col("file_type") == "multiline") & (body != ""), split_literal(body, "|"))
     )
-    values = rows.select(FILE, LINE_NO, delimited.alias("delimited"), F.posexplode(cells).alias("pos", "v"))
-    is_name = F.col("delimited") & (F.col(LINE_NO) == 0)
+    values = rows.select(*_FORMAT, LINE_NO, F.posexplode_outer(cells).alias("pos", "v"))
+    is_name = delimited & (F.col(LINE_NO) == 0)
     data = F.when(~is_name & (F.col("v") != ""), F.col("v"))
     integer = data.rlike(r"^\s*-?\d+$")
     number = data.rlike(r"^[-+]?(\d*\.\d+([eE][-+]?\d+)?|\d+[eE][-+]?\d+|\d+\.|\d+)$")
     logical = data.rlike(r"(?i)^(true|false)$")
-    per_column = values.groupBy(FILE, "delimited", "pos").agg(
+    per_column = values.groupBy(*_FORMAT, "pos").agg(
         F.max(F.when(is_name, F.col("v"))).alias("name"),
         F.count(data).alias("n"),
         F.count_if(integer).alias("ints"),
@@ -151,30 +160,30 @@ def _column_types(sample: DataFrame, formats: DataFrame) -> DataFrame:
         F.count_if(logical).alias("booleans"),
     )
     kind = (
-        F.when(~F.col("delimited") | (F.col("n") == 0), "String")
+        F.when(~delimited | (F.col("n") == 0), "String")
         .when(F.col("ints") == F.col("n"), "Int64")
         .when(F.col("numbers") == F.col("n"), "Float64")
         .when(F.col("booleans") == F.col("n"), "Boolean")
         .otherwise("String")
     )
-    name = F.when(F.col("delimited"), F.col("name")).otherwise(
+    name = F.when(delimited, F.col("name")).otherwise(
         F.concat(F.lit("Column_"), F.col("pos").cast("string"))
     )
-    listed = F.array_sort(F.collect_list(F.struct("pos", name.alias("name"), kind.alias("kind"))))
+    column = F.when(name.isNotNull(), F.struct("pos", name.alias("name"), kind.alias("kind")))
     return (
-        per_column.where(name.isNotNull())
-        .groupBy(FILE)
-        .agg(listed.alias("c"))
-        .select(FILE, F.col("c.name").alias("columns"), F.col("c.kind").alias("data_types"))
+        per_column.groupBy(*_FORMAT)
+        .agg(F.array_sort(F.collect_list(column)).alias("c"))
+        .select(
+            *_FORMAT,
+            F.when(F.size("c") > 0, F.col("c.name")).alias("columns"),
+            F.when(F.size("c") > 0, F.col("c.kind")).alias("data_types"),
+        )
     )
 
 
 def profile_files(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     """Detected format, encoding, columns, types and suggested mapping per file."""
-    sample = _sample(spark, paths)
-    formats = _file_format(sample)
-    described = formats.join(_column_types(sample, formats), FILE, "left")
-    return suggest_mapping(described, "columns")
+    return suggest_mapping(_with_columns(_file_format(_sample(spark, paths))), "columns")
 
 
 def config_from_profile(row) -> FormatConfig:

@@ -52,6 +52,7 @@ def read_delimited(
     pad_ragged: bool = False,
     quoted_newlines: bool = False,
     with_file: bool = False,
+    header_names: list[str] | None = None,
 ) -> DataFrame:
     """All files as one table of text columns.
 
@@ -59,7 +60,8 @@ def read_delimited(
     stop the job, unless ``mixed_headers`` is set: then files are grouped by
     header and united by column name. Short rows are padded with nulls (with
     ``""`` under ``pad_ragged``), extra cells are dropped. ``columns`` prunes the
-    scan; ``with_file`` adds ``source_file``.
+    scan; ``with_file`` adds ``source_file``. ``header_names`` states the header when
+    it is already known: every file is checked against it and none is sampled.
     """
     delimiter = delimiter or ","
     paths = as_paths(paths)
@@ -68,7 +70,9 @@ def read_delimited(
     elif mixed_headers and has_header:
         df = _read_by_header(spark, paths, delimiter, encoding, quoted_newlines)
     else:
-        df = _read_native(spark, paths, delimiter, has_header, encoding, quoted_newlines)
+        df = _read_native(
+            spark, paths, delimiter, has_header, encoding, quoted_newlines, with_file, header_names
+        )
     df = rename_positional(df, column_names)
     keep = columns or [c for c in df.columns if c != FILE]
     cells = [F.col(f"`{c}`") for c in keep]
@@ -84,20 +88,24 @@ def _read_native(
     has_header: bool,
     encoding: str,
     quoted_newlines: bool = False,
+    with_file: bool = False,
+    header_names: list[str] | None = None,
 ) -> DataFrame:
     enc = normal_encoding(encoding)
-    raw = (
+    reader = (
         spark.read.options(**_csv_options(delimiter))
         .option("header", has_header)
         .option("enforceSchema", not has_header)
         .option("encoding", "UTF-8" if enc == "utf-8" else "ISO-8859-1")
         .option("multiLine", quoted_newlines)
-        .csv(paths)
     )
+    if has_header and header_names:
+        reader = reader.schema(", ".join(f"`{n}` string" for n in header_names))
+    raw = reader.csv(paths)
     cells = [F.col(f"`{c}`") for c in raw.columns]
     if enc != "utf-8":
         cells = [redecode_latin1(c, enc).alias(n) for c, n in zip(cells, raw.columns)]
-    return raw.select(*cells, F.col("_metadata.file_path").alias(FILE))
+    return raw.select(*cells, *([F.col("_metadata.file_path").alias(FILE)] if with_file else []))
 
 
 def _read_by_header(
@@ -108,9 +116,9 @@ def _read_by_header(
     for row in first.select(FILE, VALUE).collect():
         groups.setdefault(row[VALUE], []).append(row[FILE])
     if not groups:
-        return _read_native(spark, paths, delimiter, True, encoding, quoted_newlines)
+        return _read_native(spark, paths, delimiter, True, encoding, quoted_newlines, True)
     tables = [
-        _read_native(spark, sorted(groups[h]), delimiter, True, encoding, quoted_newlines)
+        _read_native(spark, sorted(groups[h]), delimiter, True, encoding, quoted_newlines, True)
         for h in sorted(groups)
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

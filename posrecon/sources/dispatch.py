@@ -36,6 +36,7 @@ def read_pos(
             start_line=config.start_line,
             encoding="auto" if config.encoding == "cp1252" else config.encoding,
             with_file=with_file,
+            header_names=config.schema or config.detected_columns,
         )
     if config.file_type == "fixed":
         df = read_fixed_width(

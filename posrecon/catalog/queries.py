@@ -498,16 +498,14 @@ def preview_fixed(spark, sf):
 def two_level_summary(spark, sf):
     """Store and item sums from one scan, as one table."""
     both = sm.two_level_summary(to_sales_rows(sides.bau(spark, sf), TABLE_CONFIG), exact=True)
-    stores = sm.store_part(both).select(
-        F.lit("store").alias("level"), F.col("STORE_NUMBER").alias("key"), F.lit("").alias("descr"),
-        F.col("Units").alias("units"), F.col("Totalprice").alias("dollars"),
+    is_item = F.col("is_item") == 1
+    return both.select(
+        F.when(is_item, "item").otherwise("store").alias("level"),
+        F.when(is_item, F.col("UPC_CODE")).otherwise(F.col("STORE_NUMBER")).alias("key"),
+        F.when(is_item, F.col("PRODUCT_DESCRIPTION")).otherwise("").alias("descr"),
+        F.col("Units").alias("units"),
+        F.when(is_item, F.col("TOTAL_DOLLARS")).otherwise(F.col("Totalprice")).alias("dollars"),
     )
-    items = sm.item_part(both).select(
-        F.lit("item").alias("level"), F.col("UPC_CODE").alias("key"),
-        F.col("PRODUCT_DESCRIPTION").alias("descr"),
-        F.col("UNITS_SOLD").alias("units"), F.col("TOTAL_DOLLARS").alias("dollars"),
-    )
-    return stores.unionByName(items)
 
 
 def _two_formats(spark, sf):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from posrecon.config import as_layout
 from posrecon.functions.text import slice_field
-from posrecon.sources.lines import FILE, VALUE, read_lines, skip_lines
+from posrecon.sources.lines import FILE, VALUE, read_lines, skip_lines, starts_with
 
 
 def read_fixed_width(
@@ -27,7 +27,11 @@ def read_fixed_width(
     records. Without ``start_line`` the scan is a pure map over splits; with it,
     lines are numbered per (file, block) first.
     """
-    lines = read_lines(spark, paths, encoding, ordered=start_line > 0)
+    if start_line <= 0 and record_type and record_type.isascii():
+        keep = starts_with(record_type)
+        lines = read_lines(spark, paths, encoding, keep=keep, with_file=with_file)
+        return cut_fields(lines, layout, None, with_file)
+    lines = read_lines(spark, paths, encoding, ordered=start_line > 0, with_file=with_file)
     return cut_fields(skip_lines(lines, start_line), layout, record_type, with_file)
 
 

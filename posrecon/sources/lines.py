@@ -34,19 +34,30 @@ def read_lines(
     paths: str | Iterable[str],
     encoding: str = "cp1252",
     ordered: bool = False,
+    keep: Column | None = None,
+    with_file: bool = False,
 ) -> DataFrame:
-    """Decoded lines plus their file; ``ordered`` adds the position columns."""
-    cols = [
-        decode_bytes(F.col("value").cast("binary"), encoding).alias(VALUE),
-        F.col("_metadata.file_path").alias(FILE),
-    ]
+    """Decoded lines; ``with_file`` adds their file, ``ordered`` that and the position.
+
+    ``keep`` filters the undecoded ``value``. A filter on the decoded text would be
+    pushed below the decoding and repeat it.
+    """
+    cols = [decode_bytes(F.col("value").cast("binary"), encoding).alias(VALUE)]
+    if ordered or with_file:
+        cols.append(F.col("_metadata.file_path").alias(FILE))
     if ordered:
         cols += [
             F.xxhash64("_metadata.file_path").alias(FILE_ID),
             F.col("_metadata.file_block_start").alias(BLOCK),
             F.monotonically_increasing_id().alias(SEQ),
         ]
-    return spark.read.text(as_paths(paths)).select(*cols)
+    raw = spark.read.text(as_paths(paths))
+    return (raw if keep is None else raw.where(keep)).select(*cols)
+
+
+def starts_with(prefix: str) -> Column | None:
+    """Test an undecoded line for a prefix; None where that needs the decoded text."""
+    return F.startswith(F.col(VALUE), F.lit(prefix)) if prefix.isascii() else None
 
 
 def block_table(lines: DataFrame, *aggregates: Column) -> DataFrame:

@@ -42,38 +42,50 @@ def read_records(
     Without names the width is that of the widest row (one extra pass) and columns
     are called ``Column_0``, ``Column_1``, ... Short rows are padded with ``""``.
     """
+    keep = record_filter(record_types, delimiter)
+    lines = read_lines(spark, paths, encoding, keep=keep, with_file=with_file)
     return split_records(
-        read_lines(spark, paths, encoding), record_types, delimiter, column_names, with_file
+        lines, record_types, delimiter, column_names, with_file, filtered=keep is not None
     )
 
 
+def record_filter(record_types: Iterable[str] | None, delimiter: str) -> Column | None:
+    """Test an undecoded line: a listed type with something after it. None where
+    types or delimiter need the decoded text."""
+    types = list(record_types or DEFAULT_RECORD_TYPES)
+    if not all(t.isascii() for t in [*types, delimiter]):
+        return None
+    return F.coalesce(record_body(F.col(VALUE), types, delimiter) != "", F.lit(False))
+
+
 def split_records(
     lines: DataFrame,
     record_types: Iterable[str] | None = None,
     delimiter: str = "|",
     column_names: list[str] | None = None,
     with_file: bool = False,
+    filtered: bool = False,
 ) -> DataFrame:
-    """Record rows of lines that are already read."""
+    """Record rows of lines that are already read (and ``filtered``, if so)."""
     types = list(record_types or DEFAULT_RECORD_TYPES)
-    cells = (
-        lines.select(record_body(F.col(VALUE), types, delimiter).alias("__body"), FILE)
-        .where(F.col("__body") != "")
-        .select(split_literal(F.col("__body"), delimiter).alias(_CELLS), FILE)
-    )
+    file = [F.col(FILE)] if with_file else []
+    body = lines.select(record_body(F.col(VALUE), types, delimiter).alias("__body"), *file)
+    if not filtered:
+        body = body.where(F.col("__body") != "")
+    split = split_literal(F.col("__body"), delimiter)
     if column_names:
         names = list(column_names)
-        cells = cells.where(
-            F.when(F.size(_CELLS) <= len(names), True).otherwise(
-                F.raise_error(
-                    F.concat(F.lit(f"{len(names)} column names for a row of "), F.size(_CELLS).cast("string"))
-                ).cast("boolean")
-            )
+        # In the projection, not in a filter: there the split is computed once.
+        too_wide = F.raise_error(
+            F.concat(F.lit(f"{len(names)} column names for a row of "), F.size(split).cast("string"))
         )
+        checked = F.when(F.size(split) <= len(names), split).otherwise(too_wide.cast("array<string>"))
+        cells = body.select(checked.alias(_CELLS), *file)
     else:
+        cells = body.select(split.alias(_CELLS), *file)
         width = cells.agg(F.max(F.size(_CELLS))).first()[0] or 0
         names = [f"Column_{i}" for i in range(width)]
     return cells.select(
         *[F.coalesce(F.get(_CELLS, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)],
-        *([F.col(FILE)] if with_file else []),
+        *file,
     )

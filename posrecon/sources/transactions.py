@@ -73,8 +73,7 @@ def read_transactions(
     # Cut the fields before the shuffle, so that only the columns a query asks for
     # are shuffled instead of whole lines.
     parsed = (
-        read_lines(spark, paths, encoding, ordered=True)
-        .where(line != "")
+        read_lines(spark, paths, encoding, ordered=True, keep=line != "")
         .select(
             FILE, FILE_ID, BLOCK, SEQ,
             F.when(is_header, True).when(is_trailer, False).alias(_OPEN),

@@ -9,8 +9,8 @@ from posrecon.config import FormatConfig
 from posrecon.functions.text import decode_bytes
 from posrecon.operators.summarize import aggregate
 from posrecon.sources.fixed import cut_fields
-from posrecon.sources.lines import FILE, VALUE
-from posrecon.sources.records import split_records
+from posrecon.sources.lines import VALUE
+from posrecon.sources.records import record_filter, split_records
 
 
 def stream_summary(
@@ -34,14 +34,19 @@ def stream_summary(
             .csv(folder)
         )
     else:
-        lines = spark.readStream.text(folder).select(
-            decode_bytes(F.col("value").cast("binary"), config.encoding).alias(VALUE),
-            F.col("_metadata.file_path").alias(FILE),
-        )
+        raw_lines = spark.readStream.text(folder)
+        keep = record_filter(config.ml_record_types, config.ml_delimiter)
+        if config.file_type == "multiline" and keep is not None:
+            raw_lines = raw_lines.where(keep)
+        text = decode_bytes(F.col("value").cast("binary"), config.encoding)
+        lines = raw_lines.select(text.alias(VALUE))
         if config.file_type == "fixed":
             raw = cut_fields(lines, config.layout, config.record_type)
         elif config.file_type == "multiline" and config.schema:
-            raw = split_records(lines, config.ml_record_types, config.ml_delimiter, config.schema)
+            raw = split_records(
+                lines, config.ml_record_types, config.ml_delimiter, config.schema,
+                filtered=keep is not None,
+            )
         else:
             raise ValueError("record files need a schema to be streamed")
     return aggregate(raw, level, config, exact, ordered=False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from posrecon.functions.text import WHITESPACE
+
 _BAU = """
 bau as (
   select 'S' || lpad(cast(l_suppkey as varchar), 10, '0') as store,
@@ -126,6 +128,8 @@ select conv_id, turn, length(bare) - length(replace(bare, ',', '')) as commas,
   length(bare) - length(replace(bare, '|', '')) as pipes,
   length(bare) - length(replace(bare, chr(9), '')) as tabs,
   length(bare) - length(replace(bare, ';', '')) as semicolons from x""",
+    "document_text": f"""
+select doc_id, length(text) as n, length(trim(text, '{WHITESPACE}')) as n_stripped from documents""",
     "merge_summaries": _STORE,
     "rule_aggregate": f"with {_BAU} select store, month, {_sum('units')} as units from bau group by all",
     "store_validation": _STORE_VIEW,
@@ -221,6 +225,7 @@ with {_TEST}, p as (select distinct lower(store) as store from test),
 t as (select distinct 's' || lpad(cast(s_suppkey as varchar), 10, '0') as store from supplier)
 select 'missing_in_test' as side, store from (select store from p except select store from t)
 union all select 'missing_in_prod', store from (select store from t except select store from p)""",
+    "report_round_trip": _STORE_VIEW,
     "landing_stream_store": _STORE,
     "profile_formats": """
 select * from (values
@@ -263,3 +268,4 @@ m as (select s_suppkey, list_filter([
   ], lambda x: x is not null) as e from c)
 select s_suppkey, cast(len(e) as integer) as n_errors, array_to_string(e, '; ') as errors from m""",
 }
+ORACLE["audit_from_parquet"] = ORACLE["audit_key_counts"]

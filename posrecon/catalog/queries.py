@@ -11,7 +11,7 @@ from posrecon.catalog import sides
 from posrecon.catalog.sides import CONFIGS, TABLE_CONFIG, raw_files, table
 from posrecon.config import UNIT_PRICE, ValidationRule
 from posrecon.functions.measures import exact_sum, is_bad_measure, safe_numeric
-from posrecon.functions.text import delimiter_count
+from posrecon.functions.text import decode_bytes, delimiter_count, strip
 from posrecon.operators import audit as au
 from posrecon.operators import compare as cmp
 from posrecon.operators import review as rv
@@ -26,6 +26,8 @@ from posrecon.sources.delimited import list_files, read_delimited
 from posrecon.sources.dispatch import read_pos
 from posrecon.sources.lines import FILE, LINE_NO, number_lines, read_lines
 from posrecon.sources.preview import preview_raw
+from posrecon.sources.sinks import write_report
+from posrecon.sources.tables import read_side_parquet, read_store_list
 from posrecon.streaming.landing import stream_summary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +119,17 @@ def delimiter_counts(spark, sf):
     )
 
 
+@register
+def document_text(spark, sf):
+    """Whole documents decoded from bytes and stripped."""
+    text = decode_bytes(F.encode("text", "UTF-8"), "auto")
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        F.length(text).cast("long").alias("n"),
+        F.length(strip(text)).cast("long").alias("n_stripped"),
+    )
+
+
 @register
 def merge_summaries(spark, sf):
     """Summaries of the two line states added together."""
@@ -525,14 +538,47 @@ def reconcile_two_formats(spark, sf):
 
 @register
 def onboard_store_list(spark, sf):
-    """Stores in the TEST files against the supplier list."""
-    suppliers = table(spark, sf, "supplier").select(
-        F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 10, "0"), F.lit(" ")).alias("Store")
-    )
-    run = onboard(sides.test(spark, sf), TABLE_CONFIG, suppliers, "Store", exact=True)
+    """Stores in the TEST rows against a store list file made from ``supplier``."""
+    path = f"{sides.scratch_dir(spark)}/stores"
+    write_report(
+        table(spark, sf, "supplier").select(
+            F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 10, "0"), F.lit(" ")).alias("Store")
+        ),
+        path,
+    )
+    stores = read_store_list(spark, path)
+    run = onboard(sides.test(spark, sf), TABLE_CONFIG, stores, "Store", exact=True)
     return run["store_list"]
 
 
+@register
+def report_round_trip(spark, sf):
+    """The store comparison written as a CSV report and read back."""
+    path = f"{sides.scratch_dir(spark)}/report"
+    write_report(_store_diffs(spark, sf), path)
+    back = read_delimited(spark, path, ",")
+    numbers = [F.col(f"`{c}`").cast("double").alias(c) for c in back.columns[1:]]
+    return _store_view(back.select("STORE_NUMBER", *numbers))
+
+
+@register
+def audit_from_parquet(spark, sf):
+    """Key counts from both sides' row-level Parquet output."""
+    sums = []
+    for side in (sides.bau, sides.test):
+        path = f"{sides.scratch_dir(spark)}/rows"
+        write_report(
+            side(spark, sf).select(
+                F.col("Store"), F.col("UPC").alias("UPC_CODE"),
+                F.col("Description").alias("PRODUCT_DESCRIPTION"),
+                F.col("Units").alias("UNITS_SOLD"), F.col("Price").alias("TOTAL_DOLLARS"),
+            ),
+            path, "parquet",
+        )
+        sums.append(au.audit_summary(read_side_parquet(spark, path), exact=True))
+    return au.key_counts(au.outer_presence(*sums))
+
+
 @register
 def landing_stream_store(spark, sf):
     """The store summary computed as files land; every trigger rewrites the table."""

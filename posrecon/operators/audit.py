@@ -14,7 +14,7 @@ from posrecon.functions.measures import (
     fraction_change,
     total,
 )
-from posrecon.operators.skew import PAGE_SIZE, SALTS, join_in_pages
+from posrecon.operators.skew import PAGE_SIZE, join_in_pages, lookup_by_key
 
 KEYS = ["UPC_CODE", "PRODUCT_DESCRIPTION"]
 
@@ -109,14 +109,16 @@ def disjoint_upcs(agreement: DataFrame) -> DataFrame:
     return common_upcs(agreement).where(F.col("n_shared") == 0)
 
 
-def _with_upc(presence: DataFrame, upcs: DataFrame, columns: list[str]) -> DataFrame:
-    """Join per-UPC columns onto key rows; a UPC with many descriptions is split over
-    salted tasks."""
-    salted = upcs.select("UPC_CODE", *columns).withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+def _with_counts(presence: DataFrame, upcs: DataFrame) -> DataFrame:
+    """Key rows of the given UPCs with ``n_bau`` and ``n_test``; UPCs with very many
+    descriptions do not gather in one task."""
+    counts = upcs.select(
+        "UPC_CODE",
+        F.struct("n_bau", "n_test").alias("__counts"),
+        (F.col("n_bau") + F.col("n_test")).alias("__n"),
     )
-    salt = F.pmod(F.xxhash64("PRODUCT_DESCRIPTION"), F.lit(SALTS)).cast("int")
-    return presence.withColumn("__salt", salt).join(salted, ["UPC_CODE", "__salt"]).drop("__salt")
+    found = lookup_by_key(presence, counts, "UPC_CODE", "__counts", "__n")
+    return found.where(F.col("__counts").isNotNull()).select(*presence.columns, "__counts.*")
 
 
 def description_mismatch(presence: DataFrame, agreement: DataFrame) -> DataFrame:
@@ -126,8 +128,7 @@ def description_mismatch(presence: DataFrame, agreement: DataFrame) -> DataFrame
     side's descriptions it differs from. Rows grow with the input; the pairs of a
     UPC are each BAU row with each TEST row of another description.
     """
-    counts = ["n_bau", "n_test"]
-    keys = _with_upc(presence, agreement.where(F.col("mismatched_pairs") > 0), counts)
+    keys = _with_counts(presence, agreement.where(F.col("mismatched_pairs") > 0))
     in_both = (F.col("Present In") == IN_BOTH).cast("long")
     sides = F.explode(
         F.array(
@@ -159,7 +160,7 @@ def mismatch_report(
     each with the UPC's totals and its next descriptions.
     """
     problem = disjoint_upcs(agreement)
-    keys = _with_upc(presence, problem, []).select(
+    keys = _with_counts(presence, problem).select(
         "UPC_CODE",
         F.when(F.col("Present In") == ONLY_BAU, "BAU").otherwise("TEST").alias("side"),
         "PRODUCT_DESCRIPTION",

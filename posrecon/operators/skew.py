@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
-SALTS = 32
 PAGE_SIZE = 1000
-
-
-def _salt(*values: Column, n: int = SALTS) -> Column:
-    return F.pmod(F.xxhash64(*values), F.lit(n)).cast("int")
+SPREAD = 1 << 20
 
 
 def lookup_by_key(
@@ -34,10 +30,11 @@ def lookup_by_key(
     own = F.col(f"`{key}`")
     open_key = own.isNotNull() & F.col("__hot_key").isNull()
     columns = [F.col(f"`{c}`") for c in rows.columns]
+    spread = F.pmod(F.xxhash64(*columns), F.lit(SPREAD)).cast("int")
     return (
         rows.join(F.broadcast(hot), own == F.col("__hot_key"), "left")
         .withColumn("__cold_key", F.when(open_key, own))
-        .withColumn("__spread", F.when(open_key, F.lit(0)).otherwise(_salt(*columns, n=1 << 20)))
+        .withColumn("__spread", F.when(open_key, F.lit(0)).otherwise(spread))
         .join(cold, ["__cold_key", "__spread"], "left")
         .select(*columns, F.coalesce("__hot_value", "__cold_value").alias(value))
     )
@@ -94,15 +91,13 @@ def join_in_pages(
     group is spread over several pages by hash, each sorted and of about that size,
     so no row and no task holds a whole large group and no value is lost.
     """
-    pages = (
-        values.groupBy(*keys)
-        .agg(F.ceil(F.count(F.lit(1)) / page_size).alias("__pages"))
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = values.withColumn("__key", F.struct(*keys))
+    pages = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__pages", F.ceil(F.col("__n") / page_size)
     )
     page = F.pmod(F.hash(value), F.col("__pages").cast("int"))
     return (
-        values.withColumn("__salt", _salt(F.col(value)))
-        .join(pages, [*keys, "__salt"])
+        lookup_by_key(keyed, pages, "__key", "__pages", "__n")
         .groupBy(*keys, page.alias("page"))
         .agg(F.array_join(F.sort_array(F.collect_list(value)), separator).alias(name))
     )

@@ -24,7 +24,7 @@ from posrecon.plans.profile import profile_files
 from posrecon.plans.reconcile import onboard, reconcile
 from posrecon.sources.delimited import list_files, read_delimited
 from posrecon.sources.dispatch import read_pos
-from posrecon.sources.lines import FILE, LINE_NO, number_lines, read_lines
+from posrecon.sources.lines import FILE, LINE_NO, number_lines, plain_path, read_lines
 from posrecon.sources.preview import preview_raw
 from posrecon.sources.sinks import write_report
 from posrecon.sources.tables import read_side_parquet, read_store_list
@@ -501,7 +501,7 @@ def preview_fixed(spark, sf):
     """First 20 records of the first file, as a person sees them."""
     path = raw_files(spark, sf, "bau", "fixed")
     first = list_files(spark, path).where(F.col("bytes") > 0).orderBy(FILE).first()[FILE]
-    return preview_raw(spark, first, "fixed", layout=sides.FIXED_LAYOUT)
+    return preview_raw(spark, plain_path(first), "fixed", layout=sides.FIXED_LAYOUT)
 
 
 # --- whole runs ------------------------------------------------------------

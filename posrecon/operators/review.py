@@ -9,7 +9,7 @@ from posrecon.config import FormatConfig
 from posrecon.functions.measures import total
 from posrecon.functions.text import strip
 from posrecon.operators.canonical import measures
-from posrecon.sources.lines import FILE
+from posrecon.sources.lines import FILE, file_name
 
 
 def review_rows(df: DataFrame, config: FormatConfig) -> DataFrame:
@@ -50,7 +50,7 @@ def file_review(
     if files is not None:
         per_file = files.select(FILE).join(per_file, FILE, "left").fillna(0)
     return per_file.select(
-        F.element_at(F.split(FILE, "/"), -1).alias("filename"),
+        file_name(F.col(FILE)).alias("filename"),
         F.col("store_count").cast("long").alias("store_count"),
         F.col("upc_count").cast("long").alias("upc_count"),
         "total_units",

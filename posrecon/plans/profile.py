@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from posrecon.config import DEFAULT_RECORD_TYPES, FormatConfig
 from posrecon.functions.text import delimiter_count, is_ascii, redecode_latin1, split_literal, strip
 from posrecon.plans.mapping import suggest_mapping
-from posrecon.sources.lines import FILE, LINE_NO, VALUE, head_lines, read_lines
+from posrecon.sources.lines import FILE, LINE_NO, VALUE, file_name, head_lines, read_lines
 
 # Sample sizes and the delimiters tried, in order of preference.
 SAMPLE_LINES = 100
@@ -93,7 +93,7 @@ def _file_format(sample: DataFrame) -> DataFrame:
         )
         .select(
             FILE,
-            F.element_at(F.split(FILE, "/"), -1).alias("filename"),
+            file_name(F.col(FILE)).alias("filename"),
             "file_type",
             F.when(is_multi, "|").when(F.col("file_type") == "delimited", F.col("found")).alias("delimiter"),
             F.when(F.col("ascii"), "cp1252").when(F.col("utf8"), "utf-8").otherwise("cp1252").alias("encoding"),

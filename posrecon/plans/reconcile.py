@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from posrecon.config import FormatConfig, ValidationConfig
-from posrecon.operators.canonical import bad_measure_count, to_sales_rows
+from posrecon.operators.canonical import bad_measure_count, to_rows, to_sales_rows
 from posrecon.operators.compare import item_comparison, item_summary, store_diffs
 from posrecon.operators.review import file_review, review_from_summaries, review_rows
 from posrecon.operators.stores import store_list_diff
-from posrecon.operators.summarize import item_part, store_part, two_level_summary
+from posrecon.operators.summarize import (
+    item_part,
+    store_part,
+    summarize_level,
+    two_level_summary,
+)
 from posrecon.sources.lines import FILE
 
 
@@ -50,14 +55,31 @@ def observe_input(raw: DataFrame, config: FormatConfig, name: str) -> tuple[Data
 
 
 def side_summary(
-    run: RunResult, raw: DataFrame, config: FormatConfig, name: str, exact: bool | int = False
-) -> tuple[DataFrame, DataFrame]:
-    """Store and item sums of one side from one scan, cached for all its reports."""
+    run: RunResult,
+    raw: DataFrame,
+    config: FormatConfig,
+    name: str,
+    exact: bool | int = False,
+    stores: bool = True,
+    items: bool = True,
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Store and item sums of one side from one scan, cached for all its reports.
+
+    A level that no report needs is not computed.
+    """
+    if not (stores or items):
+        return None, None
     counted, seen = observe_input(raw, config, name)
-    summary = two_level_summary(to_sales_rows(counted, config), exact).persist()
+    if stores and items:
+        summary = two_level_summary(to_sales_rows(counted, config), exact).persist()
+        parts = store_part(summary), item_part(summary)
+    else:
+        level = "store" if stores else "item"
+        summary = summarize_level(to_rows(counted, level, config), level, exact).persist()
+        parts = (summary, None) if stores else (None, summary)
     run.observations[name] = seen
     run.kept.append(summary)
-    return store_part(summary), item_part(summary)
+    return parts
 
 
 def reconcile(
@@ -79,8 +101,13 @@ def reconcile(
     """
     rules = rules or ValidationConfig()
     run = RunResult()
-    bau_stores, bau_items = side_summary(run, bau, bau_config, "bau", exact)
-    test_stores, test_items = side_summary(run, test, test_config, "test", exact)
+    sides = []
+    for name, raw, config in (("bau", bau, bau_config), ("test", test, test_config)):
+        from_sums = rules.file_review.enabled and FILE not in raw.columns
+        need_stores = rules.store_validation.enabled or rules.compare_store_list.enabled or from_sums
+        need_items = rules.item_validation.enabled or from_sums
+        sides.append(side_summary(run, raw, config, name, exact, need_stores, need_items))
+    (bau_stores, bau_items), (test_stores, test_items) = sides
     if rules.store_validation.enabled:
         run.frames["store_validation"] = store_diffs(bau_stores, test_stores)
     if rules.item_validation.enabled:
@@ -109,7 +136,12 @@ def onboard(
     ``upc_summary`` and ``file_review``."""
     rules = rules or ValidationConfig()
     run = RunResult()
-    stores, items = side_summary(run, raw, config, "retailer", exact)
+    from_sums = rules.file_review.enabled and FILE not in raw.columns
+    stores, items = side_summary(
+        run, raw, config, "retailer", exact,
+        rules.compare_store_list.enabled or from_sums,
+        rules.item_validation.enabled or from_sums,
+    )
     if rules.compare_store_list.enabled:
         if store_list is None:
             raise ValueError("a store list is required to compare stores")

@@ -15,9 +15,11 @@ from posrecon.sources.lines import (
     LINE_NO,
     VALUE,
     as_paths,
+    file_name,
     first_lines,
     head_lines,
     number_lines,
+    plain_path,
     read_lines,
 )
 
@@ -114,7 +116,7 @@ def _read_by_header(
     first = head_lines(read_lines(spark, paths, encoding, ordered=True), 1)
     groups: dict[str, list[str]] = {}
     for row in first.select(FILE, VALUE).collect():
-        groups.setdefault(row[VALUE], []).append(row[FILE])
+        groups.setdefault(row[VALUE], []).append(plain_path(row[FILE]))
     if not groups:
         return _read_native(spark, paths, delimiter, True, encoding, quoted_newlines, True)
     tables = [
@@ -154,7 +156,7 @@ def _read_below_banner(
 
 def _one_file(spark: SparkSession, paths: list[str]) -> str:
     files = list_files(spark, paths[:1]).orderBy(FILE).limit(1).collect()
-    return files[0][FILE] if files else paths[0]
+    return plain_path(files[0][FILE]) if files else paths[0]
 
 
 def list_files(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
@@ -162,6 +164,6 @@ def list_files(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     files = spark.read.format("binaryFile").load(as_paths(paths))
     return files.select(
         F.col("_metadata.file_path").alias(FILE),
-        F.col("_metadata.file_name").alias("filename"),
+        file_name(F.col("_metadata.file_path")).alias("filename"),
         F.col("_metadata.file_size").alias("bytes"),
     )

@@ -10,7 +10,9 @@ block.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,18 @@ def as_paths(paths: str | Iterable[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+def file_name(path: Column) -> Column:
+    """Base name of a file path as the scan reports it (percent-encoded)."""
+    base = F.element_at(F.split(path, "/"), -1)
+    return F.try_url_decode(F.replace(base, F.lit("+"), F.lit("%2B")))
+
+
+def plain_path(path: str) -> str:
+    """A reported file path in the form the readers accept: decoded, and with the
+    characters of glob patterns escaped."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(path))
+
+
 def read_lines(
     spark: SparkSession,
     paths: str | Iterable[str],

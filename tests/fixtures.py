@@ -1,4 +1,4 @@
-"""The reference rows in each file format."""
+"""Base sales rows in each file format."""
 
 from posrecon.config import FormatConfig, LayoutField
 

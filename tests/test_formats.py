@@ -1,12 +1,13 @@
 """Every format gives the same summaries; readers follow their line rules."""
 
+import gzip
 import random
 
 import pytest
 
 from posrecon.config import LayoutField
 from posrecon.operators.summarize import aggregate
-from posrecon.sources.delimited import read_delimited
+from posrecon.sources.delimited import list_files, read_delimited
 from posrecon.sources.dispatch import read_pos
 from posrecon.sources.fixed import read_fixed_width
 from posrecon.sources.layout import load_layout
@@ -76,6 +77,23 @@ def test_headers_must_agree_or_are_matched_by_name(spark, tmp_path):
     assert sorted((r["a"], r["b"]) for r in got.collect()) == [("1", "2"), ("4", "3")]
 
 
+def test_odd_file_names(spark, tmp_path):
+    (tmp_path / "a [1] {x}%20é+.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b c.csv").write_text("b,a\n3,4\n")
+    got = read_delimited(spark, str(tmp_path), mixed_headers=True)
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [("1", "2"), ("4", "3")]
+    names = [r["filename"] for r in list_files(spark, str(tmp_path)).collect()]
+    assert sorted(names) == ["a [1] {x}%20é+.csv", "b c.csv"]
+
+
+def test_gzip_and_crlf(spark, tmp_path):
+    for fmt, (writer, config) in FORMATS.items():
+        with gzip.open(tmp_path / f"{fmt}.txt.gz", "wt", newline="") as f:
+            f.write(writer(ROWS).replace("\n", "\r\n"))
+        df = read_pos(spark, str(tmp_path / f"{fmt}.txt.gz"), config)
+        assert sorted(rounded(aggregate(df, "item", config))) == GOLDEN["item"]
+
+
 def test_delimited_start_line(small_splits, tmp_path):
     for i in range(3):
         body = "".join(f"S{i},{j}\n" for j in range(300))

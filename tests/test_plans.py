@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from posrecon.config import (
+    RULE_NAMES,
     FormatConfig,
     OutputConfig,
     ValidationConfig,
@@ -73,6 +74,20 @@ def test_reconcile_rules_and_summary_review(spark):
     run.release()
 
 
+@pytest.mark.parametrize("level,frames", [
+    ("store_validation", {"store_validation"}), ("item_validation", {"item_comparison", "item_summary"}),
+])
+def test_reconcile_one_level_only(spark, level, frames):
+    bau, test = (spark.createDataFrame(r, NAMES) for r in (ROWS, TEST_ROWS))
+    rules = ValidationConfig()
+    for name in RULE_NAMES:
+        getattr(rules, name).enabled = name == level
+    run = reconcile(bau, test, CONFIG, CONFIG, rules)
+    assert set(run.frames) == frames and all(f.count() > 0 for f in run.frames.values())
+    assert run.metrics()["test"]["rows"] == 5
+    run.release()
+
+
 def test_bad_measures_are_counted(spark):
     bau = spark.createDataFrame([*ROWS, ("S9", "1", "x", "N/A", "1")], NAMES)
     run = reconcile(bau, bau, CONFIG, CONFIG)

@@ -25,17 +25,17 @@ def parse_measure(c: Column | str) -> Column:
     """Text to double, null where nothing numeric remains.
 
     Everything but digits, ``. e E + -`` is removed first. Most values are plain
-    numbers already, so they are cast directly; the regular expression runs only
-    for the rest (and for the few spellings the cast reads differently: NaN,
-    Infinity, hexadecimal).
+    numbers already and are cast directly; the regular expression runs only where
+    that fails. Texts with an n or x (NaN, Infinity, hexadecimal), which the cast
+    reads differently, always take the second way. Each cast appears once, which
+    keeps the generated code small enough to be compiled.
     """
     text = _col(c).cast("string")
-    direct = text.try_cast("double")
-    plain = direct.between(-1.7976931348623157e308, 1.7976931348623157e308) & ~(
-        F.contains(text, F.lit("x")) | F.contains(text, F.lit("X"))
-    )
-    cleaned = F.regexp_replace(text, _KEEP, "").try_cast("double")
-    return F.when(plain, direct).otherwise(cleaned)
+    special = F.lit(False)
+    for letter in "nNxX":
+        special = special | F.contains(text, F.lit(letter))
+    direct = F.when(~special, text.try_cast("double"))
+    return F.coalesce(direct, F.regexp_replace(text, _KEEP, "").try_cast("double"))
 
 
 def safe_numeric(c: Column | str) -> Column:

@@ -111,7 +111,14 @@ def redecode_latin1(c: Column, encoding: str) -> Column:
         return c
     if enc == "cp1252":
         return latin1_as_cp1252(c)
-    return F.when(is_ascii(c), c).otherwise(decode_bytes(F.encode(c, "ISO-8859-1"), enc))
+    text = F.encode(c, "ISO-8859-1").cast("string")
+    if enc == "utf-8":
+        return F.when(is_ascii(c), c).otherwise(F.make_valid_utf8(text))
+    return (
+        F.when(is_ascii(c), c)
+        .when(F.is_valid_utf8(text), text)
+        .otherwise(F.translate(c, _CP1252_FROM, _CP1252_TO))
+    )
 
 
 def normal_encoding(name: str | None) -> str:

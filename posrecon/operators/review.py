@@ -32,20 +32,26 @@ def file_review(
 ) -> DataFrame:
     """One row per file from one scan.
 
-    ``rows`` come from :func:`review_rows`. Distinct counts are grouped by
-    (file, value) before they are counted per file, so one file holding most rows
+    ``rows`` come from :func:`review_rows`. They are grouped by (file, store) and
+    (file, UPC) before anything is counted per file, so one file holding most rows
     still spreads out. ``files`` (``source_file, filename``) adds files without
     rows as zeros.
     """
-    # A null key is one more distinct group, as in the summaries.
-    def n_distinct(name: str):
-        return F.count_distinct(name) + F.max(F.col(name).isNull().cast("int"))
-
-    per_file = rows.groupBy(FILE).agg(
-        n_distinct("store").alias("store_count"),
-        n_distinct("upc").alias("upc_count"),
-        total("units", exact).alias("total_units"),
-        total("dollars", exact).alias("total_dollars"),
+    # Each row feeds one group per (file, store) and one per (file, UPC). The groups are
+    # what the counts count (a null key is a group too); the store groups carry the sums.
+    groups = rows.groupingSets(
+        [[F.col(FILE), F.col("store")], [F.col(FILE), F.col("upc")]], FILE, "store", "upc"
+    ).agg(
+        F.grouping("store").alias("by_upc"),
+        total("units", exact).alias("units"),
+        total("dollars", exact).alias("dollars"),
+    )
+    of_store = F.col("by_upc") == 0
+    per_file = groups.groupBy(FILE).agg(
+        F.count_if(of_store).alias("store_count"),
+        F.count_if(~of_store).alias("upc_count"),
+        total(F.when(of_store, F.col("units")), exact).alias("total_units"),
+        total(F.when(of_store, F.col("dollars")), exact).alias("total_dollars"),
     )
     if files is not None:
         per_file = files.select(FILE).join(per_file, FILE, "left").fillna(0)

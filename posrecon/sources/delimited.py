@@ -55,6 +55,7 @@ def read_delimited(
     quoted_newlines: bool = False,
     with_file: bool = False,
     header_names: list[str] | None = None,
+    numeric: tuple[str, ...] = (),
 ) -> DataFrame:
     """All files as one table of text columns.
 
@@ -64,6 +65,7 @@ def read_delimited(
     ``""`` under ``pad_ragged``), extra cells are dropped. ``columns`` prunes the
     scan; ``with_file`` adds ``source_file``. ``header_names`` states the header when
     it is already known: every file is checked against it and none is sampled.
+    Columns named in ``numeric`` are not decoded: only their ASCII characters count.
     """
     delimiter = delimiter or ","
     paths = as_paths(paths)
@@ -73,7 +75,8 @@ def read_delimited(
         df = _read_by_header(spark, paths, delimiter, encoding, quoted_newlines)
     else:
         df = _read_native(
-            spark, paths, delimiter, has_header, encoding, quoted_newlines, with_file, header_names
+            spark, paths, delimiter, has_header, encoding, quoted_newlines, with_file,
+            header_names, numeric,
         )
     df = rename_positional(df, column_names)
     keep = columns or [c for c in df.columns if c != FILE]
@@ -92,6 +95,7 @@ def _read_native(
     quoted_newlines: bool = False,
     with_file: bool = False,
     header_names: list[str] | None = None,
+    numeric: tuple[str, ...] = (),
 ) -> DataFrame:
     enc = normal_encoding(encoding)
     reader = (
@@ -106,7 +110,10 @@ def _read_native(
     raw = reader.csv(paths)
     cells = [F.col(f"`{c}`") for c in raw.columns]
     if enc != "utf-8":
-        cells = [redecode_latin1(c, enc).alias(n) for c, n in zip(cells, raw.columns)]
+        cells = [
+            c if n in numeric else redecode_latin1(c, enc).alias(n)
+            for c, n in zip(cells, raw.columns)
+        ]
     return raw.select(*cells, *([F.col("_metadata.file_path").alias(FILE)] if with_file else []))
 
 

@@ -37,6 +37,7 @@ def read_pos(
             encoding="auto" if config.encoding == "cp1252" else config.encoding,
             with_file=with_file,
             header_names=config.schema or config.detected_columns,
+            numeric=(config.units_col, config.price_col),
         )
     if config.file_type == "fixed":
         df = read_fixed_width(

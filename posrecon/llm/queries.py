@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from posrecon.llm.bpe import encoding_report
 from posrecon.llm.common import table
+from posrecon.llm.packing import packing_report
 from posrecon.llm.quality_rules import quality_report
 from posrecon.llm.secrets import secret_report
 
@@ -11,11 +13,21 @@ def op3_quality_rules(spark, sf_dir):
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark, sf_dir):
+    return encoding_report(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark, sf_dir):
+    return packing_report(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op7_bpe": op7_bpe,
+    "op9_packing": op9_packing,
     "op10_secret_scans": op10_secret_scans,
 }

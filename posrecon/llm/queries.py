@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from posrecon.llm.bpe import encoding_report
 from posrecon.llm.common import table
+from posrecon.llm.line_dedup import line_report
 from posrecon.llm.packing import packing_report
 from posrecon.llm.quality_rules import quality_report
 from posrecon.llm.secrets import secret_report
@@ -13,6 +14,10 @@ def op3_quality_rules(spark, sf_dir):
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark, sf_dir):
     return encoding_report(table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,7 @@ def op10_secret_scans(spark, sf_dir):
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op9_packing": op9_packing,
     "op10_secret_scans": op10_secret_scans,

@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from posrecon.llm.bpe import encoding_report
 from posrecon.llm.common import table
+from posrecon.llm.language import language_report
 from posrecon.llm.line_dedup import line_report
 from posrecon.llm.packing import packing_report
+from posrecon.llm.quality_model import quality_scores
 from posrecon.llm.quality_rules import quality_report
 from posrecon.llm.secrets import secret_report
+from posrecon.llm.toxicity import toxicity_report
 
 
 def op3_quality_rules(spark, sf_dir):
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality_model(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_line_dedup(spark, sf_dir):
     return line_report(table(spark, sf_dir, "documents"))
 
@@ -22,6 +33,10 @@ def op7_bpe(spark, sf_dir):
     return encoding_report(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark, sf_dir):
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark, sf_dir):
     return packing_report(table(spark, sf_dir, "documents"))
 
@@ -32,8 +47,11 @@ def op10_secret_scans(spark, sf_dir):
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality_model": op5_quality_model,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
+    "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_secret_scans": op10_secret_scans,
 }

@@ -6,6 +6,7 @@ from posrecon.llm.bpe import encoding_report
 from posrecon.llm.common import table
 from posrecon.llm.language import language_report
 from posrecon.llm.line_dedup import line_report
+from posrecon.llm.neighbors import neighbor_report
 from posrecon.llm.packing import packing_report
 from posrecon.llm.quality_model import quality_scores
 from posrecon.llm.quality_rules import quality_report
@@ -13,6 +14,10 @@ from posrecon.llm.secrets import secret_report
 from posrecon.llm.toxicity import toxicity_report
 
 
+def op2_neighbors(spark, sf_dir):
+    return neighbor_report(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op10_secret_scans(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_neighbors": op2_neighbors,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
     "op5_quality_model": op5_quality_model,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from posrecon.llm.bpe import encoding_report
 from posrecon.llm.common import table
+from posrecon.llm.jaccard import joined
 from posrecon.llm.language import language_report
 from posrecon.llm.line_dedup import line_report
 from posrecon.llm.neighbors import neighbor_report
@@ -14,6 +15,10 @@ from posrecon.llm.secrets import secret_report
 from posrecon.llm.toxicity import toxicity_report
 
 
+def op1_ngram_jaccard(spark, sf_dir):
+    return joined(table(spark, sf_dir, "documents"))
+
+
 def op2_neighbors(spark, sf_dir):
     return neighbor_report(table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +56,7 @@ def op10_secret_scans(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_neighbors": op2_neighbors,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,

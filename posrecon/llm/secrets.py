@@ -64,7 +64,7 @@ class Scan:
 #: Forms that look random but are no secrets: UUIDs, names of many parts, paths, dotted or padded rules.
 ALLOWED = (
     "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
-    "|^([A-Za-z]+[0-9]{0,4}[-_/=+]+)+[A-Za-z]*[0-9]{0,4}$"
+    "|^([A-Za-z]*[0-9]{0,4}[-_/=+]+)+[A-Za-z]*[0-9]{0,4}$"
     "|(?i:example|sample|dummy|placeholder|changeme|lorem)"
 )
 PRODUCTION = Scan()

@@ -33,7 +33,7 @@ class OrdinalRules:
     prefixes: tuple[int, ...] = (4, 5)
     max_features: int = 4000
     #: Labelled documents that training may use.
-    max_rows: int = 12_000
+    max_rows: int = 10_000
     steps: int = 300
     rate: float = 0.1
     ridge: float = 2e-5
@@ -159,7 +159,8 @@ def training_words(docs: DataFrame, labels: DataFrame, keep: Column, column: str
     )
     rows = joined.mapInArrow(run, "doc_id long, words string, grade double").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["words"]))
-    return [r["words"].split() for r in rows], [r["grade"] for r in rows]
+    one: dict[str, str] = {}  # each word is held once, however many texts have it
+    return [[one.setdefault(w, w) for w in r["words"].split()] for r in rows], [r["grade"] for r in rows]
 
 
 def graded(docs: DataFrame, model: Ordinal, rules: OrdinalRules = PRODUCTION) -> DataFrame:

@@ -21,7 +21,7 @@ from posrecon.operators.compare import (
     top_by_diff,
 )
 from posrecon.operators.review import file_review, review_from_summaries, review_rows
-from posrecon.operators.stores import compare_files, store_list_diff, store_list_text
+from posrecon.operators.stores import store_list_diff, store_list_text
 from posrecon.operators.summarize import aggregate, aggregate_by_rule, merge_summaries
 from posrecon.plans.item_audit import item_audit
 from posrecon.plans.profile import profile_files
@@ -32,7 +32,7 @@ from posrecon.sources.sinks import write_report, write_reports
 
 __all__ = [
     "FormatConfig", "LayoutField", "OutputConfig", "ValidationConfig", "ValidationRule",
-    "aggregate", "aggregate_by_rule", "apply_tolerance", "compare_files", "file_review",
+    "aggregate", "aggregate_by_rule", "apply_tolerance", "file_review",
     "item_audit", "item_comparison", "item_summary", "item_validation", "load_format_config",
     "load_layout", "merge_summaries", "onboard", "profile_files", "rank_by_diff", "read_pos",
     "reconcile", "resolve_layouts", "review_from_summaries", "review_rows",

@@ -161,7 +161,7 @@ with {_BAU}, {_TEST}, p as (select distinct lower(trim(store)) as store from bau
 t as (select distinct lower(trim(store)) as store from test),
 m as (select 'missing_in_test' as side, store from (select store from p except select store from t)
 union all select 'missing_in_prod', store from (select store from t except select store from p))
-select side, string_agg(store, ', ' order by store) as stores from m group by side""",
+select side, store, count(*) over (partition by side) as n_stores from m""",
     "read_delimited_store": _STORE,
     "read_delimited_item": _ITEM,
     "read_fixed_width_item": _ITEM,
@@ -201,11 +201,12 @@ union all
 select upc, t.descr, 'TEST', any_value(t.units), any_value(t.dollars), count(*)
 from b join t using (upc) where b.descr <> t.descr group by upc, t.descr""",
     "audit_mismatch_report": f"""{_AGREEMENT},
-bs as (select upc, string_agg(descr, ' | ' order by descr) as d, sum(units) as u, sum(dollars) as p from b group by upc),
-ts as (select upc, string_agg(descr, ' | ' order by descr) as d, sum(units) as u, sum(dollars) as p from t group by upc)
-select a.upc, bs.d as bau_descriptions, ts.d as test_descriptions, round(bs.u, 2) as bau_units,
-  round(ts.u, 2) as test_units, round(bs.p, 2) as bau_dollars, round(ts.p, 2) as test_dollars
-from a join bs on a.upc = bs.upc join ts on a.upc = ts.upc where a.shared_descriptions = 0""",
+bs as (select upc, sum(units) as u, sum(dollars) as p from b group by upc),
+ts as (select upc, sum(units) as u, sum(dollars) as p from t group by upc),
+d as (select upc, 'BAU' as side, descr from b union all select upc, 'TEST', descr from t)
+select d.upc, d.side, d.descr, round(bs.u, 2) as bau_units, round(ts.u, 2) as test_units,
+  round(bs.p, 2) as bau_dollars, round(ts.p, 2) as test_dollars
+from d join a using (upc) join bs using (upc) join ts using (upc) where a.shared_descriptions = 0""",
     "audit_one_store": f"""
 select 3.0::double as store, count(*) as n, {_sum('l_quantity')} as units
 from lineitem where lpad(cast(l_suppkey as varchar), 5, '0') = '00003' having count(*) > 0""",
@@ -269,3 +270,27 @@ m as (select s_suppkey, list_filter([
 select s_suppkey, cast(len(e) as integer) as n_errors, array_to_string(e, '; ') as errors from m""",
 }
 ORACLE["audit_from_parquet"] = ORACLE["audit_key_counts"]
+ORACLE["reconcile_item_comparison"] = ORACLE["item_validation"]
+ORACLE["reconcile_item_summary"] = ORACLE["item_presence_summary"]
+ORACLE["reconcile_store_list"] = ORACLE["store_list_compare"]
+ORACLE["onboard_upc_summary"] = f"with {_TEST} {_grouped('upc, descr', 'test')}"
+ORACLE["item_audit_comparison"] = ORACLE["audit_inner_diff"]
+
+
+def _review(side: str, name: str) -> str:
+    return f"""
+select '{name}' as filename, count(distinct store) as store_count, count(distinct (upc, descr)) as upc_count,
+  round({_sum('units')}, 2) as total_units, round({_sum('price')}, 2) as total_dollars from {side}"""
+
+
+ORACLE["reconcile_reviews"] = f"with {_BAU}, {_TEST} {_review('bau', 'BAU')} union all {_review('test', 'TEST')}"
+ORACLE["onboard_file_review"] = f"with {_TEST} {_review('test', 'retailer')}"
+ORACLE["reconcile_metrics"] = """
+select side, (select count(*) from lineitem) as n_rows, 0::bigint as bad_measures, 0::bigint as no_store
+from (values ('bau'), ('test')) as s(side)"""
+ORACLE["item_audit_counts"] = f"""{_AGREEMENT}
+select (select count(*) from b anti join t using (upc, descr)) as bau_only,
+  (select count(*) from t anti join b using (upc, descr)) as test_only,
+  (select count(*) from b join t using (upc, descr)) as both,
+  (select cast(coalesce(sum(mismatched_pairs), 0) as bigint) from a) as mismatched_pairs,
+  (select count(*) from a) as common_upcs, (select count(*) from a where shared_descriptions = 0) as disjoint_upcs"""

@@ -19,9 +19,11 @@ from posrecon.operators import stores as st
 from posrecon.operators import summarize as sm
 from posrecon.operators.canonical import to_item_rows, to_rows, to_sales_rows
 from posrecon.plans.config_audit import config_errors
-from posrecon.plans.mapping import check_mapping
 from posrecon.plans.profile import profile_files
-from posrecon.plans.reconcile import onboard, reconcile
+from posrecon.plans.item_audit import item_audit
+from posrecon.plans.mapping import check_mapping
+from posrecon.plans.reconcile import RunResult, onboard, reconcile
+from posrecon.shared import scratch_dir, stored
 from posrecon.sources.delimited import list_files, read_delimited
 from posrecon.sources.dispatch import read_pos
 from posrecon.sources.lines import FILE, LINE_NO, number_lines, plain_path, read_lines
@@ -236,15 +238,19 @@ def item_validation_named(spark, sf):
     return _item_view(comparison)
 
 
-@register
-def item_presence_summary(spark, sf):
-    return cmp.item_summary(_item_comparison(spark, sf), ordered=False).select(
+def _presence_view(df: DataFrame) -> DataFrame:
+    return df.select(
         F.col("Present In").alias("present_in"),
         F.round("Units Difference", 2).alias("units_diff"),
         F.round("Dollar Difference", 2).alias("dollar_diff"),
     )
 
 
+@register
+def item_presence_summary(spark, sf):
+    return _presence_view(cmp.item_summary(_item_comparison(spark, sf), ordered=False))
+
+
 @register
 def store_tolerance(spark, sf):
     df = cmp.apply_tolerance(_store_diffs(spark, sf), "Units_Diff_%", 1.0)
@@ -277,7 +283,7 @@ def store_top_k(spark, sf):
 
 @register
 def store_sorted(spark, sf):
-    df = cmp.sort_by_diff(_store_diffs(spark, sf), "Units_Diff")
+    df = cmp.sort_by_diff(_store_diffs(spark, sf), "Units_Diff", tiebreak=["STORE_NUMBER"])
     return _names(df, store="STORE_NUMBER", units_diff="Units_Diff")
 
 
@@ -295,7 +301,7 @@ def store_list_compare(spark, sf):
 
 @register
 def store_list_text(spark, sf):
-    return st.store_list_text(st.store_list_diff(*_stores(spark, sf))).drop("page")
+    return st.store_list_text(st.store_list_diff(*_stores(spark, sf)))
 
 
 # --- raw files -------------------------------------------------------------
@@ -387,9 +393,8 @@ def _presence(spark, sf) -> DataFrame:
     return au.outer_presence(*_audit(spark, sf))
 
 
-@register
-def audit_inner_diff(spark, sf):
-    return au.inner_differences(*_audit(spark, sf)).select(
+def _audit_differences(df: DataFrame) -> DataFrame:
+    return df.select(
         F.col("UPC_CODE").alias("upc"), F.col("PRODUCT_DESCRIPTION").alias("descr"),
         F.round("Units Difference", 4).alias("units_diff"),
         F.round("Dollar Difference", 4).alias("dollar_diff"),
@@ -398,6 +403,11 @@ def audit_inner_diff(spark, sf):
     )
 
 
+@register
+def audit_inner_diff(spark, sf):
+    return _audit_differences(au.inner_differences(*_audit(spark, sf)))
+
+
 @register
 def audit_outer_presence(spark, sf):
     return _names(
@@ -432,7 +442,7 @@ def audit_disjoint_desc(spark, sf):
 
 @register
 def audit_desc_mismatch(spark, sf):
-    presence = _presence(spark, sf)
+    presence = stored(_presence(spark, sf))
     return _names(
         au.description_mismatch(presence, au.upc_agreement(presence)),
         upc="UPC_CODE", descr="PRODUCT_DESCRIPTION", side="side", units="units",
@@ -442,11 +452,11 @@ def audit_desc_mismatch(spark, sf):
 
 @register
 def audit_mismatch_report(spark, sf):
-    presence = _presence(spark, sf)
+    presence = stored(_presence(spark, sf))
     report = au.mismatch_report(presence, au.upc_agreement(presence))
     return report.select(
-        F.col("UPC_CODE").alias("upc"), F.col("BAU_DESCRIPTIONS").alias("bau_descriptions"),
-        F.col("TEST_DESCRIPTIONS").alias("test_descriptions"),
+        F.col("UPC_CODE").alias("upc"), F.col("SIDE").alias("side"),
+        F.col("PRODUCT_DESCRIPTION").alias("descr"),
         F.round("BAU_TOTAL_UNITS", 2).alias("bau_units"),
         F.round("TEST_TOTAL_UNITS", 2).alias("test_units"),
         F.round("BAU_TOTAL_DOLLARS", 2).alias("bau_dollars"),
@@ -531,15 +541,57 @@ def _two_formats(spark, sf):
     return reconcile(*raw, *configs, exact=True)
 
 
+def _kept(run: RunResult, frame: DataFrame) -> DataFrame:
+    """A frame of a run, stored so that the run's caches can go."""
+    out = stored(frame)
+    run.release()
+    return out
+
+
 @register
 def reconcile_two_formats(spark, sf):
-    return _store_view(_two_formats(spark, sf)["store_validation"])
+    run = _two_formats(spark, sf)
+    return _kept(run, _store_view(run["store_validation"]))
 
 
 @register
-def onboard_store_list(spark, sf):
-    """Stores in the TEST rows against a store list file made from ``supplier``."""
-    path = f"{sides.scratch_dir(spark)}/stores"
+def reconcile_item_comparison(spark, sf):
+    run = _two_formats(spark, sf)
+    return _kept(run, _item_view(run["item_comparison"]))
+
+
+@register
+def reconcile_item_summary(spark, sf):
+    run = _two_formats(spark, sf)
+    return _kept(run, _presence_view(run["item_summary"]))
+
+
+@register
+def reconcile_store_list(spark, sf):
+    run = _two_formats(spark, sf)
+    return _kept(run, run["store_list"])
+
+
+@register
+def reconcile_reviews(spark, sf):
+    """The consolidated reviews of both sides."""
+    run = _two_formats(spark, sf)
+    both = run["bau_review"].unionByName(run["test_review"])
+    return _kept(run, both.withColumn("total_units", F.round("total_units", 2)))
+
+
+@register
+def reconcile_metrics(spark, sf):
+    """Counts seen on the same pass as the reports, one row per side."""
+    run = _two_formats(spark, sf)
+    _kept(run, run["item_summary"])
+    seen = [(name, *(m[k] for k in ("rows", "bad_measures", "no_store"))) for name, m in run.metrics().items()]
+    return spark.createDataFrame(seen, "side string, n_rows long, bad_measures long, no_store long")
+
+
+def _onboarding(spark, sf) -> RunResult:
+    """The TEST rows with a store list file made from ``supplier``."""
+    path = f"{scratch_dir(spark)}/stores"
     write_report(
         table(spark, sf, "supplier").select(
             F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 10, "0"), F.lit(" ")).alias("Store")
@@ -547,14 +599,57 @@ def onboard_store_list(spark, sf):
         path,
     )
     stores = read_store_list(spark, path)
-    run = onboard(sides.test(spark, sf), TABLE_CONFIG, stores, "Store", exact=True)
-    return run["store_list"]
+    return onboard(sides.test(spark, sf), TABLE_CONFIG, stores, "Store", exact=True)
+
+
+@register
+def onboard_store_list(spark, sf):
+    run = _onboarding(spark, sf)
+    return _kept(run, run["store_list"])
+
+
+@register
+def onboard_upc_summary(spark, sf):
+    run = _onboarding(spark, sf)
+    return _kept(run, _names(run["upc_summary"], **_ITEM))
+
+
+@register
+def onboard_file_review(spark, sf):
+    run = _onboarding(spark, sf)
+    return _kept(run, run["file_review"].withColumn("total_units", F.round("total_units", 2)))
+
+
+@register
+def item_audit_comparison(spark, sf):
+    """The comparison of a whole item audit, from its one table of joined keys."""
+    run = _item_audit(spark, sf)
+    out = stored(_audit_differences(run["comparison"]))
+    run["presence"].unpersist()
+    return out
+
+
+@register
+def item_audit_counts(spark, sf):
+    """Key, UPC and mismatch counts of a whole item audit."""
+    run = _item_audit(spark, sf)
+    counts = run["key_counts"].join(run["mismatch_count"]).join(
+        run["common_upcs"].agg(F.count(F.lit(1)).alias("common_upcs"))
+    ).join(run["disjoint_upcs"].agg(F.count(F.lit(1)).alias("disjoint_upcs")))
+    out = stored(counts)
+    run["presence"].unpersist()
+    return out
+
+
+def _item_audit(spark, sf) -> dict[str, DataFrame]:
+    names = {"UPC": "UPC_CODE", "Description": "PRODUCT_DESCRIPTION", "Units": "UNITS_SOLD", "Price": "TOTAL_DOLLARS"}
+    return item_audit(*(side(spark, sf).withColumnsRenamed(names) for side in (sides.bau, sides.test)), exact=True)
 
 
 @register
 def report_round_trip(spark, sf):
     """The store comparison written as a CSV report and read back."""
-    path = f"{sides.scratch_dir(spark)}/report"
+    path = f"{scratch_dir(spark)}/report"
     write_report(_store_diffs(spark, sf), path)
     back = read_delimited(spark, path, ",")
     numbers = [F.col(f"`{c}`").cast("double").alias(c) for c in back.columns[1:]]
@@ -566,7 +661,7 @@ def audit_from_parquet(spark, sf):
     """Key counts from both sides' row-level Parquet output."""
     sums = []
     for side in (sides.bau, sides.test):
-        path = f"{sides.scratch_dir(spark)}/rows"
+        path = f"{scratch_dir(spark)}/rows"
         write_report(
             side(spark, sf).select(
                 F.col("Store"), F.col("UPC").alias("UPC_CODE"),
@@ -582,7 +677,7 @@ def audit_from_parquet(spark, sf):
 @register
 def landing_stream_store(spark, sf):
     """The store summary computed as files land; every trigger rewrites the table."""
-    out = sides.scratch_dir(spark)
+    out = scratch_dir(spark)
     stream = stream_summary(
         spark, raw_files(spark, sf, "bau", "delimited"), CONFIGS["delimited"], "store", exact=True
     )

@@ -7,15 +7,11 @@ class and every kind of difference occurs.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posrecon.config import FormatConfig, LayoutField
+from posrecon.shared import scratch_dir
 
 RAW = ["Store", "UPC", "Description", "Units", "Price"]
 ROLES = dict(
@@ -96,19 +92,6 @@ CONFIGS = {
 _written: dict[tuple[str, str, str], str] = {}
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
-
-    Only where the session names none (tests) is a temporary local folder used.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/posrecon-{uuid.uuid4().hex}"
-    local = tempfile.mkdtemp(prefix="posrecon-")
-    atexit.register(shutil.rmtree, local, ignore_errors=True)
-    return local
-
-
 def _money(name: str):
     return F.format_string("%.2f", F.col(name))
 

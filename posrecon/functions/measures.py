@@ -110,14 +110,22 @@ def within_tolerance(
     return F.when(F.abs(_col(c)) <= tolerance, pass_label).otherwise(fail_label)
 
 
+#: Size of the lower part of a scaled value.
+_LOW = 1 << 16
+
+
 def exact_sum(c: Column | str, scale: int = 4) -> Column:
     """Sum of doubles that does not depend on row order (``scale`` decimals kept).
 
-    Values are summed as scaled whole numbers, which stays in fast long arithmetic.
-    A sum beyond 9.2e18 / 10^scale fails the job instead of wrapping around.
+    Scaled whole numbers are summed in two parts (multiples of 2^16, and the rest), each in fast long
+    arithmetic, and joined as a decimal. Under ANSI mode a sum beyond 6e23 / 10^scale fails.
     """
     unit = float(10**scale)
-    return F.sum(F.rint(_col(c) * unit).cast("long")).cast("double") / unit
+    scaled = F.rint(_col(c) * unit)
+    high = F.floor(scaled / float(_LOW))
+    low = scaled - high * float(_LOW)
+    whole = F.sum(high.cast("long")).cast("decimal(30,0)") * F.lit(_LOW).cast("decimal(6,0)")
+    return (whole + F.sum(low.cast("long")).cast("decimal(20,0)")).cast("double") / unit
 
 
 def total(c: Column | str, exact: bool | int = False) -> Column:

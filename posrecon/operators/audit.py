@@ -14,7 +14,7 @@ from posrecon.functions.measures import (
     fraction_change,
     total,
 )
-from posrecon.operators.skew import PAGE_SIZE, join_in_pages, lookup_by_key
+from posrecon.operators.skew import lookup_by_key
 
 KEYS = ["UPC_CODE", "PRODUCT_DESCRIPTION"]
 
@@ -40,21 +40,22 @@ def _side(summary: DataFrame, name: str) -> DataFrame:
     )
 
 
-def inner_differences(bau: DataFrame, test: DataFrame) -> DataFrame:
+def differences_of(presence: DataFrame) -> DataFrame:
     """Keys on both sides: TEST - BAU differences and fractional changes."""
-    return (
-        _side(bau, "BAU")
-        .join(_side(test, "TEST"), KEYS)
-        .select(
-            *KEYS, "BAU Units", "BAU Dollars", "TEST Units", "TEST Dollars",
-            (F.col("TEST Units") - F.col("BAU Units")).alias("Units Difference"),
-            (F.col("TEST Dollars") - F.col("BAU Dollars")).alias("Dollar Difference"),
-            fraction_change("BAU Units", "TEST Units").alias("Unit % Difference"),
-            fraction_change("BAU Dollars", "TEST Dollars").alias("Dollar % Difference"),
-        )
+    return presence.where(F.col("BAU Units").isNotNull() & F.col("TEST Units").isNotNull()).select(
+        *KEYS, "BAU Units", "BAU Dollars", "TEST Units", "TEST Dollars",
+        (F.col("TEST Units") - F.col("BAU Units")).alias("Units Difference"),
+        (F.col("TEST Dollars") - F.col("BAU Dollars")).alias("Dollar Difference"),
+        fraction_change("BAU Units", "TEST Units").alias("Unit % Difference"),
+        fraction_change("BAU Dollars", "TEST Dollars").alias("Dollar % Difference"),
     )
 
 
+def inner_differences(bau: DataFrame, test: DataFrame) -> DataFrame:
+    """The same from the sums of the two sides."""
+    return differences_of(_side(bau, "BAU").join(_side(test, "TEST"), KEYS))
+
+
 def outer_presence(bau: DataFrame, test: DataFrame) -> DataFrame:
     """All keys with their presence class; measures of the absent side stay null."""
     return (
@@ -150,33 +151,23 @@ def description_mismatch(presence: DataFrame, agreement: DataFrame) -> DataFrame
     )
 
 
-def mismatch_report(
-    presence: DataFrame, agreement: DataFrame, page_size: int = PAGE_SIZE
-) -> DataFrame:
-    """UPCs without a shared description: both sides' descriptions and totals.
+TOTALS = ["BAU_TOTAL_UNITS", "TEST_TOTAL_UNITS", "BAU_TOTAL_DOLLARS", "TEST_TOTAL_DOLLARS"]
 
-    Descriptions are sorted and joined with ``" | "``. A UPC with more than
-    ``page_size`` descriptions on a side takes further rows (``PAGE`` 1, 2, ...),
-    each with the UPC's totals and its next descriptions.
+
+def mismatch_report(presence: DataFrame, agreement: DataFrame) -> DataFrame:
+    """UPCs without a shared description: one row per UPC, side and description.
+
+    Each row has the UPC's totals of both sides. The form is the same at any size: no
+    row holds a whole UPC.
     """
-    problem = disjoint_upcs(agreement)
-    keys = _with_counts(presence, problem).select(
-        "UPC_CODE",
-        F.when(F.col("Present In") == ONLY_BAU, "BAU").otherwise("TEST").alias("side"),
-        "PRODUCT_DESCRIPTION",
+    problem = disjoint_upcs(agreement).select(
+        "UPC_CODE", F.struct(*TOTALS).alias("__totals"), (F.col("n_bau") + F.col("n_test")).alias("__n")
     )
-    pages = join_in_pages(
-        keys, ["UPC_CODE", "side"], "PRODUCT_DESCRIPTION", " | ", "text", page_size
-    )
-    by_page = pages.groupBy("UPC_CODE", "page").agg(
-        F.max(F.when(F.col("side") == "BAU", F.col("text"))).alias("BAU_DESCRIPTIONS"),
-        F.max(F.when(F.col("side") == "TEST", F.col("text"))).alias("TEST_DESCRIPTIONS"),
-    )
-    return by_page.join(problem, "UPC_CODE").select(
-        "UPC_CODE", F.col("page").alias("PAGE"),
-        F.coalesce("BAU_DESCRIPTIONS", F.lit("")).alias("BAU_DESCRIPTIONS"),
-        F.coalesce("TEST_DESCRIPTIONS", F.lit("")).alias("TEST_DESCRIPTIONS"),
-        "BAU_TOTAL_UNITS", "TEST_TOTAL_UNITS", "BAU_TOTAL_DOLLARS", "TEST_TOTAL_DOLLARS",
+    found = lookup_by_key(presence, problem, "UPC_CODE", "__totals", "__n")
+    return found.where(F.col("__totals").isNotNull()).select(
+        "UPC_CODE",
+        F.when(F.col("Present In") == ONLY_BAU, "BAU").otherwise("TEST").alias("SIDE"),
+        "PRODUCT_DESCRIPTION", "__totals.*",
     )
 
 

@@ -15,6 +15,7 @@ from posrecon.functions.measures import (
 )
 from posrecon.operators.skew import lookup_by_key, rows_before
 from posrecon.operators.summarize import summarize_level
+from posrecon.shared import stored
 
 _STORE_MEASURES = ("Units", "Totalprice")
 _ITEM_KEYS = ["UPC_CODE", "PRODUCT_DESCRIPTION"]
@@ -121,11 +122,17 @@ def item_validation(
 
 
 def sort_by_diff(
-    df: DataFrame, sort_col: str = "Units_Diff_%", ascending: bool = False
+    df: DataFrame, sort_col: str = "Units_Diff_%", ascending: bool = False,
+    tiebreak: list[str] | None = None,
 ) -> DataFrame:
-    """Order by a difference column; nulls come first either way."""
+    """Order by a difference column; nulls come first either way.
+
+    Give the key columns as ``tiebreak``: rows with one difference then spread over
+    several ranges.
+    """
     c = F.col(f"`{sort_col}`")
-    return df.orderBy(c.asc_nulls_first() if ascending else c.desc_nulls_first())
+    first = c.asc_nulls_first() if ascending else c.desc_nulls_first()
+    return df.orderBy(first, *[F.col(f"`{t}`") for t in tiebreak or []])
 
 
 def top_by_diff(
@@ -143,22 +150,24 @@ def rank_by_diff(
     rank_col: str = "Units_Diff_%",
     rank_name: str = "Rank",
     ascending: bool = False,
-    buckets: int = 100,
 ) -> DataFrame:
     """Rank by a difference column, 1 = largest. Ties take the average of their
     ranks, cut to an integer; null has no rank.
 
     Rows are first reduced to distinct values with counts, so that neither a value
-    shared by most rows nor the global order ends up in one task.
+    shared by most rows nor the global order ends up in one task. ``df`` is computed
+    once and stored.
     """
+    df = stored(df)
     c = F.col(f"`{rank_col}`")
     values = df.where(c.isNotNull()).groupBy(c.alias("__value")).agg(
         F.count(F.lit(1)).alias("__n")
     )
-    before = rows_before(values, "__value", "__n", ascending, buckets)
+    before = rows_before(values, "__value", "__n", ascending)
     ranks = before.withColumn(
         rank_name, F.floor(F.col("__before") + (F.col("__n") + 1) / 2).cast("int")
     )
+    ranks = stored(ranks)
     keyed = df.withColumn("__value", c)
     return lookup_by_key(keyed, ranks, "__value", rank_name, "__n").drop("__value")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from posrecon.shared import stored
+
 HOT_KEYS = 1000
-PAGE_SIZE = 1000
 SPREAD = 1 << 20
 
 
@@ -40,23 +41,15 @@ def lookup_by_key(
     )
 
 
-def rows_before(
-    table: DataFrame, key: str, weight: str, ascending: bool, buckets: int = 100
-) -> DataFrame:
+def rows_before(table: DataFrame, key: str, weight: str, ascending: bool) -> DataFrame:
     """Add ``__before``: the total weight of the keys ordered before each key.
 
-    Keys are cut into ranges at approximate quantiles. Ranges are summed, at most
-    ``buckets`` sums run through one window, and each range continues from its
-    start with a window of its own.
+    The table is dealt out by ranges of the key, as many as the shuffle has parts. Ranges
+    are summed, one row per range runs through one window, and each range continues
+    from its start with a window of its own.
     """
     k = F.col(f"`{key}`")
-    steps = ", ".join(f"{i}D/{buckets}D" for i in range(1, buckets))
-    bounds = table.agg(
-        F.expr(f"percentile_approx(`{key}`, array({steps}), {10 * buckets})")
-    ).scalar()
-    ranged = table.withColumn("__bounds", bounds).withColumn(
-        "__range", F.size(F.filter("__bounds", lambda b: b < k))
-    ).drop("__bounds")
+    ranged = stored(table.repartitionByRange(k).withColumn("__range", F.spark_partition_id()))
     direction = (lambda c: c.asc()) if ascending else (lambda c: c.desc())
     up_to_now = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("__range").agg(F.sum(weight).alias("__w")).select(
@@ -66,38 +59,7 @@ def rows_before(
     inside = F.sum(weight).over(up_to_now(Window.partitionBy("__range").orderBy(direction(k))))
     return (
         ranged.withColumn("__inside", inside)
-        # A left join: an inner one would infer "range is not null" and evaluate the
-        # range of every row below the aggregation.
-        .join(F.broadcast(starts), "__range", "left")
-        .withColumn(
-            "__before",
-            F.coalesce("__start", F.lit(0)) + F.coalesce("__inside", F.lit(0)),
-        )
+        .join(F.broadcast(starts), "__range", "left")  # one row per part of the shuffle
+        .withColumn("__before", F.coalesce("__start", F.lit(0)) + F.coalesce("__inside", F.lit(0)))
         .drop("__range", "__inside", "__start")
     )
-
-
-def join_in_pages(
-    values: DataFrame,
-    keys: list[str],
-    value: str,
-    separator: str,
-    name: str,
-    page_size: int = PAGE_SIZE,
-) -> DataFrame:
-    """Sorted, joined strings of the distinct ``value`` of each key group.
-
-    A group of up to ``page_size`` values gives one row with ``page`` 0. A larger
-    group is spread over several pages by hash, each sorted and of about that size,
-    so no row and no task holds a whole large group and no value is lost.
-    """
-    keyed = values.withColumn("__key", F.struct(*keys))
-    pages = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).withColumn(
-        "__pages", F.ceil(F.col("__n") / page_size)
-    )
-    page = F.pmod(F.hash(value), F.col("__pages").cast("int"))
-    return (
-        lookup_by_key(keyed, pages, "__key", "__pages", "__n")
-        .groupBy(*keys, page.alias("page"))
-        .agg(F.array_join(F.sort_array(F.collect_list(value)), separator).alias(name))
-    )

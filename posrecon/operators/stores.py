@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posrecon.functions.text import strip
-from posrecon.operators.skew import PAGE_SIZE, join_in_pages
 
 MISSING_IN_TEST = "missing_in_test"
 MISSING_IN_PROD = "missing_in_prod"
@@ -41,18 +40,10 @@ def store_list_diff(
     )
 
 
-def store_list_text(diff: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """The same as ``", "``-joined sorted text per side (``side, page, stores``)."""
-    return join_in_pages(diff, ["side"], "store", ", ", "stores", page_size)
+def store_list_text(diff: DataFrame) -> DataFrame:
+    """``(side, store, n_stores)``: each missing store with the number its side lacks.
 
-
-def compare_files(
-    prod: DataFrame, test: DataFrame, prod_col: str, test_col: str
-) -> dict[str, str]:
-    """Both joined strings on the driver, for small store lists shown to a person."""
-    out = {MISSING_IN_TEST: "", MISSING_IN_PROD: ""}
-    pages = store_list_text(store_list_diff(prod, test, prod_col, test_col)).collect()
-    for side in out:
-        names = [n for p in pages if p["side"] == side for n in p["stores"].split(", ")]
-        out[side] = ", ".join(sorted(names))
-    return out
+    One row per store at any size, in place of one joined string per side.
+    """
+    totals = diff.groupBy("side").agg(F.count(F.lit(1)).alias("n_stores"))
+    return diff.join(F.broadcast(totals), "side")  # at most two rows

@@ -9,8 +9,8 @@ from posrecon.operators.audit import (
     audit_summary,
     common_upcs,
     description_mismatch,
+    differences_of,
     disjoint_upcs,
-    inner_differences,
     key_counts,
     mismatch_report,
     outer_presence,
@@ -27,7 +27,7 @@ def item_audit(bau: DataFrame, test: DataFrame, exact: bool | int = False) -> di
     presence = outer_presence(bau_sums, test_sums).persist()
     agreement = upc_agreement(presence)
     return {
-        "comparison": inner_differences(bau_sums, test_sums),
+        "comparison": differences_of(presence),
         "presence": presence,
         "key_counts": key_counts(presence),
         "common_upcs": common_upcs(agreement),

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from posrecon.shared import scratch_dir
+
 #: The characters between words.
 SPACES = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -28,27 +29,13 @@ def words_of(text: Column) -> Column:
     return let(inner, lambda t: F.when(t == "", empty).otherwise(F.split(t, "[ \\t-\\r]+")))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the session names none but its context has one (as tests set it), that is used.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        shared = found.get() if found.isDefined() else None
-    if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return shared.rstrip("/")
-
-
 def saved(df: DataFrame) -> DataFrame:
     """Write a table once below the shared folder and read it back.
 
     The plan ends there: a lost executor costs a re-read, not a new computation.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
+    path = scratch_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

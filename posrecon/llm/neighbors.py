@@ -38,7 +38,7 @@ class Search:
     max_pivots: int = 2048
     shard_rows: int = 4096
     block_queries: int = 4096
-    leaf: int = 32
+    leaf: int = 256
 
 
 PRODUCTION = Search()
@@ -114,14 +114,21 @@ class VpTree:
 
 def _answers(tree: VpTree, ids, q, query_id: int, reach: float, search: Search):
     """Up to ``k`` (distance, id) of one shard, ties to the smaller id."""
+    import numpy as np
+
     best: list[tuple[float, int]] = []
 
     def found(rows, d) -> float:
         nonlocal best
-        for r, x in zip(rows, d):
-            if x <= reach and (len(best) < search.k or x <= best[-1][0]):
-                best.extend((float(x), i) for i in ids[r] if i != query_id)
-                best = sorted(set(best))[: search.k]
+        limit = best[-1][0] if len(best) == search.k else reach
+        near = np.flatnonzero(d <= limit)
+        if len(near):
+            nearest_of = {i: x for x, i in best}
+            for x, r in zip(d[near].tolist(), rows[near]):
+                for i in ids[r]:
+                    if i != query_id and x < nearest_of.get(i, np.inf):
+                        nearest_of[i] = x
+            best = sorted((x, i) for i, x in nearest_of.items())[: search.k]
         return best[-1][0] if len(best) == search.k else reach
 
     tree.search(q, search.k, reach, search.relax, found)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from posrecon.functions.text import decode_bytes
+from posrecon.shared import stored
 
 FILE = "source_file"
 FILE_ID = "__file_id"
@@ -25,6 +26,8 @@ BLOCK = "__block"
 SEQ = "__seq"
 VALUE = "value"
 LINE_NO = "line_no"
+#: About 100 bytes each.
+BROADCAST_BLOCKS = 500_000
 
 
 def as_paths(paths: str | Iterable[str]) -> list[str]:
@@ -79,8 +82,8 @@ def block_table(lines: DataFrame, *aggregates: Column) -> DataFrame:
     return lines.groupBy(FILE, FILE_ID, BLOCK).agg(*aggregates)
 
 
-def attach_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Give every row the columns of its block.
+def attach_blocks(rows: DataFrame, blocks: DataFrame, small: bool = False) -> DataFrame:
+    """Give every row the columns of its block; ``small`` tables are sent to every task.
 
     Rows already partitioned by (file id, block) are not moved again. The job
     stops if a row's block is unknown or two paths share a file id, so the keys
@@ -93,7 +96,7 @@ def attach_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
             F.raise_error(F.lit("two input paths share one file id"))
         ),
     )
-    joined = rows.join(checked, [FILE_ID, BLOCK], "left")
+    joined = rows.join(F.broadcast(checked) if small else checked, [FILE_ID, BLOCK], "left")
     return joined.where(
         F.when(F.col(FILE).isNotNull(), True).otherwise(
             F.raise_error(F.lit("input split layout changed while reading")).cast("boolean")
@@ -102,18 +105,24 @@ def attach_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Add the 0-based line number inside the file to ``ordered`` lines."""
-    in_block = F.row_number().over(Window.partitionBy(FILE_ID, BLOCK).orderBy(SEQ))
+    """Add the 0-based line number inside the file to ``ordered`` lines.
+
+    Positions count up by one inside a block, so a number is the lines before the block plus
+    the distance from its first position. Lines are neither shuffled nor sorted: the
+    table with one row per block is counted, and sent to every task up to
+    ``BROADCAST_BLOCKS`` rows (beyond that it is joined).
+    """
     before = Window.partitionBy(FILE_ID).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = block_table(lines, F.count(F.lit(1)).alias("__n")).select(
-        FILE, FILE_ID, BLOCK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
+    counted = stored(block_table(lines, F.count(F.lit(1)).alias("__n"), F.min(SEQ).alias("__first")))
+    blocks = counted.select(
+        FILE, FILE_ID, BLOCK, "__n", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
     )
-    rows = lines.drop(FILE).withColumn("__in_block", in_block)
-    return (
-        attach_blocks(rows, blocks)
-        .withColumn(LINE_NO, F.col("__offset") + F.col("__in_block") - 1)
-        .drop("__offset", "__in_block")
+    rows = attach_blocks(lines.drop(FILE), blocks, small=counted.count() <= BROADCAST_BLOCKS)
+    place = F.col(SEQ) - F.col("__first")
+    number = F.when((place >= 0) & (place < F.col("__n")), F.col("__offset") + place).otherwise(
+        F.raise_error(F.lit("input split layout changed while reading")).cast("long")
     )
+    return rows.withColumn(LINE_NO, number).drop("__offset", "__first", "__n")
 
 
 def skip_lines(lines: DataFrame, start_line: int) -> DataFrame:

@@ -33,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from posrecon.llm.common import parts_for, saved
-from posrecon.llm.tokens import WordCache, once_per_worker
+from posrecon.llm.tokens import once_per_worker
 
 
 @dataclass(frozen=True)
@@ -66,32 +66,88 @@ _SHARED = -(1 << 63)
 
 
 class Shingles:
-    """Sets of hashed word n-grams."""
+    """Sets of hashed word n-grams, for many texts at a time.
+
+    A word's hash is a polynomial over the random values of its bytes (A-Z as a-z), cut out of
+    running sums modulo 2^64 and mixed with its length. Words end at ``[\\x20\\x09-\\x0D]`` and at
+    the ends of their text.
+    """
+
+    BLOCK = 1 << 20
 
     def __init__(self, words: int):
+        import numpy as np
         import xxhash
 
         self.words = words
-        hash_of = xxhash.xxh3_64_intdigest
-        self._ids = WordCache(hash_of, 500_000)
         self._digest = xxhash.xxh3_128_digest
+        letters = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in bytes(range(256)).lower()], np.uint64)
+        spaces = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+        self._letters, self._spaces = np.where(spaces, 0, letters), spaces
+        self._up = self._down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int):
+        """Powers of an odd number and of its inverse."""
+        import numpy as np
+
+        if len(self._up) < n:
+            base = 0x9E3779B97F4A7C15
+            for name, b in (("_up", base), ("_down", pow(base, -1, 1 << 64))):
+                steps = np.full(n, b, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+        return self._up, self._down
 
-    def __call__(self, text: str | None):
-        """Sorted distinct hashes; bytes split at exactly ``[\\x20\\x09-\\x0D]``."""
+    @staticmethod
+    def _mixed(h):
         import numpy as np
 
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        h = np.fromiter(map(self._ids.__getitem__, words), np.uint64, len(words))
-        k = self.words
-        if len(h) == 0:
-            return h
-        n = max(1, len(h) - k + 1)
-        length = np.uint64(min(k, len(h)))
-        out = np.full(n, length)
-        for j in range(int(length)):
-            out = (out ^ h[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(31)
-        return np.unique(out)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
+
+    def _block(self, data, offsets):
+        import numpy as np
+
+        n, k = len(data), self.words
+        up, down = self._powers(n + 1)
+        space = self._spaces[data]
+        before, after = np.r_[True, space[:-1]], np.r_[space[1:], True]
+        inner = offsets[(offsets > 0) & (offsets < n)]
+        before[inner], after[inner - 1] = True, True
+        starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self._letters[data] * up[:n], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
+        h = self._mixed(h)
+        first = np.searchsorted(starts, offsets)
+        whole = max(0, len(h) - k + 1)
+        grams = np.full(whole, k, np.uint64)
+        for j in range(k):
+            grams = self._mixed(grams ^ h[j : j + whole])
+        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+            if hi - lo >= k:
+                yield np.unique(grams[lo : hi - k + 1])
+            elif hi == lo:
+                yield h[:0]
+            else:
+                one = np.full(1, hi - lo, np.uint64)
+                for j in range(lo, hi):
+                    one = self._mixed(one ^ h[j : j + 1])
+                yield one
+
+    def __call__(self, texts):
+        """Sorted distinct hashes of each text of an Arrow array."""
+        import numpy as np
+        import pyarrow as pa
+
+        raw = texts.fill_null("").cast(pa.large_binary())
+        offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] else np.zeros(0, np.uint8)
+        i = 0
+        while i < len(raw):
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + self.BLOCK, "right")) - 1)
+            yield from self._block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            i = j
 
     def fingerprint(self, tokens) -> tuple[int, int]:
         d = self._digest(tokens.tobytes())
@@ -120,8 +176,7 @@ def fingerprints(docs: DataFrame, j: Join = PRODUCTION) -> DataFrame:
         make = _shingles(words)
         for batch in batches:
             n, few, a, b = [], [], [], []
-            for text in batch.column(1):
-                tokens = make(text.as_py())
+            for tokens in make(batch.column(1)):
                 n.append(len(tokens))
                 few.append(int((tokens % np.uint64(sample) == 0).sum()))
                 x, y = make.fingerprint(tokens) if len(tokens) else (None, None)
@@ -173,8 +228,7 @@ def _sampled_tokens(docs: DataFrame, ranges: int, j: Join) -> DataFrame:
                 )
 
         for batch in batches:
-            for text in batch.column(1):
-                tokens = make(text.as_py())
+            for tokens in make(batch.column(1)):
                 if len(tokens) == 0:
                     continue
                 owner = make.fingerprint(tokens)[0]
@@ -229,8 +283,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, j: Join) -> DataFrame:
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = make(text.as_py())
+            for key, tokens in zip(batch.column(0).to_pylist(), make(batch.column(1))):
                 if len(tokens) and make.fingerprint(tokens)[0] == key:
                     rows.append((key, len(tokens), tokens.tobytes()))
             if rows:

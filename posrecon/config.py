@@ -109,6 +109,9 @@ class FormatConfig:
     has_header: bool = True
     delimiter: str | None = None
     start_line: int = 0
+    mixed_headers: bool = False
+    pad_ragged: bool = False
+    quoted_newlines: bool = False
     record_type: str | None = None
     layout_file: str | None = None
     header_prefix: str | None = None
@@ -167,7 +170,10 @@ def config_from_dict(data: dict[str, Any]) -> FormatConfig:
     return cfg
 
 
-def load_format_config(path: str) -> FormatConfig:
+def load_format_config(path: str, spark=None) -> FormatConfig:
+    """Load a saved configuration; a session reads it from any store that Spark reads."""
+    if spark is not None:
+        return config_from_dict(json.loads(spark.read.text(path, wholetext=True).first()[0]))
     with open(path, encoding="utf-8") as f:
         return config_from_dict(json.load(f))
 

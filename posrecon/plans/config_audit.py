@@ -69,33 +69,6 @@ def config_errors() -> Column:
     return F.array_compact(F.array(*_messages(rules), _missing_columns()))
 
 
-def section_errors(section: str) -> Column:
-    """Messages for one section of a configuration (FILE, SCHEMA, BUSINESS_RULES)."""
-    multi = F.col("file_type") == "multiline"
-    rules = {
-        "FILE": [
-            (_unset("file_type"), "File type is required."),
-            ((F.col("file_type") == "fixed") & _unset("layout_file"),
-             "Fixed-width files need a layout CSV path (set in Stage B)."),
-            (multi & _unset("header_prefix") & _no_items("ml_record_types"),
-             "Multiline files need record types or HDR prefix."),
-        ],
-        "SCHEMA": [
-            (_no_items("schema") & _no_items("detected_columns"),
-             "No columns detected. Ensure a sample was loaded."),
-        ],
-        "BUSINESS_RULES": [
-            (_unset("store_col"), "Store column is required."),
-            (_unset("upc_col"), "UPC column is required."),
-            (_unset("units_col"), "Units column is required."),
-            (_unset("price_col"), "Price column is required."),
-        ],
-    }.get(section, [])
-    if not rules:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*_messages(rules)))
-
-
 def audit_configs(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     """One row per configuration file: its fields and ``errors`` (empty = valid)."""
     configs = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation
@@ -32,8 +33,16 @@ class RunResult:
     def __getitem__(self, name: str) -> DataFrame:
         return self.frames[name]
 
-    def metrics(self) -> dict[str, dict]:
-        """Observed counts per side; waits for the first report to be computed."""
+    def metrics(self, timeout: float = 10.0) -> dict[str, dict]:
+        """Observed counts per side; an error if no report has been computed.
+
+        Counts arrive shortly after the first report, so up to ``timeout`` seconds are waited.
+        """
+        end = time.monotonic() + timeout
+        while not all(o._jo.future().isCompleted() for o in self.observations.values()):
+            if time.monotonic() > end:
+                raise ValueError("no report of this run has been computed yet")
+            time.sleep(0.05)
         return {name: dict(o.get) for name, o in self.observations.items()}
 
     def release(self) -> None:

@@ -6,7 +6,7 @@ import csv
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posrecon.functions.text import normal_encoding, redecode_latin1
@@ -69,6 +69,8 @@ def read_delimited(
     """
     delimiter = delimiter or ","
     paths = as_paths(paths)
+    if start_line > 0 and (mixed_headers or quoted_newlines):
+        raise ValueError("start_line works line by line: neither mixed_headers nor quoted_newlines go with it")
     if start_line > 0:
         df = _read_below_banner(spark, paths, delimiter, start_line, has_header, encoding)
     elif mixed_headers and has_header:
@@ -97,24 +99,36 @@ def _read_native(
     header_names: list[str] | None = None,
     numeric: tuple[str, ...] = (),
 ) -> DataFrame:
-    enc = normal_encoding(encoding)
-    reader = (
-        spark.read.options(**_csv_options(delimiter))
+    reader = csv_reader(spark.read, delimiter, has_header, encoding).option("multiLine", quoted_newlines)
+    if has_header and header_names:
+        reader = reader.schema(text_schema(header_names))
+    raw = reader.csv(paths)
+    cells = decoded_cells(raw, encoding, numeric)
+    return raw.select(*cells, *([F.col("_metadata.file_path").alias(FILE)] if with_file else []))
+
+
+def text_schema(names: list[str]) -> str:
+    return ", ".join(f"`{n}` string" for n in names)
+
+
+def csv_reader(reader, delimiter: str, has_header: bool, encoding: str):
+    """Options of a batch or streaming reader; its cells need :func:`decoded_cells`."""
+    utf8 = normal_encoding(encoding) == "utf-8"
+    return (
+        reader.options(**_csv_options(delimiter))
         .option("header", has_header)
         .option("enforceSchema", not has_header)
-        .option("encoding", "UTF-8" if enc == "utf-8" else "ISO-8859-1")
-        .option("multiLine", quoted_newlines)
+        .option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
     )
-    if has_header and header_names:
-        reader = reader.schema(", ".join(f"`{n}` string" for n in header_names))
-    raw = reader.csv(paths)
+
+
+def decoded_cells(raw: DataFrame, encoding: str, numeric: tuple[str, ...] = ()) -> list[Column]:
+    """The cells of :func:`csv_reader` as text of the given encoding."""
+    enc = normal_encoding(encoding)
     cells = [F.col(f"`{c}`") for c in raw.columns]
-    if enc != "utf-8":
-        cells = [
-            c if n in numeric else redecode_latin1(c, enc).alias(n)
-            for c, n in zip(cells, raw.columns)
-        ]
-    return raw.select(*cells, *([F.col("_metadata.file_path").alias(FILE)] if with_file else []))
+    if enc == "utf-8":
+        return cells
+    return [c if n in numeric else redecode_latin1(c, enc).alias(n) for c, n in zip(cells, raw.columns)]
 
 
 def _read_by_header(

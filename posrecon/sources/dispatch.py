@@ -17,6 +17,11 @@ def is_transaction_format(config: FormatConfig) -> bool:
     return bool(config.file_type == "multiline" and config.header_prefix and config.header_layout)
 
 
+def cell_encoding(config: FormatConfig) -> str:
+    """cp1252 is what configurations say by default, so valid UTF-8 is believed first."""
+    return "auto" if config.encoding == "cp1252" else config.encoding
+
+
 def read_pos(
     spark: SparkSession,
     paths: str | Iterable[str],
@@ -34,7 +39,10 @@ def read_pos(
             column_names=config.schema if not config.has_header else None,
             has_header=config.has_header,
             start_line=config.start_line,
-            encoding="auto" if config.encoding == "cp1252" else config.encoding,
+            encoding=cell_encoding(config),
+            mixed_headers=config.mixed_headers,
+            pad_ragged=config.pad_ragged,
+            quoted_newlines=config.quoted_newlines,
             with_file=with_file,
             header_names=config.schema or config.detected_columns,
             numeric=(config.units_col, config.price_col),

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from posrecon.config import FormatConfig
 from posrecon.functions.text import decode_bytes
 from posrecon.operators.summarize import aggregate
+from posrecon.sources.delimited import csv_reader, decoded_cells, text_schema
+from posrecon.sources.dispatch import cell_encoding
 from posrecon.sources.fixed import cut_fields
 from posrecon.sources.lines import VALUE
 from posrecon.sources.records import record_filter, split_records
@@ -27,12 +29,10 @@ def stream_summary(
     if config.file_type == "delimited":
         if not config.schema:
             raise ValueError("a streamed delimited file needs its column names in schema")
-        raw = (
-            spark.readStream.schema(", ".join(f"`{c}` string" for c in config.schema))
-            .options(header=config.has_header, sep=config.delimiter or ",", quote='"', escape='"')
-            .option("enforceSchema", not config.has_header)
-            .csv(folder)
-        )
+        encoding = cell_encoding(config)
+        reader = csv_reader(spark.readStream, config.delimiter or ",", config.has_header, encoding)
+        raw = reader.schema(text_schema(config.schema)).csv(folder)
+        raw = raw.select(*decoded_cells(raw, encoding, (config.units_col, config.price_col)))
     else:
         raw_lines = spark.readStream.text(folder)
         keep = record_filter(config.ml_record_types, config.ml_delimiter)

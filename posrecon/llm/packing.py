@@ -67,7 +67,7 @@ class ByteTokens:
         self._encode = tiktoken.Encoding(
             "packing", pat_str=pattern, mergeable_ranks=table, special_tokens={}
         ).encode_ordinary
-        self._ids = WordCache(self._word, 300_000)
+        self._ids = WordCache(self._word, 600_000)
 
     def _word(self, word: str) -> bytes:
         plain = _PLAIN.fullmatch(word)

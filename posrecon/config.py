@@ -102,6 +102,7 @@ class FormatConfig:
     (see :func:`posrecon.sources.layout.resolve_layouts`); they are not saved.
     """
 
+    # Names and defaults of a saved configuration.
     version: int = 2
     name: str = ""
     file_type: str | None = None

@@ -50,6 +50,7 @@ def config_errors() -> Column:
     """All messages for a configuration held in columns of ``CONFIG_SCHEMA``."""
     fixed = F.col("file_type") == "fixed"
     multi = F.col("file_type") == "multiline"
+    # The messages.
     rules = [
         (_unset("file_type"), "File type is not set (required: delimited, fixed, or multiline)."),
         (fixed & _unset("layout_file"), "Fixed-width files require a layout CSV file path."),

@@ -85,6 +85,7 @@ def mapping_errors() -> Column:
     """Messages about the five role columns: unset ones, then columns used twice."""
     roles = list(ROLE_FIELDS.items())
     unset = [
+        # The messages here and below.
         F.when(F.coalesce(F.col(c), F.lit("")) == "", f"{role} column is not selected.")
         for role, c in roles
     ]

@@ -2,7 +2,7 @@
 
 Base kinds (``assign``, ``access``, ``hex``) are regular expressions; a match that is too
 short is dropped. ``entropy`` spans come from candidate strings (runs of 20 and more
-characters of one class): a window of 20 characters slides over the candidate and keeps
+characters of one class; spans of two classes that overlap count as one): a window of 20 characters slides over the candidate and keeps
 the count of every character of the class; counts change by the character that enters and the one
 that leaves, and with them the sum of ``c * log2(c)`` that gives Shannon's entropy. The
 span runs from the first to the last window that reaches the threshold of the class.
@@ -40,7 +40,12 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 @dataclass(frozen=True)
 class CharClass:
-    """A candidate is a run of ``letters``, at least a window long, with a digit and a letter."""
+    """A candidate is a match of ``candidate``, at least a window long; its windows need ``bits``.
+
+    Long words reach the entropy of random letters, so the three classes of bare letters and digits
+    ask for more than that: ``lower`` and ``upper`` for digits between the letters, ``mixed`` for two
+    places where capitals follow a small letter closer than in words.
+    """
 
     name: str
     candidate: str
@@ -58,6 +63,9 @@ class Scan:
             "[A-Za-z0-9+/_=-]{20,}",
             3.6,
         ),
+        CharClass("lower", "(?<![A-Za-z0-9])(?=[a-z]*[0-9]+[a-z]+[0-9])[a-z0-9]{20,}(?![A-Za-z0-9])", 3.4),
+        CharClass("upper", "(?<![A-Za-z0-9])(?=[A-F0-9]*[G-Z])(?=[0-9]*[A-Z]+[0-9]+[A-Z])[A-Z0-9]{20,}(?![A-Za-z0-9])", 3.4),
+        CharClass("mixed", "(?<![A-Za-z0-9])(?=(?:[A-Za-z]*?[a-z][A-Z][a-z]?[A-Z]){2})[A-Za-z]{20,}(?![A-Za-z0-9])", 3.6),
     )
 
 
@@ -140,6 +148,21 @@ def _entropy_reach(candidate: Column, window: int, bits: float) -> Column:
     return let(done, lambda d: F.struct(d["first"].alias("first"), d["last"].alias("last")))
 
 
+def _merged(spans: Column) -> Column:
+    """Spans by start; those that overlap become one."""
+    state = "array<struct<start:int,end:int>>"
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        more = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))
+        return F.when((F.size(acc) > 0) & (s["start"] < last["end"]), more).otherwise(
+            F.concat(acc, F.array(s))
+        ).cast(state)
+
+    return F.aggregate(F.sort_array(spans), F.array().cast(state), step)
+
+
 def _entropy_spans(text: Column, scan: Scan) -> Column:
     def reach(cls: CharClass):
         moved = lambda s: let(
@@ -149,7 +172,7 @@ def _entropy_spans(text: Column, scan: Scan) -> Column:
         candidates = _placed(text, cls.candidate, lambda m: ~m.rlike(ALLOWED))
         return F.filter(F.transform(candidates, moved), lambda s: s["start"].isNotNull())
 
-    return F.array_distinct(F.concat(*map(reach, scan.classes)))
+    return _merged(F.concat(*map(reach, scan.classes)))
 
 
 def scanned(docs: DataFrame, scan: Scan = PRODUCTION) -> DataFrame:

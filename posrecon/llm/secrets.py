@@ -6,8 +6,8 @@ characters of one class; spans of two classes that overlap count as one): a wind
 the count of every character of the class; counts change by the character that enters and the one
 that leaves, and with them the sum of ``c * log2(c)`` that gives Shannon's entropy. The
 span runs from the first to the last window that reaches the threshold of the class.
-A candidate is not scanned if the allow-list has its form (see ``ALLOWED``), and a span that touches a
-base span is not reported a second time.
+A candidate is not scanned if the allow-list has its form (see ``ALLOWED``), and a span is not
+reported a second time where base spans cover the whole of it.
 
 Positions are code points, the end exclusive; they come from the lengths of the matches
 and of the text between them. Only built-in functions run. A null or empty text has no spans;
@@ -181,9 +181,14 @@ def scanned(docs: DataFrame, scan: Scan = PRODUCTION) -> DataFrame:
     out = docs.select(F.struct("*").alias("row_"), text.alias("text_"))
     out = out.withColumns({kind: _spans(F.col("text_"), *rest) for kind, *rest in BASE})
     out = out.withColumn("entropy_", _entropy_spans(F.col("text_"), scan))
-    base = F.concat("assign", "access", "hex")
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return out.withColumn("entropy", F.filter("entropy_", apart)).drop("entropy_")
+    base = F.sort_array(F.concat("assign", "access", "hex"))
+
+    def uncovered(s: Column) -> Column:
+        # How far base spans reach from the start of ``s`` without a gap.
+        step = lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at)
+        return F.aggregate(base, s["start"], step) < s["end"]
+
+    return out.withColumn("entropy", F.filter("entropy_", uncovered)).drop("entropy_")
 
 
 def _digest(kinds) -> Column:

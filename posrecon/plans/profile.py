@@ -1,7 +1,9 @@
 """Profile of a landing folder: one row per file with its likely format.
 
-Only the first lines of a file decide, so after the scan at most ``SAMPLE_LINES``
-lines per read block are shuffled.
+All lines of a file decide. A first scan counts what the lines look like per (file, read
+block, prefix or record letter), a second one the kinds of values per (file, column) once the
+delimiter is known. Only counts and the first line of each file, which has the names, are
+shuffled (beyond ``BROADCAST_BLOCKS`` read blocks the second scan's lines too, by block).
 """
 
 from __future__ import annotations
@@ -14,14 +16,16 @@ from pyspark.sql import functions as F
 from posrecon.config import DEFAULT_RECORD_TYPES, FormatConfig
 from posrecon.functions.text import delimiter_count, is_ascii, redecode_latin1, split_literal, strip
 from posrecon.plans.mapping import suggest_mapping
-from posrecon.sources.lines import FILE, LINE_NO, VALUE, file_name, head_lines, read_lines
-
-# Sample sizes and the delimiters tried, in order of preference.
-SAMPLE_LINES = 100
-TYPE_LINES = 5
-RECORD_LINES = 10
-PREFIX_LINES = 20
-RECORD_TYPE_LINES = 50
+from posrecon.shared import stored
+from posrecon.sources.lines import (
+    BLOCK, BROADCAST_BLOCKS, FILE, FILE_ID, SEQ, VALUE, attach_blocks, file_name, read_lines,
+)
+
+# Least shares of the lines that are not blank, and the delimiters tried, in order of
+# preference.
+FORM_SHARE = 0.5
+HEADER_SHARE = 0.1
+PREFIX_SHARE = 0.05
 DELIMITERS = [",", "|", "\t", ";"]
 
 _TEXT = "__text"
@@ -29,57 +33,73 @@ _PREFIX = r"^(\p{L}{2,5})\p{Nd}"
 _RECORD = r"^(\p{L})[,|\t;]"
 
 
-def _found(pattern: str, text: Column, lines: int) -> Column:
-    """First group of ``pattern`` on the first ``lines`` lines, else null."""
-    hit = F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    return F.when(F.col(LINE_NO) < lines, hit)
-
-
-def _sample(spark: SparkSession, paths) -> DataFrame:
+def _lines(spark: SparkSession, paths) -> DataFrame:
     lines = read_lines(spark, paths, "latin-1", ordered=True)
-    return head_lines(lines, SAMPLE_LINES).select(
-        FILE, LINE_NO, VALUE, redecode_latin1(F.col(VALUE), "cp1252").alias(_TEXT)
-    )
+    return lines.withColumn(_TEXT, redecode_latin1(F.col(VALUE), "cp1252"))
 
 
-def _file_format(sample: DataFrame) -> DataFrame:
+def _counts(lines: DataFrame) -> DataFrame:
+    """Counts per (file, block, prefix, record letter, whether the line starts with it)."""
     text, bare = F.col(_TEXT), strip(F.col(_TEXT))
-    early = F.col(LINE_NO) < RECORD_LINES
-    prefix = F.regexp_extract(bare, _PREFIX, 1)
+    found = lambda pattern: F.nullif(F.regexp_extract(bare, pattern, 1), F.lit(""))
     ascii_line = is_ascii(F.col(VALUE))
     valid = F.is_valid_utf8(F.encode(F.col(VALUE), "ISO-8859-1").cast("string"))
-    scores = [
-        F.sum(F.when(F.col(LINE_NO) < TYPE_LINES, delimiter_count(text, d)).otherwise(0)).alias(f"s{i}")
-        for i, d in enumerate(DELIMITERS)
-    ]
-    facts = sample.groupBy(FILE).agg(
-        *scores,
-        F.size(F.collect_set(_found(_RECORD, bare, RECORD_LINES))).alias("letters"),
-        F.count_if(early & F.endswith(bare, F.lit("\\"))).alias("continued"),
-        F.count_if(early & (prefix != "")).alias("prefixed"),
-        F.count_if(early & (prefix == "") & bare.rlike(r"^\p{Nd}")).alias("digit_led"),
-        F.sort_array(F.collect_set(_found(_RECORD, text, RECORD_TYPE_LINES))).alias("record_types"),
-        F.collect_set(_found(_PREFIX, text, PREFIX_LINES)).alias("prefixes"),
+    keyed = lines.withColumns({"prefix": found(_PREFIX), "letter": found(_RECORD)}).withColumn(
+        "flush", F.coalesce("prefix", "letter").isNotNull() & text.rlike(r"^\p{L}")
+    )
+    marks = [F.sum(delimiter_count(text, d)).alias(f"s{i}") for i, d in enumerate(DELIMITERS)]
+    lines_with = [F.count_if(delimiter_count(text, d) > 0).alias(f"l{i}") for i, d in enumerate(DELIMITERS)]
+    return keyed.groupBy(FILE, FILE_ID, BLOCK, "prefix", "letter", "flush").agg(
+        *marks,
+        *lines_with,
+        F.count_if(bare != "").alias("n"),
+        F.count_if(F.endswith(bare, F.lit("\\"))).alias("continued"),
+        F.count_if(F.col("prefix").isNull() & bare.rlike(r"^\p{Nd}")).alias("digit_led"),
         F.bool_and(ascii_line).alias("ascii"),
         F.bool_and(ascii_line | valid).alias("utf8"),
-        F.max(F.when(F.col(LINE_NO) == 0, strip(text))).alias("first_line"),
-        F.collect_list(F.struct(LINE_NO, _TEXT)).alias("lines"),
+        F.min(F.struct(F.col(BLOCK).alias("b"), F.col(SEQ).alias("s"), text.alias("t"))).alias("first"),
+    )
+
+
+def _file_format(counts: DataFrame) -> DataFrame:
+    sums = [f"{c}{i}" for c in "sl" for i in range(len(DELIMITERS))]
+    facts = counts.groupBy(FILE).agg(
+        *(F.sum(c).alias(c) for c in (*sums, "n", "continued", "digit_led")),
+        F.sum(F.when(F.col("prefix").isNotNull(), F.col("n")).otherwise(0)).alias("prefixed"),
+        F.sum(F.when(F.col("letter").isNotNull(), F.col("n")).otherwise(0)).alias("lettered"),
+        F.size(F.collect_set("letter")).alias("letters"),
+        F.sort_array(F.collect_set(F.when(F.col("flush"), F.col("letter")))).alias("record_types"),
+        F.bool_and("ascii").alias("ascii"),
+        F.bool_and("utf8").alias("utf8"),
+        F.min("first")["t"].alias("names_line"),
+    ).withColumn("first_line", strip(F.col("names_line")))
+    # The longest prefix of those that many lines have or the first line has.
+    per_prefix = counts.filter(F.col("flush") & F.col("prefix").isNotNull()).groupBy(FILE, "prefix").agg(F.sum("n").alias("k"))
+    lead = F.regexp_extract("names_line", _PREFIX, 1)
+    often = per_prefix.join(facts.select(FILE, "n", lead.alias("lead")), FILE).filter(
+        (F.col("k") >= PREFIX_SHARE * F.col("n")) | (F.col("prefix") == F.col("lead"))
     )
+    longest = often.groupBy(FILE).agg(F.min(F.struct((-F.length("prefix")).alias("n"), F.col("prefix").alias("p")))["p"].alias("longest"))
+    facts = facts.join(longest, FILE, "left")
+    least = lambda c, share: F.col(c) >= share * F.col("n")
+    scores = [F.when(least(f"l{i}", FORM_SHARE), F.col(f"s{i}")).otherwise(0) for i in range(len(DELIMITERS))]
+    facts = facts.withColumns({f"s{i}": score for i, score in enumerate(scores)})
     best = F.greatest(*[F.col(f"s{i}") for i in range(len(DELIMITERS))])
     found = None
     for i, d in enumerate(DELIMITERS):
         hit = (F.col(f"s{i}") == best) & (best > 0)
         found = F.when(hit, d) if found is None else found.when(hit, d)
+    headed = (F.regexp_extract("first_line", _PREFIX, 1) != "") | least("prefixed", HEADER_SHARE)
     multi = (
-        (F.col("letters") >= 2)
-        | (F.col("continued") >= 5)
-        | ((F.col("prefixed") >= 1) & (F.col("digit_led") >= 2))
-    )
-    longest_first = F.array_sort(
-        F.transform("prefixes", lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))
+        ((F.col("letters") >= 2) & least("lettered", FORM_SHARE))
+        | ((F.col("continued") >= 5) & least("continued", FORM_SHARE))
+        | (
+            (F.col("prefixed") >= 1) & (F.col("digit_led") >= 2) & headed
+            & (F.col("prefixed") + F.col("digit_led") >= FORM_SHARE * F.col("n"))
+        )
     )
     is_multi = F.col("file_type") == "multiline"
-    no_prefix = is_multi & (F.size("prefixes") == 0)
+    no_prefix = is_multi & F.col("longest").isNull()
     cells = F.split("first_line", F.concat(F.lit("\\Q"), F.coalesce("found", F.lit(",")), F.lit("\\E")), -1)
     with_letter = F.filter(cells, lambda c: c.rlike(r"\p{L}"))
     return (
@@ -102,14 +122,14 @@ def _file_format(sample: DataFrame) -> DataFrame:
                 & (F.coalesce("first_line", F.lit("")) != "")
                 & (F.size(with_letter) * 2 >= F.size(cells))
             ).alias("has_header"),
-            F.when(is_multi & ~no_prefix, F.get(longest_first, F.lit(0)).getField("p")).alias("header_prefix"),
+            F.when(is_multi, F.col("longest")).alias("header_prefix"),
             F.when(
                 no_prefix,
                 F.when(F.size("record_types") > 0, F.col("record_types")).otherwise(
                     F.array(*[F.lit(t) for t in DEFAULT_RECORD_TYPES])
                 ),
             ).alias("record_types"),
-            "lines",
+            "names_line",
         )
     )
 
@@ -131,59 +151,71 @@ _FORMAT = [
 ]
 
 
-def _with_columns(formats: DataFrame) -> DataFrame:
-    """Add column names and sampled types (delimited and record files); the sampled
-    lines are unfolded from each file's row, so nothing is read again."""
-    rows = formats.select(*_FORMAT, F.explode("lines").alias("l")).select(*_FORMAT, "l.*")
-    delimited = F.col("file_type") == "delimited"
+def _line_cells(text: Column) -> Column:
+    """Cells of a line of a delimited or record file, else null."""
     # Record types found by profiling are single letters.
-    after = F.substr(F.col(_TEXT), F.lit(2))
+    after = F.substr(text, F.lit(2))
     body = F.when(
-        F.exists("record_types", lambda t: F.startswith(F.col(_TEXT), t)),
+        F.exists("record_types", lambda t: F.startswith(text, t)),
         F.when(F.startswith(after, F.lit("|")), F.substr(after, F.lit(2))).otherwise(after),
     )
-    cells = (
-        F.when(delimited & (F.col(_TEXT) != ""), _cells(F.col(_TEXT), F.col("delimiter")))
-        .when((F.col("file_type") == "multiline") & (body != ""), split_literal(body, "|"))
+    return F.when((F.col("file_type") == "delimited") & (text != ""), _cells(text, F.col("delimiter"))).when(
+        (F.col("file_type") == "multiline") & (body != ""), split_literal(body, "|")
     )
-    values = rows.select(*_FORMAT, LINE_NO, F.posexplode_outer(cells).alias("pos", "v"))
-    is_name = delimited & (F.col(LINE_NO) == 0)
-    data = F.when(~is_name & (F.col("v") != ""), F.col("v"))
+
+
+def _with_columns(lines: DataFrame, blocks: DataFrame, formats: DataFrame) -> DataFrame:
+    """Add column names and the types of all values (delimited and record files).
+
+    The line with the names is counted with the others and then taken off.
+    """
+    known = formats.select(FILE, "file_type", "delimiter", "record_types")
+    blocks = blocks.join(known, FILE)
+    placed = attach_blocks(lines.select(FILE_ID, BLOCK, _TEXT), blocks, small=blocks.count() <= BROADCAST_BLOCKS)
+    delimited = F.col("file_type") == "delimited"
+    every = placed.select(FILE, F.lit(1).alias("sign"), F.posexplode(_line_cells(F.col(_TEXT))).alias("pos", "v"))
+    names = formats.filter(delimited).select(
+        FILE, F.lit(-1).alias("sign"), F.posexplode(_line_cells(F.col("names_line"))).alias("pos", "v")
+    )
+    is_name = F.col("sign") < 0
+    data = F.nullif(F.col("v"), F.lit(""))
     integer = data.rlike(r"^\s*-?\d+$")
     number = data.rlike(r"^[-+]?(\d*\.\d+([eE][-+]?\d+)?|\d+[eE][-+]?\d+|\d+\.|\d+)$")
     logical = data.rlike(r"(?i)^(true|false)$")
-    per_column = values.groupBy(*_FORMAT, "pos").agg(
+    times = lambda c: F.sum(F.when(c, F.col("sign")).otherwise(0))
+    per_column = every.unionByName(names).groupBy(FILE, "pos").agg(
         F.max(F.when(is_name, F.col("v"))).alias("name"),
-        F.count(data).alias("n"),
-        F.count_if(integer).alias("ints"),
-        F.count_if(integer | number).alias("numbers"),
-        F.count_if(logical).alias("booleans"),
-    )
+        times(data.isNotNull()).alias("k"),
+        times(integer).alias("ints"),
+        times(integer | number).alias("numbers"),
+        times(logical).alias("booleans"),
+    ).join(known.select(FILE, "file_type"), FILE)
     kind = (
-        F.when(~delimited | (F.col("n") == 0), "String")
-        .when(F.col("ints") == F.col("n"), "Int64")
-        .when(F.col("numbers") == F.col("n"), "Float64")
-        .when(F.col("booleans") == F.col("n"), "Boolean")
+        F.when(~delimited | (F.col("k") == 0), "String")
+        .when(F.col("ints") == F.col("k"), "Int64")
+        .when(F.col("numbers") == F.col("k"), "Float64")
+        .when(F.col("booleans") == F.col("k"), "Boolean")
         .otherwise("String")
     )
     name = F.when(delimited, F.col("name")).otherwise(
         F.concat(F.lit("Column_"), F.col("pos").cast("string"))
     )
     column = F.when(name.isNotNull(), F.struct("pos", name.alias("name"), kind.alias("kind")))
-    return (
-        per_column.groupBy(*_FORMAT)
-        .agg(F.array_sort(F.collect_list(column)).alias("c"))
-        .select(
-            *_FORMAT,
-            F.when(F.size("c") > 0, F.col("c.name")).alias("columns"),
-            F.when(F.size("c") > 0, F.col("c.kind")).alias("data_types"),
-        )
+    columns = per_column.groupBy(FILE).agg(F.array_sort(F.collect_list(column)).alias("c"))
+    return formats.join(columns, FILE, "left").select(
+        *_FORMAT,
+        F.when(F.size("c") > 0, F.col("c.name")).alias("columns"),
+        F.when(F.size("c") > 0, F.col("c.kind")).alias("data_types"),
     )
 
 
 def profile_files(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     """Detected format, encoding, columns, types and suggested mapping per file."""
-    return suggest_mapping(_with_columns(_file_format(_sample(spark, paths))), "columns")
+    lines = _lines(spark, paths)
+    counts = stored(_counts(lines))
+    formats = stored(_file_format(counts))
+    blocks = counts.select(FILE, FILE_ID, BLOCK).distinct()
+    return suggest_mapping(_with_columns(lines, blocks, formats), "columns")
 
 
 def config_from_profile(row) -> FormatConfig:

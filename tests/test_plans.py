@@ -158,6 +158,23 @@ def test_profile(spark, tmp_path):
     assert sorted(rounded(aggregate(df, "store", config))) == GOLDEN["store"]
 
 
+def test_profile_reads_whole_files(spark, small_splits, tmp_path):
+    rows = "".join(f"{i},{i % 7},1.5,a\n" for i in range(300))
+    (tmp_path / "late.csv").write_text("Store,UPC,Price,Name\n" + rows + "300,n/a,2,b\n")
+    (tmp_path / "cp.csv").write_bytes(("Store,UPC\n" + "é,1\n" * 200).encode() + "é,2\n".encode("cp1252"))
+    (tmp_path / "utf.csv").write_bytes(("Store,UPC\n" + "e,1\n" * 200 + "é,1\n").encode())
+    (tmp_path / "kinds.txt").write_text("H|S1|x\n" + "D|1|2\n" * 80 + "T|1|2|3|4\n")
+    (tmp_path / "wide.txt").write_text("Store 1   milk  12\n" * 150 + "Store 2   a,b,c  3\n")
+    (tmp_path / "one.csv").write_text("A,1\nstore,2\n" + "store,3\n" * 100 + "B,4\n")
+    got = {r["filename"]: r for r in profile_files(spark, str(tmp_path)).collect()}
+    assert got["late.csv"]["columns"] == ["Store", "UPC", "Price", "Name"]
+    assert got["late.csv"]["data_types"] == ["Int64", "String", "Float64", "String"]
+    assert got["cp.csv"]["encoding"] == "cp1252" and got["utf.csv"]["encoding"] == "utf-8"
+    assert got["kinds.txt"]["record_types"] == ["D", "H", "T"]
+    assert got["kinds.txt"]["columns"] == [f"Column_{i}" for i in range(4)]
+    assert got["wide.txt"]["file_type"] == "fixed" and got["one.csv"]["file_type"] == "delimited"
+
+
 def test_suggest_mapping(spark):
     cases = [
         (["Loc", "UPC Code", "Item Description", "Qty Sold", "Total Price"],

@@ -30,9 +30,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from posrecon.llm.common import parts_for, saved
+from posrecon.llm.common import SPACES, parts_for, saved
 from posrecon.llm.tokens import once_per_worker
 
 
@@ -162,12 +162,18 @@ def _text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def fingerprints(docs: DataFrame, j: Join = PRODUCTION) -> DataFrame:
+def _version(text: Column) -> list[Column]:
+    """128 bits that tell texts apart."""
+    return [F.xxhash64(text).alias("v_"), F.xxhash64(F.lit("second"), text).alias("w_")]
+
+
+def fingerprints(docs: DataFrame, j: Join = PRODUCTION, versions: bool = False) -> DataFrame:
     """(doc_id, n, few, id, check): size of the set and of its sample, and its hashes.
 
-    The hashes are null for no shingles.
+    The hashes are null for no shingles. ``versions`` adds v_ and w_ of the text.
     """
     words, sample = j.words, j.sample
+    extra = ["v_", "w_"] if versions else []
 
     def run(batches):
         import numpy as np
@@ -182,10 +188,13 @@ def fingerprints(docs: DataFrame, j: Join = PRODUCTION) -> DataFrame:
                 x, y = make.fingerprint(tokens) if len(tokens) else (None, None)
                 a.append(x)
                 b.append(y)
-            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (n, few, a, b))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "few", "id", "check"])
+            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (n, few, a, b)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "few", "id", "check", *extra])
 
-    return _text_rows(docs).mapInArrow(run, "doc_id long, n long, few long, id long, check long")
+    rows = _text_rows(docs)
+    rows = rows.select("*", *_version(F.col("text"))) if versions else rows
+    schema = "doc_id long, n long, few long, id long, check long" + "".join(f", {c} long" for c in extra)
+    return rows.mapInArrow(run, schema)
 
 
 def _sampled_tokens(docs: DataFrame, ranges: int, j: Join) -> DataFrame:
@@ -532,20 +541,25 @@ def _linked_classes(docs: DataFrame, classes: DataFrame, j: Join) -> DataFrame:
     return components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
-def joined(docs: DataFrame, j: Join = PRODUCTION) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
-    prints = saved(fingerprints(docs, j))
+def _named_classes(docs: DataFrame, prints: DataFrame, j: Join) -> DataFrame:
+    """(id, check, first_doc, component) of every class."""
     classes = saved(
         prints.filter(F.col("id").isNotNull())
         .groupBy("id", "check")
         .agg(F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.max("few").alias("few"))
     )
     linked = _linked_classes(docs, classes, j).withColumnRenamed("id", "linked_id")
-    named = saved(
+    return saved(
         classes.join(linked, classes.id == linked.linked_id, "left").select(
             "id", "check", "first_doc", F.coalesce("component", "id").alias("component")
         )
     )
+
+
+def joined(docs: DataFrame, j: Join = PRODUCTION) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+    prints = saved(fingerprints(docs, j))
+    named = _named_classes(docs, prints, j)
     smallest = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     found = named.join(smallest, "component").select(F.col("id").alias("i"), F.col("check").alias("c"), "component_id")
     return prints.join(found, (prints.id == found.i) & (prints.check == found.c), "left").select(
@@ -554,11 +568,30 @@ def joined(docs: DataFrame, j: Join = PRODUCTION) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, j: Join = PRODUCTION) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, once per id.
+    """One row of ``docs`` per component: the smallest by (doc_id, fingerprint, text), ids before none.
 
-    Documents without shingles all stay, and rows without an id too.
+    Documents without shingles all stay. Rows that repeat id and text stay once, except rows
+    with neither id nor shingles.
     """
-    keep = joined(docs, j).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_")).distinct()
-    rows = docs.select(F.struct("*").alias("row_"), F.col("doc_id").cast("long").alias("key_"))
-    one = rows.join(keep, rows.key_ == keep.kept_).dropDuplicates(["key_"])
-    return one.select("row_").unionByName(rows.filter("key_ is null").select("row_")).select("row_.*")
+    prints = saved(fingerprints(docs, j, versions=True))
+    named = _named_classes(docs, prints, j).select(F.col("id").alias("i"), F.col("check").alias("c"), "component")
+    place = F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", F.col("id").alias("i"), F.col("check").alias("c"), "v_", "w_"
+    )
+    first = (
+        prints.join(named, (prints.id == named.i) & (prints.check == named.c))
+        .groupBy("component").agg(F.min(place).alias("best")).select("best.doc_id", "best.v_", "best.w_")
+    )
+    bare = prints.filter("n = 0 and doc_id is not null").select("doc_id", "v_", "w_")
+    keep = first.unionByName(bare).distinct().select(*(F.col(c).alias(f"kept_{c}") for c in ("doc_id", "v_", "w_")))
+    text = F.col("text").cast("string")
+    rows = docs.select(
+        F.struct("*").alias("row_"), F.col("doc_id").cast("long").alias("key_"), *_version(text),
+        (F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES)) == "").alias("blank_"),
+    )
+    same = (F.col("v_") == F.col("kept_v_")) & (F.col("w_") == F.col("kept_w_"))
+    named_rows = rows.filter("key_ is not null").join(keep, same & (F.col("key_") == F.col("kept_doc_id"))).dropDuplicates(["key_", "v_", "w_"])
+    others = rows.filter("key_ is null and not blank_").dropDuplicates(["v_", "w_"])
+    others = others.join(keep.filter("kept_doc_id is null"), same)
+    blank = rows.filter("key_ is null and blank_")
+    return named_rows.select("row_").unionByName(others.select("row_")).unionByName(blank.select("row_")).select("row_.*")

@@ -93,6 +93,17 @@ def test_one_of_each(frame, edge, families):
     assert Counter(r.doc_id for r in kept.collect()) == want
 
 
+def test_one_of_each_with_repeated_ids(frame):
+    copy, clean = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [
+        (1, copy), (7, copy), (7, clean), (7, clean), (8, "a b c d e"), (8, "A b c d  e"), (None, copy), (None, "p q r s t"),
+        (None, "p q r s t"), (None, ""), (None, None), (9, ""), (9, ""),
+    ]
+    got = Counter((r.doc_id, (r.text or "").lower().split().__repr__()) for r in j.one_of_each(frame(rows)).collect())
+    want = [(1, copy), (7, clean), (8, "a b c d e"), (None, "p q r s t"), (None, ""), (None, ""), (9, "")]
+    assert got == Counter((i, repr(t.split())) for i, t in want)
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1200)]

@@ -11,6 +11,7 @@ from posrecon.llm.neighbors import neighbor_report
 from posrecon.llm.packing import packing_report
 from posrecon.llm.quality_model import quality_scores
 from posrecon.llm.quality_rules import quality_report
+from posrecon.llm.runs import run_report
 from posrecon.llm.secrets import secret_report
 from posrecon.llm.toxicity import toxicity_report
 
@@ -55,6 +56,10 @@ def op10_secret_scans(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark, sf_dir):
+    return run_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_neighbors": op2_neighbors,
@@ -66,4 +71,5 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_secret_scans": op10_secret_scans,
+    "op12_periodic_runs": op12_periodic_runs,
 }

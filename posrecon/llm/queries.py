@@ -7,6 +7,7 @@ from posrecon.llm.common import table
 from posrecon.llm.jaccard import joined
 from posrecon.llm.language import language_report
 from posrecon.llm.line_dedup import line_report
+from posrecon.llm.mixing import mix_report
 from posrecon.llm.neighbors import neighbor_report
 from posrecon.llm.packing import packing_report
 from posrecon.llm.quality_model import quality_scores
@@ -60,6 +61,10 @@ def op12_periodic_runs(spark, sf_dir):
     return run_report(table(spark, sf_dir, "documents"))
 
 
+def op13_mixing(spark, sf_dir):
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_neighbors": op2_neighbors,
@@ -72,4 +77,5 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_secret_scans": op10_secret_scans,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_mixing": op13_mixing,
 }

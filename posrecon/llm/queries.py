@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from posrecon.llm.alignment import alignment_report
 from posrecon.llm.bpe import encoding_report
 from posrecon.llm.common import table
 from posrecon.llm.jaccard import joined
@@ -57,6 +58,10 @@ def op10_secret_scans(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment_report(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark, sf_dir):
     return run_report(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_secret_scans": op10_secret_scans,
+    "op11_alignment": op11_alignment,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_mixing": op13_mixing,
 }

@@ -34,7 +34,7 @@ from posrecon.llm.tokens import once_per_worker
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 #: Bytes of text in a block, links formed at a time, and links of a group from which its ids are counted first.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SLICE = 2 << 20
 LARGE_GROUP = 1024
 

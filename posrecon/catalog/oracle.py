@@ -269,6 +269,13 @@ m as (select s_suppkey, list_filter([
   ], lambda x: x is not null) as e from c)
 select s_suppkey, cast(len(e) as integer) as n_errors, array_to_string(e, '; ') as errors from m""",
 }
+ORACLE["line_numbers"] = """
+select cast(l_orderkey as bigint) as order_key, cast(l_linenumber as bigint) as line_number,
+  row_number() over (partition by l_orderkey % 5 order by l_orderkey, l_linenumber) - 1 as line_no from lineitem"""
+ORACLE["read_quoted_item"] = f"""
+with {_BAU}, q as (select upc, units, price,
+  descr || case when right(upc, 1) in ('0', '3', '6', '9') then chr(10) || 'second "line", with a comma' else '' end as descr
+  from bau) {_grouped('upc, descr', 'q')}"""
 ORACLE["audit_from_parquet"] = ORACLE["audit_key_counts"]
 ORACLE["reconcile_item_comparison"] = ORACLE["item_validation"]
 ORACLE["reconcile_item_summary"] = ORACLE["item_presence_summary"]

@@ -506,6 +506,23 @@ def line_numbering(spark, sf):
     )
 
 
+@register
+def line_numbers(spark, sf):
+    """The number of every line; the files are in the order of their keys."""
+    lines = read_lines(spark, raw_files(spark, sf, "bau", "numbered"), ordered=True)
+    cells = F.split("value", r"\|")
+    return number_lines(lines).select(
+        cells[0].cast("long").alias("order_key"), cells[1].cast("long").alias("line_number"), F.col(LINE_NO).alias("line_no")
+    )
+
+
+@register
+def read_quoted_item(spark, sf):
+    """Descriptions that go on over a line break."""
+    config = TABLE_CONFIG.with_(quoted_newlines=True)
+    return _names(_level(read_pos(spark, raw_files(spark, sf, "bau", "quoted"), config), "item"), **_ITEM)
+
+
 @register
 def preview_fixed(spark, sf):
     """First 20 records of the first file, as a person sees them."""

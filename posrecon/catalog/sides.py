@@ -29,6 +29,7 @@ def _raw(line: DataFrame, store, upc, descr, units) -> DataFrame:
         store.alias("Store"), upc.alias("UPC"), descr.alias("Description"),
         units.alias("Units"), F.col("l_extendedprice").alias("Price"),
         F.date_format("l_shipdate", "yyyy-MM").alias("Month"), F.col("l_linestatus").alias("Status"),
+        F.col("l_orderkey").alias("OrderKey"), F.col("l_linenumber").alias("LineNumber"),
     )
 
 
@@ -194,7 +195,36 @@ def _write_banner(rows: DataFrame, path: str) -> None:
     )
 
 
+#: What the files with line breaks in their cells add to a description.
+SECOND_LINE = '\nsecond "line", with a comma'
+
+
+def _write_quoted(rows: DataFrame, path: str) -> None:
+    """Every third description goes on over a line break, with quotes and a comma."""
+    more = F.when(F.substring("UPC", -1, 1).isin("0", "3", "6", "9"), F.lit(SECOND_LINE)).otherwise("")
+    rows.withColumn("Description", F.concat("Description", more)).select(*RAW).write.options(
+        header=True, escape='"'
+    ).csv(path)
+
+
+NUMBERED_PARTS = 5
+
+
+def _write_numbered(rows: DataFrame, path: str) -> None:
+    """Lines of order and line number in order, one file per ``part``."""
+    lines = rows.select(
+        (F.col("OrderKey") % NUMBERED_PARTS).alias("part"), "OrderKey", "LineNumber",
+        F.concat_ws("|", "OrderKey", "LineNumber").alias("value"),
+    )
+    (
+        lines.repartition("part").sortWithinPartitions("part", "OrderKey", "LineNumber")
+        .select("part", "value").write.partitionBy("part").text(path)
+    )
+
+
 _WRITERS = {
+    "quoted": _write_quoted,
+    "numbered": _write_numbered,
     "mixed": _write_mixed,
     "banner": _write_banner,
     "delimited": _write_delimited,

@@ -3,7 +3,7 @@
 All lines of a file decide. A first scan counts what the lines look like per (file, read
 block, prefix or record letter), a second one the kinds of values per (file, column) once the
 delimiter is known. Only counts and the first line of each file, which has the names, are
-shuffled (beyond ``BROADCAST_BLOCKS`` read blocks the second scan's lines too, by block).
+shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from posrecon.functions.text import delimiter_count, is_ascii, redecode_latin1,
 from posrecon.plans.mapping import suggest_mapping
 from posrecon.shared import stored
 from posrecon.sources.lines import (
-    BLOCK, BROADCAST_BLOCKS, FILE, FILE_ID, SEQ, VALUE, attach_blocks, file_name, read_lines,
+    BLOCK, FILE, FILE_ID, SEQ, VALUE, file_name, one_path_per_id, read_lines, with_index,
 )
 
 # Least shares of the lines that are not blank, and the delimiters tried, in order of
@@ -164,18 +164,20 @@ def _line_cells(text: Column) -> Column:
     )
 
 
-def _with_columns(lines: DataFrame, blocks: DataFrame, formats: DataFrame) -> DataFrame:
+def _with_columns(lines: DataFrame, files: DataFrame, formats: DataFrame) -> DataFrame:
     """Add column names and the types of all values (delimited and record files).
 
     The line with the names is counted with the others and then taken off.
     """
-    known = formats.select(FILE, "file_type", "delimiter", "record_types")
-    blocks = blocks.join(known, FILE)
-    placed = attach_blocks(lines.select(FILE_ID, BLOCK, _TEXT), blocks, small=blocks.count() <= BROADCAST_BLOCKS)
+    files = one_path_per_id(files)
+    known = formats.join(files, FILE).select(FILE_ID, FILE, "file_type", "delimiter", "record_types", "names_line")
+    placed = with_index(
+        lines.select(FILE_ID, _TEXT), known.select(FILE_ID, "file_type", "delimiter", "record_types"), [FILE_ID], files.count()
+    )
     delimited = F.col("file_type") == "delimited"
-    every = placed.select(FILE, F.lit(1).alias("sign"), F.posexplode(_line_cells(F.col(_TEXT))).alias("pos", "v"))
-    names = formats.filter(delimited).select(
-        FILE, F.lit(-1).alias("sign"), F.posexplode(_line_cells(F.col("names_line"))).alias("pos", "v")
+    every = placed.select(FILE_ID, F.lit(1).alias("sign"), F.posexplode(_line_cells(F.col(_TEXT))).alias("pos", "v"))
+    names = known.filter(delimited).select(
+        FILE_ID, F.lit(-1).alias("sign"), F.posexplode(_line_cells(F.col("names_line"))).alias("pos", "v")
     )
     is_name = F.col("sign") < 0
     data = F.nullif(F.col("v"), F.lit(""))
@@ -183,13 +185,13 @@ def _with_columns(lines: DataFrame, blocks: DataFrame, formats: DataFrame) -> Da
     number = data.rlike(r"^[-+]?(\d*\.\d+([eE][-+]?\d+)?|\d+[eE][-+]?\d+|\d+\.|\d+)$")
     logical = data.rlike(r"(?i)^(true|false)$")
     times = lambda c: F.sum(F.when(c, F.col("sign")).otherwise(0))
-    per_column = every.unionByName(names).groupBy(FILE, "pos").agg(
+    per_column = every.unionByName(names).groupBy(FILE_ID, "pos").agg(
         F.max(F.when(is_name, F.col("v"))).alias("name"),
         times(data.isNotNull()).alias("k"),
         times(integer).alias("ints"),
         times(integer | number).alias("numbers"),
         times(logical).alias("booleans"),
-    ).join(known.select(FILE, "file_type"), FILE)
+    ).join(known.select(FILE_ID, FILE, "file_type"), FILE_ID)
     kind = (
         F.when(~delimited | (F.col("k") == 0), "String")
         .when(F.col("ints") == F.col("k"), "Int64")
@@ -214,8 +216,8 @@ def profile_files(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     lines = _lines(spark, paths)
     counts = stored(_counts(lines))
     formats = stored(_file_format(counts))
-    blocks = counts.select(FILE, FILE_ID, BLOCK).distinct()
-    return suggest_mapping(_with_columns(lines, blocks, formats), "columns")
+    files = counts.select(FILE, FILE_ID).distinct()
+    return suggest_mapping(_with_columns(lines, files, formats), "columns")
 
 
 def config_from_profile(row) -> FormatConfig:

@@ -4,24 +4,31 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posrecon.functions.text import normal_encoding, redecode_latin1
+from posrecon.shared import stored
 from posrecon.sources.lines import (
+    BLOCK,
     FILE,
+    FILE_ID,
     LINE_NO,
+    SEQ,
     VALUE,
     as_paths,
     file_name,
-    first_lines,
     head_lines,
-    number_lines,
-    plain_path,
+    one_path_per_id,
     read_lines,
+    skip_lines,
+    with_index,
 )
+from posrecon.sources.quoted import quoted_records
+
+#: A file's header begins within so many bytes of its start.
+HEAD_BYTES = 1 << 20
 
 
 def _csv_options(delimiter: str) -> dict[str, str]:
@@ -60,26 +67,23 @@ def read_delimited(
     """All files as one table of text columns.
 
     Every file has its own header. Files whose header differs from the first one
-    stop the job, unless ``mixed_headers`` is set: then files are grouped by
-    header and united by column name. Short rows are padded with nulls (with
+    stop the job, unless ``mixed_headers`` is set: then cells go to columns by the
+    names in their file's header (in any case), and a column that a file lacks is null there. Short rows are padded with nulls (with
     ``""`` under ``pad_ragged``), extra cells are dropped. ``columns`` prunes the
     scan; ``with_file`` adds ``source_file``. ``header_names`` states the header when
     it is already known: every file is checked against it and none is sampled.
     Columns named in ``numeric`` are not decoded: only their ASCII characters count.
+    ``start_line`` skips lines before the header; ``quoted_newlines`` lets quoted cells contain line breaks. All of these
+    go together, and files split under each of them.
     """
     delimiter = delimiter or ","
     paths = as_paths(paths)
-    if start_line > 0 and (mixed_headers or quoted_newlines):
-        raise ValueError("start_line works line by line: neither mixed_headers nor quoted_newlines go with it")
-    if start_line > 0:
-        df = _read_below_banner(spark, paths, delimiter, start_line, has_header, encoding)
-    elif mixed_headers and has_header:
-        df = _read_by_header(spark, paths, delimiter, encoding, quoted_newlines)
-    else:
-        df = _read_native(
-            spark, paths, delimiter, has_header, encoding, quoted_newlines, with_file,
-            header_names, numeric,
+    if start_line > 0 or quoted_newlines or (mixed_headers and has_header):
+        df = _read_as_records(
+            spark, paths, delimiter, has_header, start_line, encoding, mixed_headers, quoted_newlines, header_names, numeric
         )
+    else:
+        df = _read_native(spark, paths, delimiter, has_header, encoding, with_file, header_names, numeric)
     df = rename_positional(df, column_names)
     keep = columns or [c for c in df.columns if c != FILE]
     cells = [F.col(f"`{c}`") for c in keep]
@@ -94,12 +98,11 @@ def _read_native(
     delimiter: str,
     has_header: bool,
     encoding: str,
-    quoted_newlines: bool = False,
     with_file: bool = False,
     header_names: list[str] | None = None,
     numeric: tuple[str, ...] = (),
 ) -> DataFrame:
-    reader = csv_reader(spark.read, delimiter, has_header, encoding).option("multiLine", quoted_newlines)
+    reader = csv_reader(spark.read, delimiter, has_header, encoding)
     if has_header and header_names:
         reader = reader.schema(text_schema(header_names))
     raw = reader.csv(paths)
@@ -131,53 +134,104 @@ def decoded_cells(raw: DataFrame, encoding: str, numeric: tuple[str, ...] = ())
     return [c if n in numeric else redecode_latin1(c, enc).alias(n) for c, n in zip(cells, raw.columns)]
 
 
-def _read_by_header(
-    spark: SparkSession, paths: list[str], delimiter: str, encoding: str, quoted_newlines: bool
-) -> DataFrame:
-    first = head_lines(read_lines(spark, paths, encoding, ordered=True), 1)
-    groups: dict[str, list[str]] = {}
-    for row in first.select(FILE, VALUE).collect():
-        groups.setdefault(row[VALUE], []).append(plain_path(row[FILE]))
-    if not groups:
-        return _read_native(spark, paths, delimiter, True, encoding, quoted_newlines, True)
-    tables = [
-        _read_native(spark, sorted(groups[h]), delimiter, True, encoding, quoted_newlines, True)
-        for h in sorted(groups)
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-
-
-def _read_below_banner(
+def column_names_of(header: str, delimiter: str) -> list[str]:
+    """Names in a header line: empty ones are numbered, and so are those that occur twice, as in Spark's own reader."""
+    cells = next(csv.reader([header], delimiter=delimiter)) if len(delimiter) == 1 else header.split(delimiter)
+    lower = [c.lower() for c in cells]
+    return [f"_c{i}" if not c else f"{c}{i}" if lower.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
+
+
+def _first_records(lines: DataFrame, delimiter: str, quoted: bool) -> DataFrame:
+    """The first record of every file that is not blank."""
+    head = lines.where(F.col(BLOCK) < HEAD_BYTES)
+    records = quoted_records(head, delimiter) if quoted else head
+    return head_lines(records.where(F.col(VALUE) != "").drop(LINE_NO), 1)
+
+
+def _read_as_records(
     spark: SparkSession,
     paths: list[str],
     delimiter: str,
-    start_line: int,
     has_header: bool,
+    start_line: int,
     encoding: str,
+    mixed_headers: bool,
+    quoted: bool,
+    header_names: list[str] | None,
+    numeric: tuple[str, ...],
 ) -> DataFrame:
-    """Skip the first ``start_line`` lines of every file, then parse line by line."""
-    top = first_lines(spark, _one_file(spark, paths), 1, encoding, start_line)
-    if not top:
-        raise ValueError(f"no line {start_line + 1} in the first input file")
-    names = next(csv.reader([top[0]], delimiter=delimiter))
+    """Lines (or records of several lines) parsed one by one, whatever their file's header.
+
+    Distinct headers alone come to the driver. Every file gets the number of its header and the position of
+    it in an index of numbers; one scan takes each cell to the column that the header of its file names.
+    """
+    lines = skip_lines(read_lines(spark, paths, "latin-1", ordered=True), start_line)
+    first = stored(_first_records(lines, delimiter, quoted).select(FILE, FILE_ID, BLOCK, SEQ, VALUE))
+    found = [r[0] for r in first.select(VALUE).distinct().orderBy(VALUE).collect()] if has_header else []
+    named = [column_names_of(h, delimiter) for h in found]
+    if has_header and not found:
+        if header_names or start_line <= 0:
+            return _read_native(spark, paths, delimiter, True, encoding, True, header_names, numeric)
+        raise ValueError(f"no line {start_line + 1} in any input file")
     if not has_header:
-        names = [f"_c{i}" for i in range(len(names))]
-    lines = number_lines(read_lines(spark, paths, encoding, ordered=True))
-    body = lines.where((F.col(LINE_NO) >= start_line) & (F.col(VALUE) != ""))
+        top = first.orderBy(FILE).first()
+        named = [[f"_c{i}" for i in range(len(column_names_of(top[VALUE], delimiter)) if top else 0)]]
+    elif not mixed_headers and (len(found) > 1 or (header_names and named[0] != list(header_names))):
+        raise ValueError(f"header differs between files: {' / '.join(found[:3])}")
+    records = (quoted_records(lines, delimiter) if quoted else lines).where(F.col(VALUE) != "")
+    number = F.lit(0)
     if has_header:
-        is_header = F.col(LINE_NO) == start_line
-        body = body.where(
-            F.when(~is_header, True)
-            .when(F.col(VALUE) == top[0], False)
-            .otherwise(F.raise_error(F.lit("header differs between files")).cast("boolean"))
+        positions = F.create_map(*[x for k, h in enumerate(found) for x in (F.lit(h), F.lit(k))])
+        index = one_path_per_id(first).where(F.col(FILE).isNotNull()).select(
+            FILE_ID, F.element_at(positions, F.col(VALUE)).alias("__header"),
+            F.col(BLOCK).alias("__head_block"), F.col(SEQ).alias("__head_seq"),
+        )
+        records = with_index(records, index, [FILE_ID], first.count())
+        is_header = (F.col(BLOCK) == F.col("__head_block")) & (F.col(SEQ) == F.col("__head_seq"))
+        records = records.where(
+            F.when(F.col("__header").isNotNull(), ~is_header).otherwise(
+                F.raise_error(F.lit(f"no header in the first {HEAD_BYTES} bytes of a file")).cast("boolean")
+            )
         )
-    row = F.from_csv(VALUE, ", ".join(f"`{n}` string" for n in names), _csv_options(delimiter))
-    return body.select(row.alias("__row"), FILE).select("__row.*", FILE)
+        number = F.col("__header")
+    width = max(map(len, named))
+    row = F.from_csv(VALUE, ", ".join(f"c{i} string" for i in range(width)) or "c0 string", _csv_options(delimiter))
+    parsed = records.select(row.alias("__row"), number.alias("__header"), FILE)
+    names: dict[str, str] = {}
+    for n in (n for h in named for n in h):
+        names.setdefault(n.lower(), n)
+    return parsed.select(*[_named_cell(n, named, encoding, n in numeric) for n in names.values()], FILE)
+
+
+def _named_cell(name: str, headers: list[list[str]], encoding: str, numeric: bool) -> Column:
+    """The cell of a column, wherever the row's header has it."""
+    places: dict[int, list[int]] = {}
+    for k, names in enumerate(headers):
+        lower = [n.lower() for n in names]
+        if name.lower() in lower:
+            places.setdefault(lower.index(name.lower()), []).append(k)
+    if len(places) == 1 and len(next(iter(places.values()))) == len(headers):
+        cell = F.col(f"__row.c{next(iter(places))}")
+    else:
+        options = [F.when(F.col("__header").isin(hs), F.col(f"__row.c{i}")) for i, hs in places.items()]
+        cell = F.coalesce(*options)
+    return (cell if numeric else redecode_latin1(cell, normal_encoding(encoding))).alias(
+        name if numeric else _decoded_name(name, encoding)
+    )
 
 
-def _one_file(spark: SparkSession, paths: list[str]) -> str:
-    files = list_files(spark, paths[:1]).orderBy(FILE).limit(1).collect()
-    return plain_path(files[0][FILE]) if files else paths[0]
+def _decoded_name(name: str, encoding: str) -> str:
+    """A header read byte by byte, as text of the given encoding."""
+    raw, enc = name.encode("latin-1"), normal_encoding(encoding)
+    if enc == "latin-1":
+        return name
+    if enc in ("utf-8", "auto"):
+        try:
+            return raw.decode("utf-8")
+        except UnicodeDecodeError:
+            if enc == "utf-8":
+                return raw.decode("utf-8", errors="replace")
+    return raw.decode("cp1252", errors="ignore")
 
 
 def list_files(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:

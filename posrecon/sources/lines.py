@@ -26,8 +26,9 @@ BLOCK = "__block"
 SEQ = "__seq"
 VALUE = "value"
 LINE_NO = "line_no"
-#: About 100 bytes each.
-BROADCAST_BLOCKS = 500_000
+#: Rows of a numeric index (about 100 bytes each in memory) that may be sent to every task: the read blocks of
+#: 2 PB at 128 MB. Longer ones are joined.
+INDEX_ROWS = 16_000_000
 
 
 def as_paths(paths: str | Iterable[str]) -> list[str]:
@@ -82,21 +83,24 @@ def block_table(lines: DataFrame, *aggregates: Column) -> DataFrame:
     return lines.groupBy(FILE, FILE_ID, BLOCK).agg(*aggregates)
 
 
-def attach_blocks(rows: DataFrame, blocks: DataFrame, small: bool = False) -> DataFrame:
-    """Give every row the columns of its block; ``small`` tables are sent to every task.
-
-    Rows already partitioned by (file id, block) are not moved again. The job
-    stops if a row's block is unknown or two paths share a file id, so the keys
-    are never trusted silently.
-    """
+def one_path_per_id(table: DataFrame) -> DataFrame:
+    """Stop the job if two paths share a file id, so that ids are never trusted silently."""
     same_id = Window.partitionBy(FILE_ID)
-    checked = blocks.withColumn(
+    return table.withColumn(
         FILE,
         F.when(F.min(FILE).over(same_id) == F.max(FILE).over(same_id), F.col(FILE)).otherwise(
             F.raise_error(F.lit("two input paths share one file id"))
         ),
     )
-    joined = rows.join(F.broadcast(checked) if small else checked, [FILE_ID, BLOCK], "left")
+
+
+def attach_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Give every row the columns of its block.
+
+    Rows already partitioned by (file id, block) are not moved again. The job stops if a
+    row's block is unknown.
+    """
+    joined = rows.join(one_path_per_id(blocks), [FILE_ID, BLOCK], "left")
     return joined.where(
         F.when(F.col(FILE).isNotNull(), True).otherwise(
             F.raise_error(F.lit("input split layout changed while reading")).cast("boolean")
@@ -104,20 +108,23 @@ def attach_blocks(rows: DataFrame, blocks: DataFrame, small: bool = False) -> Da
     )
 
 
+def with_index(rows: DataFrame, index: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
+    """Left-join a stored index of numbers, one row per file or read block, without moving the rows."""
+    return rows.join(F.broadcast(index) if n_rows <= INDEX_ROWS else index, keys, "left")
+
+
 def number_lines(lines: DataFrame) -> DataFrame:
     """Add the 0-based line number inside the file to ``ordered`` lines.
 
     Positions count up by one inside a block, so a number is the lines before the block plus
-    the distance from its first position. Lines are neither shuffled nor sorted: the
-    table with one row per block is counted, and sent to every task up to
-    ``BROADCAST_BLOCKS`` rows (beyond that it is joined).
+    the distance from its first position. Lines are neither shuffled nor sorted: the index with
+    one row of numbers per block is counted, and sent to every task.
     """
     before = Window.partitionBy(FILE_ID).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     counted = stored(block_table(lines, F.count(F.lit(1)).alias("__n"), F.min(SEQ).alias("__first")))
-    blocks = counted.select(
-        FILE, FILE_ID, BLOCK, "__n", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
-    )
-    rows = attach_blocks(lines.drop(FILE), blocks, small=counted.count() <= BROADCAST_BLOCKS)
+    offset = F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
+    index = one_path_per_id(counted).where(F.col(FILE).isNotNull()).select(FILE_ID, BLOCK, "__n", "__first", offset)
+    rows = with_index(lines, index, [FILE_ID, BLOCK], counted.count())
     place = F.col(SEQ) - F.col("__first")
     number = F.when((place >= 0) & (place < F.col("__n")), F.col("__offset") + place).otherwise(
         F.raise_error(F.lit("input split layout changed while reading")).cast("long")

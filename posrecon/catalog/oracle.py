@@ -10,7 +10,7 @@ bau as (
          lpad(cast(l_partkey as varchar), 12, '0') as upc,
          'ITEM ' || l_partkey || ' ' || l_returnflag as descr,
          l_quantity as units, l_extendedprice as price,
-         strftime(l_shipdate, '%Y-%m') as month
+         strftime(l_shipdate, '%Y-%m') as month, l_linenumber as line
   from lineitem)"""
 
 _TEST = """
@@ -21,7 +21,8 @@ test as (
          'ITEM ' || l_partkey || ' ' || l_returnflag ||
            case when l_partkey % 50 = 0 or (l_partkey % 7 = 0 and l_returnflag = 'R') then ' NEW' else '' end as descr,
          l_quantity + case when l_partkey % 9 = 0 then 1 else 0 end as units,
-         l_extendedprice as price
+         l_extendedprice as price, strftime(l_shipdate, '%Y-%m') as month,
+         l_linenumber as line, l_linestatus as status
   from lineitem)"""
 
 
@@ -290,6 +291,29 @@ select '{name}' as filename, count(distinct store) as store_count, count(distinc
   round({_sum('units')}, 2) as total_units, round({_sum('price')}, 2) as total_dollars from {side}"""
 
 
+def _review_by_file(side: str, source: str, name: str) -> str:
+    return f"""
+select {name} as filename, '{side}' as side, count(distinct store) as store_count, count(distinct upc) as upc_count,
+  round({_sum('units')}, 2) as total_units, round({_sum('price')}, 2) as total_dollars from {source} group by {name}"""
+
+
+ORACLE["reconcile_file_reviews"] = f"""
+with {_BAU}, {_TEST} {_review_by_file('bau', 'bau', 'month')}
+union all {_review_by_file('test', "(select *, 'state-' || status as f from test)", 'f')}"""
+ORACLE["read_transactions_orphans"] = f"""
+with {_BAU}, k as (select * from bau where line <> 7)
+select store, {_sum('units')} as trailer_units, {_sum('price')} as trailer_dollars, count(*) as details,
+  count(distinct month) as months, {_sum('units')} as units, {_sum('price')} as dollars from k group by store"""
+ORACLE["transaction_orphans"] = """
+select count(*) as details, cast(count(*) filter (where l_linenumber = 7) as bigint) as orphans from lineitem"""
+ORACLE["reconcile_counts"] = f"""
+with {_BAU}, {_TEST}, k as (select * from bau where line <> 7)
+select 'bau' as side, count(*) as n_rows, 0::bigint as bad_measures, 0::bigint as no_store,
+  (select count(*) from bau) as details, (select count(*) from bau where line = 7) as orphan_details,
+  count(distinct store) as stores, count(distinct upc) as upcs, count(distinct cast(substr(store, 2) as bigint) % 4) as files from k
+union all
+select 'test', count(*), count(*) filter (where line = 5), count(*) filter (where line = 6), null, null,
+  count(distinct case when line <> 6 then store end), count(distinct upc), count(distinct month) from test"""
 ORACLE["reconcile_reviews"] = f"with {_BAU}, {_TEST} {_review('bau', 'BAU')} union all {_review('test', 'TEST')}"
 ORACLE["onboard_file_review"] = f"with {_TEST} {_review('test', 'retailer')}"
 ORACLE["reconcile_metrics"] = """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from posrecon.catalog import sides
@@ -29,6 +29,7 @@ from posrecon.sources.dispatch import read_pos
 from posrecon.sources.lines import FILE, LINE_NO, number_lines, plain_path, read_lines
 from posrecon.sources.preview import preview_raw
 from posrecon.sources.sinks import write_report
+from posrecon.sources.transactions import transaction_counts
 from posrecon.sources.tables import read_side_parquet, read_store_list
 from posrecon.streaming.landing import stream_summary
 
@@ -355,6 +356,25 @@ def read_transactions_trailer(spark, sf):
     )
 
 
+@register
+def read_transactions_orphans(spark, sf):
+    """Several transactions under one trailer, blank lines, and details between a trailer and the next header."""
+    df = read_pos(spark, raw_files(spark, sf, "bau", "orphans"), CONFIGS["transactions"])
+    return df.groupBy(
+        F.col("Store").alias("store"), safe_numeric("TotalUnits").alias("trailer_units"), safe_numeric("TotalPrice").alias("trailer_dollars")
+    ).agg(
+        F.count(F.lit(1)).alias("details"), F.count_distinct("Month").alias("months"),
+        exact_sum(safe_numeric("Units")).alias("units"), exact_sum(safe_numeric("Price")).alias("dollars"),
+    )
+
+
+@register
+def transaction_orphans(spark, sf):
+    """Details and orphans over all files, counted without moving lines."""
+    counts = transaction_counts(spark, raw_files(spark, sf, "bau", "orphans"), "HDR", "TRL")
+    return counts.agg(F.sum("details").alias("details"), F.sum("orphans").alias("orphans"))
+
+
 @register
 def file_review(spark, sf):
     """One row per delivery folder (a month's files)."""
@@ -376,21 +396,15 @@ def file_review_consolidated(spark, sf):
 # --- item audit ------------------------------------------------------------
 
 
-def _audit(spark, sf) -> tuple[DataFrame, DataFrame]:
-    return tuple(
-        au.audit_summary(
-            side(spark, sf).withColumnsRenamed(
-                {"UPC": "UPC_CODE", "Description": "PRODUCT_DESCRIPTION",
-                 "Units": "UNITS_SOLD", "Price": "TOTAL_DOLLARS"}
-            ),
-            exact=True,
-        )
-        for side in (sides.bau, sides.test)
-    )
+_AUDIT_NAMES = {"UPC": "UPC_CODE", "Description": "PRODUCT_DESCRIPTION", "Units": "UNITS_SOLD", "Price": "TOTAL_DOLLARS"}
+
+
+def _audit_sides(spark, sf) -> list[DataFrame]:
+    return [side(spark, sf).withColumnsRenamed(_AUDIT_NAMES) for side in (sides.bau, sides.test)]
 
 
 def _presence(spark, sf) -> DataFrame:
-    return au.outer_presence(*_audit(spark, sf))
+    return au.presence_of_rows(*_audit_sides(spark, sf), exact=True)
 
 
 def _audit_differences(df: DataFrame) -> DataFrame:
@@ -405,7 +419,7 @@ def _audit_differences(df: DataFrame) -> DataFrame:
 
 @register
 def audit_inner_diff(spark, sf):
-    return _audit_differences(au.inner_differences(*_audit(spark, sf)))
+    return _audit_differences(au.differences_of(_presence(spark, sf)))
 
 
 @register
@@ -606,6 +620,38 @@ def reconcile_metrics(spark, sf):
     return spark.createDataFrame(seen, "side string, n_rows long, bad_measures long, no_store long")
 
 
+@register
+def reconcile_counts(spark, sf):
+    """All counts of a run: BAU files with orphaned details against TEST rows with bad measures and no store.
+
+    BAU has a file per part of its stores, TEST one per month.
+    """
+    seen = Observation("reader")
+    config = CONFIGS["transactions"]
+    bau = read_pos(spark, raw_files(spark, sf, "bau", "orphans"), config, with_file=True, seen=seen)
+    line = F.col("LineNumber")
+    test = sides.test(spark, sf).withColumns({
+        "Store": F.when(line != 6, F.col("Store")),
+        "Price": F.when(line == 5, "N/A").otherwise(F.col("Price").cast("string")),
+        FILE: F.col("Month"),
+    })
+    run = reconcile(bau, test, config, TABLE_CONFIG, exact=True, seen={"bau": seen})
+    counts = _kept(run, run.counts)
+    rows = [(name, *(m.get(k) for k in ("rows", "bad_measures", "no_store", "details", "orphan_details"))) for name, m in run.metrics().items()]
+    told = spark.createDataFrame(rows, "side string, n_rows long, bad_measures long, no_store long, details long, orphan_details long")
+    return told.join(counts, "side")
+
+
+@register
+def reconcile_file_reviews(spark, sf):
+    """Reviews per file inside a run: BAU rows by month, TEST rows by line state."""
+    bau = sides.bau(spark, sf).withColumn(FILE, F.col("Month"))
+    test = sides.test(spark, sf).withColumn(FILE, F.concat(F.lit("state-"), "Status"))
+    run = reconcile(bau, test, TABLE_CONFIG, TABLE_CONFIG, exact=True)
+    both = run["bau_review"].withColumn("side", F.lit("bau")).unionByName(run["test_review"].withColumn("side", F.lit("test")))
+    return _kept(run, both.withColumn("total_units", F.round("total_units", 2)))
+
+
 def _onboarding(spark, sf) -> RunResult:
     """The TEST rows with a store list file made from ``supplier``."""
     path = f"{scratch_dir(spark)}/stores"
@@ -659,8 +705,7 @@ def item_audit_counts(spark, sf):
 
 
 def _item_audit(spark, sf) -> dict[str, DataFrame]:
-    names = {"UPC": "UPC_CODE", "Description": "PRODUCT_DESCRIPTION", "Units": "UNITS_SOLD", "Price": "TOTAL_DOLLARS"}
-    return item_audit(*(side(spark, sf).withColumnsRenamed(names) for side in (sides.bau, sides.test)), exact=True)
+    return item_audit(*_audit_sides(spark, sf), exact=True)
 
 
 @register

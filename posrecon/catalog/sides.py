@@ -207,6 +207,43 @@ def _write_quoted(rows: DataFrame, path: str) -> None:
     ).csv(path)
 
 
+PARTS = 4
+#: Details of this line number stand between transactions.
+ORPHANS = 7
+
+
+def _write_orphans(rows: DataFrame, path: str) -> None:
+    """One trailer per store after a transaction per month, blank lines, and details that belong to none of them.
+
+    The trailer ends all transactions of its store; what follows it before the next header is orphaned.
+    """
+    part = F.substring("Store", 2, 20).cast("long") % PARTS
+    detail = F.concat(
+        _padded(14, F.col("UPC")), _padded(30, F.col("Description")),
+        F.lpad(F.col("Units").cast("long").cast("string"), 6, " "), F.lpad(_money("Price"), 14, " "),
+    )
+    kept = rows.where(F.col("LineNumber") != ORPHANS)
+    heads = kept.select("Store", "Month").distinct().select(
+        "Store", "Month", F.explode(F.array(
+            F.struct(F.lit(0).alias("kind"), F.concat(F.lit("HDR"), _padded(12, F.col("Store")), "Month").alias("value")),
+            F.struct(F.lit(1).alias("kind"), F.lit("").alias("value")),
+        )).alias("m"),
+    ).select("Store", "Month", "m.*")
+    ends = kept.groupBy("Store").agg(
+        F.sum("Units").cast("long").cast("string").alias("u"), F.sum(F.col("Price").cast("decimal(18,2)")).cast("string").alias("p")
+    ).select("Store", F.lit("9").alias("Month"), F.lit(0).alias("kind"), F.concat(F.lit("TRL"), F.lpad("u", 16, " "), F.lpad("p", 20, " ")).alias("value"))
+    lines = (
+        kept.select("Store", "Month", F.lit(2).alias("kind"), detail.alias("value"))
+        .unionByName(heads).unionByName(ends)
+        .unionByName(rows.where(F.col("LineNumber") == ORPHANS).select("Store", F.lit("9").alias("Month"), F.lit(1).alias("kind"), detail.alias("value")))
+        .withColumn("part", part)
+    )
+    (
+        lines.repartition("part").sortWithinPartitions("part", "Store", "Month", "kind")
+        .select("part", "value").write.partitionBy("part").text(path)
+    )
+
+
 NUMBERED_PARTS = 5
 
 
@@ -224,6 +261,7 @@ def _write_numbered(rows: DataFrame, path: str) -> None:
 
 _WRITERS = {
     "quoted": _write_quoted,
+    "orphans": _write_orphans,
     "numbered": _write_numbered,
     "mixed": _write_mixed,
     "banner": _write_banner,

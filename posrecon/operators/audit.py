@@ -14,6 +14,7 @@ from posrecon.functions.measures import (
     fraction_change,
     total,
 )
+from posrecon.operators import tagged
 from posrecon.operators.skew import lookup_by_key
 
 KEYS = ["UPC_CODE", "PRODUCT_DESCRIPTION"]
@@ -22,16 +23,21 @@ KEYS = ["UPC_CODE", "PRODUCT_DESCRIPTION"]
 def audit_summary(rows: DataFrame, exact: bool | int = False) -> DataFrame:
     """Sums per (UPC, description) of one side's row-level output; bad numbers count
     as 0 and rows with a null key are left out."""
-    return (
-        rows.select(
-            *KEYS,
-            coerce_numeric("UNITS_SOLD").alias("UNITS_SOLD"),
-            coerce_numeric("TOTAL_DOLLARS").alias("TOTAL_DOLLARS"),
-        )
-        .where(F.col("UPC_CODE").isNotNull() & F.col("PRODUCT_DESCRIPTION").isNotNull())
-        .groupBy(*KEYS)
-        .agg(total("UNITS_SOLD", exact).alias("UNITS"), total("TOTAL_DOLLARS", exact).alias("DOLLARS"))
-    )
+    return audit_rows(rows).groupBy(*KEYS).agg(total("Units", exact).alias("UNITS"), total("Dollars", exact).alias("DOLLARS"))
+
+
+def audit_rows(rows: DataFrame) -> DataFrame:
+    """Row-level output as keys, ``Units`` and ``Dollars``."""
+    return rows.select(
+        *KEYS, coerce_numeric("UNITS_SOLD").alias("Units"), coerce_numeric("TOTAL_DOLLARS").alias("Dollars")
+    ).where(F.col("UPC_CODE").isNotNull() & F.col("PRODUCT_DESCRIPTION").isNotNull())
+
+
+def presence_of_rows(bau: DataFrame, test: DataFrame, exact: bool | int = False) -> DataFrame:
+    """All keys with their presence class from both sides' row-level output, by one aggregation."""
+    both = tagged.both_sides(audit_rows(bau), audit_rows(test), KEYS, ["Units", "Dollars"], exact)
+    sums = [F.col(p + m).alias(f"{side} {m}") for p, side in zip(tagged.SIDES, ("BAU", "TEST")) for m in ("Units", "Dollars")]
+    return both.select(*KEYS, *sums).withColumn("Present In", classify_presence("BAU Units", "TEST Units"))
 
 
 def _side(summary: DataFrame, name: str) -> DataFrame:

@@ -13,8 +13,8 @@ from posrecon.functions.measures import (
     pct_diff,
     within_tolerance,
 )
+from posrecon.operators import tagged
 from posrecon.operators.skew import lookup_by_key, rows_before
-from posrecon.operators.summarize import summarize_level
 from posrecon.shared import stored
 
 _STORE_MEASURES = ("Units", "Totalprice")
@@ -31,7 +31,8 @@ def full_join_with_coalesce(
     """Full outer join with one key column; clashing right columns take ``suffix``
     and missing numbers become ``fill_value``.
 
-    Summaries are already partitioned by their keys, so the join adds no shuffle.
+    For summaries that exist already; rows of two sides are compared by one
+    aggregation (:mod:`posrecon.operators.tagged`).
     """
     clash = [c for c in right.columns if c in left.columns and c not in on]
     right = right.withColumnsRenamed({c: c + suffix for c in clash})
@@ -55,6 +56,10 @@ def store_diffs(
     merged = full_join_with_coalesce(prod, test, ["STORE_NUMBER"]).withColumnsRenamed(
         {c: c + "_Prod" for c in _STORE_MEASURES}
     )
+    return _store_columns(merged, ordered)
+
+
+def _store_columns(merged: DataFrame, ordered: bool) -> DataFrame:
     out = merged.select(
         "STORE_NUMBER", "Units_Prod", "Totalprice_Prod", "Units_Test", "Totalprice_Test",
         abs_diff("Units_Prod", "Units_Test", "Units_Diff"),
@@ -65,15 +70,19 @@ def store_diffs(
     return out.orderBy("STORE_NUMBER") if ordered else out
 
 
+def store_comparison_of(both: DataFrame, ordered: bool = True) -> DataFrame:
+    """Store comparison from ``b_`` and ``t_`` sums per store."""
+    names = {p + m: m + end for p, end in zip(tagged.SIDES, ("_Prod", "_Test")) for m in _STORE_MEASURES}
+    sums = [F.coalesce(F.col(p), F.lit(0.0)).alias(n) for p, n in names.items()]
+    return _store_columns(both.select("STORE_NUMBER", *sums), ordered)
+
+
 def store_validation(
     prod_rows: DataFrame, test_rows: DataFrame, exact: bool | int = False, ordered: bool = True
 ) -> DataFrame:
-    """Store comparison straight from canonical store rows."""
-    return store_diffs(
-        summarize_level(prod_rows, "store", exact),
-        summarize_level(test_rows, "store", exact),
-        ordered,
-    )
+    """Store comparison straight from canonical store rows: one aggregation of both sides."""
+    both = tagged.both_sides(prod_rows, test_rows, ["STORE_NUMBER"], list(_STORE_MEASURES), exact)
+    return store_comparison_of(both, ordered)
 
 
 def item_comparison(bau_summary: DataFrame, test_summary: DataFrame) -> DataFrame:
@@ -86,7 +95,20 @@ def item_comparison(bau_summary: DataFrame, test_summary: DataFrame) -> DataFram
             F.col("TOTAL_DOLLARS").cast("double").alias(f"{name} Dollars"),
         )
 
-    joined = side(bau_summary, "BAU").join(side(test_summary, "TEST"), _ITEM_KEYS, "full")
+    return _item_columns(side(bau_summary, "BAU").join(side(test_summary, "TEST"), _ITEM_KEYS, "full"))
+
+
+def item_comparison_of(both: DataFrame, units: str = "UNITS_SOLD", dollars: str = "TOTAL_DOLLARS") -> DataFrame:
+    """Item comparison from ``b_`` and ``t_`` sums per (UPC, description)."""
+    sums = [
+        F.col(p + m).alias(f"{side} {name}")
+        for p, side in zip(tagged.SIDES, ("BAU", "TEST"))
+        for m, name in ((units, "Units"), (dollars, "Dollars"))
+    ]
+    return _item_columns(both.select(*_ITEM_KEYS, *sums))
+
+
+def _item_columns(joined: DataFrame) -> DataFrame:
     filled = joined.withColumn("Present In", classify_presence("BAU Units", "TEST Units")).fillna(
         0.0, ["BAU Units", "BAU Dollars", "TEST Units", "TEST Dollars"]
     )
@@ -114,10 +136,9 @@ def item_summary(comparison: DataFrame, ordered: bool = True) -> DataFrame:
 def item_validation(
     bau_rows: DataFrame, test_rows: DataFrame, exact: bool | int = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Comparison and presence summary from canonical item rows."""
-    comparison = item_comparison(
-        summarize_level(bau_rows, "item", exact), summarize_level(test_rows, "item", exact)
-    )
+    """Comparison and presence summary from canonical item rows: one aggregation of both sides."""
+    both = tagged.both_sides(bau_rows, test_rows, _ITEM_KEYS, ["UNITS_SOLD", "TOTAL_DOLLARS"], exact)
+    comparison = item_comparison_of(both)
     return comparison, item_summary(comparison)
 
 

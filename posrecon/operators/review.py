@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posrecon.config import FormatConfig
 from posrecon.functions.measures import total
 from posrecon.functions.text import strip
+from posrecon.operators import tagged
 from posrecon.operators.canonical import measures
 from posrecon.sources.lines import FILE, file_name
 
@@ -46,7 +47,20 @@ def file_review(
         total("units", exact).alias("units"),
         total("dollars", exact).alias("dollars"),
     )
-    of_store = F.col("by_upc") == 0
+    return _per_file(groups, F.col("by_upc") == 0, files, exact)
+
+
+def review_of_summary(summary: DataFrame, side: int, exact: bool | int = False) -> DataFrame:
+    """One row per file of a side, from the groups of a run's summary."""
+    p = tagged.SIDES[side]
+    groups = summary.where(F.col("level").isin("file_store", "file_upc") & (F.col(tagged.SIDE) == side)).select(
+        FILE, (F.col("level") == "file_store").alias("of_store"),
+        F.col(p + "Units").alias("units"), F.col(p + "TOTAL_DOLLARS").alias("dollars"),
+    )
+    return _per_file(groups, F.col("of_store"), None, exact)
+
+
+def _per_file(groups: DataFrame, of_store: Column, files: DataFrame | None, exact: bool | int) -> DataFrame:
     per_file = groups.groupBy(FILE).agg(
         F.count_if(of_store).alias("store_count"),
         F.count_if(~of_store).alias("upc_count"),

@@ -6,25 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posrecon.operators.audit import (
-    audit_summary,
     common_upcs,
     description_mismatch,
     differences_of,
     disjoint_upcs,
     key_counts,
     mismatch_report,
-    outer_presence,
+    presence_of_rows,
     upc_agreement,
 )
 
 
 def item_audit(bau: DataFrame, test: DataFrame, exact: bool | int = False) -> dict[str, DataFrame]:
-    """All audit frames; both sides are summed once and the joined keys are cached.
+    """All audit frames; one aggregation sums both sides, and its keys are cached.
 
     Call ``presence.unpersist()`` on the ``presence`` frame when done.
     """
-    bau_sums, test_sums = audit_summary(bau, exact), audit_summary(test, exact)
-    presence = outer_presence(bau_sums, test_sums).persist()
+    presence = presence_of_rows(bau, test, exact).persist()
     agreement = upc_agreement(presence)
     return {
         "comparison": differences_of(presence),

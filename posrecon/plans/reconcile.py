@@ -10,15 +10,11 @@ from pyspark.sql import functions as F
 
 from posrecon.config import FormatConfig, ValidationConfig
 from posrecon.operators.canonical import bad_measure_count, to_rows, to_sales_rows
-from posrecon.operators.compare import item_comparison, item_summary, store_diffs
-from posrecon.operators.review import file_review, review_from_summaries, review_rows
+from posrecon.operators import tagged
+from posrecon.operators.compare import item_comparison_of, item_summary, store_comparison_of
+from posrecon.operators.review import review_from_summaries, review_of_summary
 from posrecon.operators.stores import store_list_diff
-from posrecon.operators.summarize import (
-    item_part,
-    store_part,
-    summarize_level,
-    two_level_summary,
-)
+from posrecon.operators.summarize import LEVELS, summarize_level
 from posrecon.sources.lines import FILE
 
 
@@ -27,8 +23,10 @@ class RunResult:
     """Lazy report frames by name, plus what the run keeps for them."""
 
     frames: dict[str, DataFrame] = field(default_factory=dict)
-    observations: dict[str, Observation] = field(default_factory=dict)
+    observations: dict[str, list[Observation]] = field(default_factory=dict)
     kept: list[DataFrame] = field(default_factory=list)
+    #: Exact numbers of stores, UPCs and files per side, for runs that sum stores and items.
+    counts: DataFrame | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.frames[name]
@@ -39,11 +37,11 @@ class RunResult:
         Counts arrive shortly after the first report, so up to ``timeout`` seconds are waited.
         """
         end = time.monotonic() + timeout
-        while not all(o._jo.future().isCompleted() for o in self.observations.values()):
+        while not all(o._jo.future().isCompleted() for seen in self.observations.values() for o in seen):
             if time.monotonic() > end:
                 raise ValueError("no report of this run has been computed yet")
             time.sleep(0.05)
-        return {name: dict(o.get) for name, o in self.observations.items()}
+        return {name: {k: v for o in seen for k, v in o.get.items()} for name, seen in self.observations.items()}
 
     def release(self) -> None:
         """Drop the cached summaries once every report is written."""
@@ -63,32 +61,73 @@ def observe_input(raw: DataFrame, config: FormatConfig, name: str) -> tuple[Data
     return counted, seen
 
 
-def side_summary(
-    run: RunResult,
-    raw: DataFrame,
-    config: FormatConfig,
-    name: str,
-    exact: bool | int = False,
-    stores: bool = True,
-    items: bool = True,
-) -> tuple[DataFrame | None, DataFrame | None]:
-    """Store and item sums of one side from one scan, cached for all its reports.
+@dataclass
+class _Sums:
+    """The sums of a run's sides, cached: per store, per item and, from one scan, per file."""
 
-    A level that no report needs is not computed.
-    """
-    if not (stores or items):
-        return None, None
-    counted, seen = observe_input(raw, config, name)
-    if stores and items:
-        summary = two_level_summary(to_sales_rows(counted, config), exact).persist()
-        parts = store_part(summary), item_part(summary)
+    n_sides: int
+    stores: DataFrame | None = None
+    items: DataFrame | None = None
+    summary: DataFrame | None = None
+    exact: bool | int = False
+
+    def store_side(self, side: int) -> DataFrame:
+        p = tagged.SIDES[side]
+        return self.stores.where(F.col(p + "Units").isNotNull()).select(
+            "STORE_NUMBER", F.col(p + "Units").alias("Units"), F.col(p + "Totalprice").alias("Totalprice")
+        )
+
+    def item_side(self, side: int) -> DataFrame:
+        p, (keys, sums) = tagged.SIDES[side], LEVELS["item"]
+        return self.items.where(F.col(p + sums[0]).isNotNull()).select(*keys, *[F.col(p + m).alias(m) for m in sums])
+
+    def review(self, side: int, by_file: bool, names: list[str]) -> DataFrame:
+        if by_file:
+            return review_of_summary(self.summary, side, self.exact)
+        return review_from_summaries(self.store_side(side), self.item_side(side), names)
+
+
+def _summed(
+    run: RunResult,
+    raws: dict[str, tuple[DataFrame, FormatConfig]],
+    exact: bool | int,
+    stores: bool,
+    items: bool,
+    files: bool,
+    seen: dict[str, Observation],
+) -> _Sums:
+    """Each side is scanned once for all reports of the run; a level that none needs is not computed."""
+    out = _Sums(len(raws), exact=exact)
+    if not (stores or items or files):
+        return out
+    counted = {}
+    for name, (raw, config) in raws.items():
+        counted[name], observed = observe_input(raw, config, name)
+        run.observations[name] = [observed, *([seen[name]] if name in seen else [])]
+    if (stores and items) or files:
+        sales = [to_sales_rows(counted[name], config) for name, (_, config) in raws.items()]
+        if files:
+            sales = [s if FILE in s.columns else s.withColumn(FILE, F.lit(None).cast("string")) for s in sales]
+        out.summary = tagged.run_summary(sales, exact, stores, items, files).persist()
+        out.stores = tagged.part(out.summary, "store")
+        out.items = tagged.part(out.summary, "item").withColumnsRenamed(
+            {p + "Units": p + "UNITS_SOLD" for p in tagged.SIDES[: out.n_sides]}
+        )
+        if stores and items:
+            run.counts = tagged.key_counts_of(out.summary, list(raws), files)
+        run.kept.append(out.summary)
+        return out
+    level = "store" if stores else "item"
+    rows = [to_rows(counted[name], level, config) for name, (_, config) in raws.items()]
+    keys, sums = LEVELS[level]
+    if len(rows) == 2:
+        told = tagged.both_sides(*rows, keys, sums, exact)
     else:
-        level = "store" if stores else "item"
-        summary = summarize_level(to_rows(counted, level, config), level, exact).persist()
-        parts = (summary, None) if stores else (None, summary)
-    run.observations[name] = seen
-    run.kept.append(summary)
-    return parts
+        told = summarize_level(rows[0], level, exact).withColumnsRenamed({m: tagged.SIDES[0] + m for m in sums})
+    told = told.persist()
+    run.kept.append(told)
+    out.stores, out.items = (told, None) if stores else (None, told)
+    return out
 
 
 def reconcile(
@@ -99,6 +138,7 @@ def reconcile(
     rules: ValidationConfig | None = None,
     exact: bool | int = False,
     file_counts: tuple[list[str], list[str]] | None = None,
+    seen: dict[str, Observation] | None = None,
 ) -> RunResult:
     """Compare two sides; each side keeps its own configuration.
 
@@ -106,29 +146,33 @@ def reconcile(
     its frames: ``store_validation``; ``item_comparison`` and ``item_summary``;
     ``store_list``; ``bau_review`` and ``test_review``. Reviews are per file when
     the raw rows carry ``source_file``, else one consolidated row from the
-    summaries (``file_counts`` holds the file names of both sides).
+    summaries (``file_counts`` holds the file names of both sides). Every side is scanned once.
+    ``seen`` are the readers' own observations by side (``read_pos(..., seen=)``); their counts join the metrics.
     """
     rules = rules or ValidationConfig()
     run = RunResult()
-    sides = []
-    for name, raw, config in (("bau", bau, bau_config), ("test", test, test_config)):
-        from_sums = rules.file_review.enabled and FILE not in raw.columns
-        need_stores = rules.store_validation.enabled or rules.compare_store_list.enabled or from_sums
-        need_items = rules.item_validation.enabled or from_sums
-        sides.append(side_summary(run, raw, config, name, exact, need_stores, need_items))
-    (bau_stores, bau_items), (test_stores, test_items) = sides
+    raws = {"bau": (bau, bau_config), "test": (test, test_config)}
+    by_file = {name: rules.file_review.enabled and FILE in raw.columns for name, (raw, _) in raws.items()}
+    from_sums = rules.file_review.enabled and not all(by_file.values())
+    sums = _summed(
+        run, raws, exact,
+        rules.store_validation.enabled or rules.compare_store_list.enabled or from_sums,
+        rules.item_validation.enabled or from_sums,
+        any(by_file.values()),
+        seen or {},
+    )
     if rules.store_validation.enabled:
-        run.frames["store_validation"] = store_diffs(bau_stores, test_stores)
+        run.frames["store_validation"] = store_comparison_of(sums.stores)
     if rules.item_validation.enabled:
-        comparison = item_comparison(bau_items, test_items)
+        comparison = item_comparison_of(sums.items)
         run.frames["item_comparison"] = comparison
         run.frames["item_summary"] = item_summary(comparison)
     if rules.compare_store_list.enabled:
-        run.frames["store_list"] = store_list_diff(bau_stores, test_stores)
+        run.frames["store_list"] = store_list_diff(sums.store_side(0), sums.store_side(1))
     if rules.file_review.enabled:
         names = file_counts or (["BAU"], ["TEST"])
-        run.frames["bau_review"] = _review(bau, bau_config, bau_stores, bau_items, names[0], exact)
-        run.frames["test_review"] = _review(test, test_config, test_stores, test_items, names[1], exact)
+        for k, name in enumerate(raws):
+            run.frames[f"{name}_review"] = sums.review(k, by_file[name], names[k])
     return run
 
 
@@ -140,29 +184,25 @@ def onboard(
     rules: ValidationConfig | None = None,
     exact: bool | int = False,
     files: list[str] | None = None,
+    seen: Observation | None = None,
 ) -> RunResult:
     """Check one retailer's files: ``store_list`` against a given list,
     ``upc_summary`` and ``file_review``."""
     rules = rules or ValidationConfig()
     run = RunResult()
-    from_sums = rules.file_review.enabled and FILE not in raw.columns
-    stores, items = side_summary(
-        run, raw, config, "retailer", exact,
-        rules.compare_store_list.enabled or from_sums,
-        rules.item_validation.enabled or from_sums,
+    by_file = rules.file_review.enabled and FILE in raw.columns
+    from_sums = rules.file_review.enabled and not by_file
+    sums = _summed(
+        run, {"retailer": (raw, config)}, exact,
+        rules.compare_store_list.enabled or from_sums, rules.item_validation.enabled or from_sums, by_file,
+        {"retailer": seen} if seen else {},
     )
     if rules.compare_store_list.enabled:
         if store_list is None:
             raise ValueError("a store list is required to compare stores")
-        run.frames["store_list"] = store_list_diff(stores, store_list, "STORE_NUMBER", store_list_col)
+        run.frames["store_list"] = store_list_diff(sums.store_side(0), store_list, "STORE_NUMBER", store_list_col)
     if rules.item_validation.enabled:
-        run.frames["upc_summary"] = items
+        run.frames["upc_summary"] = sums.item_side(0)
     if rules.file_review.enabled:
-        run.frames["file_review"] = _review(raw, config, stores, items, files or ["retailer"], exact)
+        run.frames["file_review"] = sums.review(0, by_file, files or ["retailer"])
     return run
-
-
-def _review(raw, config, stores, items, names, exact) -> DataFrame:
-    if FILE in raw.columns:
-        return file_review(review_rows(raw, config), exact=exact)
-    return review_from_summaries(stores, items, names)

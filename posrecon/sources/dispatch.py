@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from posrecon.config import FormatConfig
 from posrecon.sources.delimited import read_delimited, rename_positional
@@ -27,9 +27,12 @@ def read_pos(
     paths: str | Iterable[str],
     config: FormatConfig,
     with_file: bool = False,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """Read raw text columns as the configuration says.
 
+    ``seen`` gets the reader's own counts (header / detail / trailer files: details and orphans).
+
     A delimited file marked cp1252 (the configuration default) is read as UTF-8
     where its bytes are valid UTF-8 and as cp1252 elsewhere.
     """
@@ -58,7 +61,7 @@ def read_pos(
             df = read_transactions(
                 spark, paths, config.header_prefix, config.header_layout,
                 config.detail_layout or config.layout,
-                config.trailer_prefix, config.trailer_layout, config.encoding, with_file,
+                config.trailer_prefix, config.trailer_layout, config.encoding, with_file, seen=seen,
             )
             return rename_positional(df, config.schema)
         return read_records(

@@ -14,11 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from posrecon.config import as_layout
 from posrecon.functions.text import slice_field
+from posrecon.shared import stored
 from posrecon.sources.lines import (
     BLOCK,
     FILE,
@@ -27,6 +28,7 @@ from posrecon.sources.lines import (
     VALUE,
     attach_blocks,
     block_table,
+    one_path_per_id,
     read_lines,
 )
 
@@ -45,6 +47,7 @@ def read_transactions(
     encoding: str = "cp1252",
     with_file: bool = False,
     with_position: bool = False,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """Details with their header's fields and, given a trailer, its fields.
 
@@ -52,7 +55,8 @@ def read_transactions(
     both. Details before any header, or between a trailer and the next header, are
     dropped. Without ``trailer_prefix`` a trailer line counts as a detail. Details
     after the last trailer have null trailer fields. ``with_position`` keeps the
-    columns that order the rows inside a file.
+    columns that order the rows inside a file. ``seen`` counts ``details`` and, of these, the
+    dropped ``orphan_details`` on the same pass.
     """
     headers, details = as_layout(header_layout), as_layout(detail_layout)
     trailers = as_layout(trailer_layout) if trailer_prefix else []
@@ -97,7 +101,12 @@ def read_transactions(
     ).where(_DETAIL)
 
     rows = attach_blocks(rows, _carried(parsed, list(h.values()), list(t.values())))
-    rows = rows.where(F.coalesce(F.col(_OPEN), F.col("__in.open"), F.lit(False)))
+    is_open = F.coalesce(F.col(_OPEN), F.col("__in.open"), F.lit(False))
+    if seen is not None:
+        rows = rows.observe(
+            seen, F.count(F.lit(1)).alias("details"), F.count_if(~is_open).alias("orphan_details")
+        )
+    rows = rows.where(is_open)
 
     def value(name: str):
         options = []
@@ -117,6 +126,47 @@ def read_transactions(
     )
 
 
+def transaction_counts(
+    spark: SparkSession,
+    paths: str | Iterable[str],
+    header_prefix: str,
+    trailer_prefix: str | None = None,
+    encoding: str = "cp1252",
+) -> DataFrame:
+    """Per file: ``details`` and, of these, ``orphans`` (before any header, or between a trailer and the next header).
+
+    Lines are not shuffled. A block tells where its first and last header or trailer stand, how many details lie before
+    the first, and how many follow a trailer inside; those before the first are orphans if the
+    blocks above leave no transaction open.
+    """
+    line = F.col(VALUE)
+    is_header = F.startswith(line, F.lit(header_prefix))
+    is_trailer = ~is_header & F.startswith(line, F.lit(trailer_prefix)) if trailer_prefix else F.lit(False)
+    lines = read_lines(spark, paths, encoding, ordered=True, keep=line != "").select(
+        FILE, FILE_ID, BLOCK, SEQ, F.when(is_header, True).when(is_trailer, False).alias(_OPEN)
+    )
+    # A mark and the place of the next one: details between a trailer and the next mark are the distance of the two.
+    marks = stored(lines.where(F.col(_OPEN).isNotNull()))
+    blocks = stored(block_table(lines, F.count(F.lit(1)).alias("n"), F.min(SEQ).alias("first")))
+    in_block = Window.partitionBy(FILE_ID, BLOCK).orderBy(SEQ)
+    placed = marks.withColumn("next", F.lead(SEQ).over(in_block))
+    per_block = placed.groupBy(FILE_ID, BLOCK).agg(
+        F.min(SEQ).alias("mark"), F.count(F.lit(1)).alias("marks"), F.max_by(_OPEN, SEQ).alias("open"),
+        F.max(SEQ).alias("last"),
+        F.sum(F.when(~F.col(_OPEN), F.col("next") - F.col(SEQ) - 1)).alias("closed"),
+    )
+    above = Window.partitionBy(FILE_ID).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    told = one_path_per_id(blocks).join(per_block, [FILE_ID, BLOCK], "left").withColumn(
+        "in", F.coalesce(F.last("open", ignorenulls=True).over(above), F.lit(False))
+    )
+    before = F.coalesce(F.col("mark") - F.col("first"), F.col("n"))
+    after = F.when(~F.col("open"), F.col("first") + F.col("n") - 1 - F.col("last"))
+    orphans = F.when(~F.col("in"), before).otherwise(0) + F.coalesce("closed", F.lit(0)) + F.coalesce(after, F.lit(0))
+    return told.groupBy(FILE).agg(
+        F.sum(F.col("n") - F.coalesce("marks", F.lit(0))).alias("details"), F.sum(orphans).alias("orphans")
+    )
+
+
 def _carried(parsed: DataFrame, h: list[str], t: list[str]) -> DataFrame:
     """Per block: the state before its first line and the trailer after its last."""
     state = F.struct(F.col(_OPEN).alias("open"), *h)

@@ -99,19 +99,17 @@ def key_counts_of(summary: DataFrame, names: list[str], files: bool) -> DataFram
     """Exact counts per side of the keys of a run: ``side``, ``stores``, ``upcs`` and ``files`` (null where the
     groups by file were not formed). A null key counts as none."""
     prefixes = SIDES[: len(names)]
-    present = lambda p, c: F.count_if(F.col(p + "Units").isNotNull() & F.col(c).isNotNull()).alias(p + "n")
-    stores = part(summary, "store").agg(*[present(p, "STORE_NUMBER") for p in prefixes])
-    upcs = part(summary, "item").groupBy("UPC_CODE").agg(*[F.max(p + "Units").alias(p + "Units") for p in prefixes])
-    frames = {"stores": stores, "upcs": upcs.agg(*[present(p, "UPC_CODE") for p in prefixes])}
-    if files:
-        seen = part(summary, "file_store").where(F.col(FILE).isNotNull()).select(SIDE, FILE).distinct()
-        frames["files"] = seen.agg(*[F.count_if(F.col(SIDE) == k).alias(p + "n") for k, p in enumerate(prefixes)])
-
-    def per_side(name: str, counts: DataFrame) -> DataFrame:
-        each = [F.struct(F.lit(side).alias("side"), F.col(p + "n").alias("n")) for side, p in zip(names, prefixes)]
-        return counts.select(F.lit(name).alias("what"), F.explode(F.array(*each)).alias("x")).select("what", "x.*")
-
-    rows = reduce(lambda a, b: a.unionByName(b), [per_side(*f) for f in frames.items()])
-    return rows.groupBy("side").agg(
-        *[F.max(F.when(F.col("what") == name, F.col("n"))).alias(name) for name in ("stores", "upcs", "files")]
-    )
+    keys = {"store": ("stores", "STORE_NUMBER"), "item": ("upcs", "UPC_CODE")}
+    keys |= {"file_store": ("files", FILE)} if files else {}
+    # One chain of groupings: a union of parts of a cached table would not find the table in the cache.
+    level, what, key = F.col("level"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, (counted, column) in keys.items():
+        what = F.when(level == name, counted).otherwise(what)
+        key = F.when(level == name, F.col(column)).otherwise(key)
+    rows = summary.select(what.alias("what"), key.alias("key"), *[F.col(p + "Units").isNotNull().alias(p) for p in prefixes])
+    distinct = rows.where(F.col("key").isNotNull()).groupBy("what", "key").agg(*[F.bool_or(p).alias(p) for p in prefixes])
+    counts = distinct.groupBy("what").agg(*[F.count_if(p).alias(p) for p in prefixes])
+    each = [F.struct(F.lit(side).alias("side"), F.col(p).alias("n")) for side, p in zip(names, prefixes)]
+    of = lambda name: F.coalesce(F.max(F.when(F.col("what") == name, F.col("n"))), F.lit(0)).alias(name)
+    told = counts.select("what", F.explode(F.array(*each)).alias("x")).select("what", "x.*").groupBy("side")
+    return told.agg(of("stores"), of("upcs"), of("files") if files else F.lit(None).cast("long").alias("files"))

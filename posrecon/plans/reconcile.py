@@ -13,7 +13,7 @@ from posrecon.operators.canonical import bad_measure_count, to_rows, to_sales_ro
 from posrecon.operators import tagged
 from posrecon.operators.compare import item_comparison_of, item_summary, store_comparison_of
 from posrecon.operators.review import review_from_summaries, review_of_summary
-from posrecon.operators.stores import store_list_diff
+from posrecon.operators.stores import store_list_diff, store_list_of
 from posrecon.operators.summarize import LEVELS, summarize_level
 from posrecon.sources.lines import FILE
 
@@ -168,7 +168,7 @@ def reconcile(
         run.frames["item_comparison"] = comparison
         run.frames["item_summary"] = item_summary(comparison)
     if rules.compare_store_list.enabled:
-        run.frames["store_list"] = store_list_diff(sums.store_side(0), sums.store_side(1))
+        run.frames["store_list"] = store_list_of(sums.stores)
     if rules.file_review.enabled:
         names = file_counts or (["BAU"], ["TEST"])
         for k, name in enumerate(raws):

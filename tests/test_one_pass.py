@@ -70,7 +70,7 @@ def test_a_run_scans_each_side_once(spark, tmp_path):
         leaves = df._jdf.queryExecution().withCachedData().collectLeaves()
         return {leaves.apply(i).nodeName() for i in range(leaves.size())}
 
-    assert summary.is_cached and all(sources(f) == {"InMemoryRelation"} for f in run.frames.values())
+    assert summary.is_cached and all(sources(f) == {"InMemoryRelation"} for f in [*run.frames.values(), run.counts])
     assert "InMemoryRelation" not in sources(paths[0].select("Store"))
     assert {r.side: (r.stores, r.upcs, r.files) for r in run.counts.collect()} == {"bau": (3, 3, 3), "test": (4, 4, 3)}
     assert [r.filename for r in run["bau_review"].orderBy("filename").collect()] == ["0.csv", "1.csv", "2.csv"]

@@ -277,6 +277,15 @@ ORACLE["read_quoted_item"] = f"""
 with {_BAU}, q as (select upc, units, price,
   descr || case when right(upc, 1) in ('0', '3', '6', '9') then chr(10) || 'second "line", with a comma' else '' end as descr
   from bau) {_grouped('upc, descr', 'q')}"""
+ORACLE["read_layouts_item"] = f"""
+with {_BAU} select case line % 3 when 0 then 'plain' when 1 then 'implied' else 'marked' end as layout, upc, descr,
+  {_sum('units')} as units, {_sum('price')} as dollars from bau group by all"""
+ORACLE["rules_aggregate"] = f"""
+with {_BAU}
+select 'store_month' as rule, store, month, null::varchar as upc, {_sum('units')} as units, null::double as dollars
+from bau group by store, month
+union all select 'upc', null, null, upc, null, {_sum('price')} from bau group by upc
+union all select 'month', null, month, null, {_sum('units')}, {_sum('price')} from bau group by month"""
 ORACLE["audit_from_parquet"] = ORACLE["audit_key_counts"]
 ORACLE["reconcile_item_comparison"] = ORACLE["item_validation"]
 ORACLE["reconcile_item_summary"] = ORACLE["item_presence_summary"]

@@ -24,6 +24,7 @@ from posrecon.plans.item_audit import item_audit
 from posrecon.plans.mapping import check_mapping
 from posrecon.plans.reconcile import RunResult, onboard, reconcile
 from posrecon.shared import scratch_dir, stored
+from posrecon.sources.by_layout import load_configs, load_layouts, read_by_layout, sales_rows_by_layout
 from posrecon.sources.delimited import list_files, read_delimited
 from posrecon.sources.dispatch import read_pos
 from posrecon.sources.lines import FILE, LINE_NO, number_lines, plain_path, read_lines
@@ -157,6 +158,23 @@ def rule_aggregate(spark, sf):
     )
 
 
+@register
+def rules_aggregate(spark, sf):
+    """Three rules over one scan: by store and month, by UPC, and by month with both sums."""
+    rules = {
+        "store_month": ValidationRule(group_by_columns=["STORE_NUMBER", "Month"], aggregation_columns=["UNITS_SOLD"]),
+        "upc": ValidationRule(group_by_columns=["UPC_CODE"], aggregation_columns=["TOTAL_DOLLARS"]),
+        "month": ValidationRule(required_columns=["STORE_NUMBER"], group_by_columns=["Month"]),
+    }
+    rows = sides.bau(spark, sf).withColumnsRenamed(
+        {"Store": "STORE_NUMBER", "UPC": "UPC_CODE", "Units": "UNITS_SOLD", "Price": "TOTAL_DOLLARS"}
+    )
+    return _names(
+        sm.aggregate_by_rules(rows, rules, "item", exact=True),
+        rule="rule", store="STORE_NUMBER", month="Month", upc="UPC_CODE", units="UNITS_SOLD", dollars="TOTAL_DOLLARS",
+    )
+
+
 # --- comparisons -----------------------------------------------------------
 
 
@@ -328,6 +346,16 @@ def read_fixed_width_item(spark, sf):
     return _names(_from_files(spark, sf, "fixed", "item"), **_ITEM)
 
 
+@register
+def read_layouts_item(spark, sf):
+    """Files of three layouts in one scan, each by its saved configuration and layout file."""
+    path = raw_files(spark, sf, "bau", "layouts")
+    configs = load_configs(spark, f"{path}/configs/*.json", load_layouts(spark, f"{path}/configs/layouts"))
+    rows = sales_rows_by_layout(read_by_layout(spark, f"{path}/data/*", configs, F.element_at(F.split(FILE, "/"), -2)))
+    sums = sm.summarize(rows, ["name", "UPC_CODE", "PRODUCT_DESCRIPTION"], ["Units", "TOTAL_DOLLARS"], exact=True)
+    return _names(sums, layout="name", upc="UPC_CODE", descr="PRODUCT_DESCRIPTION", units="Units", dollars="TOTAL_DOLLARS")
+
+
 @register
 def read_records_store(spark, sf):
     return _names(_from_files(spark, sf, "records", "store"), **_STORE)

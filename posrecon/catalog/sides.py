@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posrecon.config import FormatConfig, LayoutField
+from posrecon.config import FormatConfig, LayoutField, save_format_config, write_text
 from posrecon.shared import scratch_dir
 
 RAW = ["Store", "UPC", "Description", "Units", "Price"]
@@ -259,7 +259,48 @@ def _write_numbered(rows: DataFrame, path: str) -> None:
     )
 
 
+#: Three layouts of the same sales, one folder each; ``LAYOUTS`` also has each one's saved options.
+LAYOUTS = {
+    "plain": (FIXED_LAYOUT, {}),
+    "implied": (
+        [LayoutField("qty", 0, 9, "numeric"), LayoutField("amount", 9, 21, "numeric"), LayoutField("shop", 21, 33),
+         LayoutField("code", 33, 47), LayoutField("text", 47, 77)],
+        dict(implied_units=True, implied_dollars=True, store_col="shop", upc_col="code", desc_col="text", units_col="qty", price_col="amount"),
+    ),
+    "marked": (
+        [LayoutField("Kind", 0, 1), LayoutField("Description", 1, 31), LayoutField("Store", 31, 43), LayoutField("Price", 43, 57),
+         LayoutField("UPC", 57, 71), LayoutField("Units", 71, 77)],
+        dict(record_type="R"),
+    ),
+}
+
+
+def _write_layouts(rows: DataFrame, path: str) -> None:
+    """Each third of the rows in a layout of its own, beside saved configurations and layout files."""
+    spark = rows.sparkSession
+    whole = lambda name, width, factor=1: F.lpad((F.col(name) * factor).cast("decimal(20,0)").cast("string"), width, "0")
+    units = F.lpad(F.col("Units").cast("long").cast("string"), 6, " ")
+    text = F.col("Description")
+    lines = {
+        "plain": F.concat(_padded(12, F.col("Store")), F.lpad("UPC", 14, " "), _padded(30, text), units, F.lpad(_money("Price"), 14, " ")),
+        "implied": F.concat(whole("Units", 9, 100), whole("Price", 12, 100), _padded(12, F.col("Store")), F.lpad("UPC", 14, " "), _padded(30, text)),
+        "marked": F.concat(F.lit("R"), _padded(30, text), _padded(12, F.col("Store")), F.lpad(_money("Price"), 14, " "), F.lpad("UPC", 14, " "), units),
+    }
+    for k, (name, (layout, options)) in enumerate(LAYOUTS.items()):
+        table = [(f.start + 1, f.length, f.field, f.type) for f in layout]
+        header = ("FROM,Length,field,Type", "From,LENGTH,Field,type", "from,length,Field,Type")[k]
+        write_text("\n".join([header, *(",".join(map(str, r)) for r in table)]) + "\n", f"{path}/configs/layouts/{name}.csv", spark)
+        config = FormatConfig(**{**ROLES, **options}, name=name, file_type="fixed", layout_file=f"layouts/{name}.csv")
+        save_format_config(config, f"{path}/configs/{name}.json", spark)
+        mine = rows.where(F.col("LineNumber") % 3 == k).select(lines[name].alias("value"))
+        if name == "marked":
+            # Every line is followed by one of another kind.
+            mine = mine.select(F.explode(F.array("value", F.lit("Xnothing to read"))).alias("value"))
+        mine.write.text(f"{path}/data/{name}")
+
+
 _WRITERS = {
+    "layouts": _write_layouts,
     "quoted": _write_quoted,
     "orphans": _write_orphans,
     "numbered": _write_numbered,

@@ -179,10 +179,24 @@ def load_format_config(path: str, spark=None) -> FormatConfig:
         return config_from_dict(json.load(f))
 
 
-def save_format_config(config: FormatConfig, path: str) -> None:
+def save_format_config(config: FormatConfig, path: str, spark=None) -> None:
+    """Save a configuration; a session writes it to any store that Spark writes to."""
     data = {k: v for k, v in asdict(config).items() if k not in _NOT_SAVED}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(data, f, indent=2)
+    write_text(json.dumps(data, indent=2), path, spark)
+
+
+def write_text(text: str, path: str, spark=None) -> None:
+    """One small file; with a session through the file system of its path."""
+    if spark is None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
 
 
 def resolve_path(path: str | None, base_dir: str | None) -> str | None:

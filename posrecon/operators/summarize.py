@@ -75,6 +75,46 @@ def aggregate_by_rule(
     )
 
 
+def aggregate_by_rules(
+    rows: DataFrame, rules: dict[str, ValidationRule], level: str, exact: bool | int = False
+) -> DataFrame:
+    """Many rules in one pass: ``rule``, every grouping column of any rule, and every sum of any rule.
+
+    Rules become grouping sets over one scan; those with the same columns share a set. Columns that a rule does not
+    group by or sum are null in its rows; :func:`rule_part` takes one rule's table out.
+    """
+    keys, sums = _level(level)
+    missing = sorted({c for r in rules.values() for c in r.required_columns if c not in rows.columns})
+    if missing:
+        raise ValueError(f"columns not found: {', '.join(missing)}")
+    groups = {name: tuple(r.group_by_columns or keys) for name, r in rules.items()}
+    adds = {name: tuple(r.aggregation_columns or sums) for name, r in rules.items()}
+    every = list(dict.fromkeys(c for g in groups.values() for c in g))
+    measures = list(dict.fromkeys(c for a in adds.values() for c in a))
+    if set(every) & set(measures):
+        raise ValueError(f"grouped and summed: {', '.join(sorted(set(every) & set(measures)))}")
+    sets: dict[frozenset, list[str]] = {}
+    for name, g in groups.items():
+        sets.setdefault(frozenset(g), []).append(name)
+    told = rows.groupingSets([[F.col(f"`{c}`") for c in every if c in g] for g in sets], *[F.col(f"`{c}`") for c in every]).agg(
+        F.grouping_id().alias("__id"), *[total(F.col(f"`{c}`"), exact).alias(c) for c in measures]
+    )
+    named = None
+    for g, names in sets.items():
+        number = sum(1 << k for k, c in enumerate(reversed(every)) if c not in g)
+        own = F.array(*map(F.lit, names))
+        named = F.when(F.col("__id") == number, own) if named is None else named.when(F.col("__id") == number, own)
+    long = told.withColumn("rule", F.explode(named))
+    asked = lambda c: F.col("rule").isin([name for name, a in adds.items() if c in a])
+    return long.select("rule", *[F.col(f"`{c}`") for c in every], *[F.when(asked(c), F.col(f"`{c}`")).alias(c) for c in measures])
+
+
+def rule_part(table: DataFrame, name: str, rule: ValidationRule, level: str) -> DataFrame:
+    """The rows of one rule with its own columns."""
+    keys, sums = _level(level)
+    return table.where(F.col("rule") == name).select(*(rule.group_by_columns or keys), *(rule.aggregation_columns or sums))
+
+
 def two_level_summary(sales: DataFrame, exact: bool | int = False) -> DataFrame:
     """Store and item sums from one pass over sales rows.
 

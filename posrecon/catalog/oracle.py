@@ -10,7 +10,7 @@ bau as (
          lpad(cast(l_partkey as varchar), 12, '0') as upc,
          'ITEM ' || l_partkey || ' ' || l_returnflag as descr,
          l_quantity as units, l_extendedprice as price,
-         strftime(l_shipdate, '%Y-%m') as month, l_linenumber as line
+         strftime(l_shipdate, '%Y-%m') as month, l_linenumber as line, l_orderkey as order_key
   from lineitem)"""
 
 _TEST = """
@@ -277,6 +277,21 @@ ORACLE["read_quoted_item"] = f"""
 with {_BAU}, q as (select upc, units, price,
   descr || case when right(upc, 1) in ('0', '3', '6', '9') then chr(10) || 'second "line", with a comma' else '' end as descr
   from bau) {_grouped('upc, descr', 'q')}"""
+_FIRST = f"""
+with {_BAU}, f as (select *, row_number() over (order by order_key, line) as n, printf('%.2f', price) as money,
+  cast(cast(units as bigint) as varchar) as whole from bau where order_key % 5 = 0)"""
+ORACLE["preview_fixed"] = f"""{_FIRST}
+select store as "Store", upc as "UPC", descr as "Description", whole as "Units", money as "Price" from f where n <= 20"""
+ORACLE["preview_delimited"] = ORACLE["preview_fixed"].replace("n <= 20", "n <= 19")
+ORACLE["preview_record_rows"] = f"""{_FIRST}
+select store as "Column_0", upc as "Column_1", descr as "Column_2", whole as "Column_3", money as "Column_4" from f where n <= 10
+union all select store, month, '', '', '' from f where n <= 10"""
+ORACLE["preview_transaction_rows"] = f"""{_FIRST},
+o as (select order_key, cast(cast(sum(units) as bigint) as varchar) as total_units,
+  cast(sum(cast(price as decimal(18,2))) as varchar) as total_price from f group by order_key)
+select cast(order_key as varchar) as order_key, upc, descr, whole as units, money as price, total_units, total_price
+from f join o using (order_key) where n <= 20"""
+ORACLE["landing_table_store"] = _STORE
 ORACLE["read_layouts_item"] = f"""
 with {_BAU} select case line % 3 when 0 then 'plain' when 1 then 'implied' else 'marked' end as layout, upc, descr,
   {_sum('units')} as units, {_sum('price')} as dollars from bau group by all"""

@@ -27,12 +27,13 @@ from posrecon.shared import scratch_dir, stored
 from posrecon.sources.by_layout import load_configs, load_layouts, read_by_layout, sales_rows_by_layout
 from posrecon.sources.delimited import list_files, read_delimited
 from posrecon.sources.dispatch import read_pos
-from posrecon.sources.lines import FILE, LINE_NO, number_lines, plain_path, read_lines
-from posrecon.sources.preview import preview_raw
+from posrecon.sources.lines import FILE, LINE_NO, number_lines, read_lines
+from posrecon.sources.preview import preview_raw, preview_records, preview_transactions
 from posrecon.sources.sinks import write_report
 from posrecon.sources.transactions import transaction_counts
 from posrecon.sources.tables import read_side_parquet, read_store_list
-from posrecon.streaming.landing import stream_summary
+from posrecon.streaming.landing import stream_into, stream_summary
+from posrecon.streaming.summary_table import SummaryTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -565,12 +566,34 @@ def read_quoted_item(spark, sf):
     return _names(_level(read_pos(spark, raw_files(spark, sf, "bau", "quoted"), config), "item"), **_ITEM)
 
 
+def _in_order(spark, sf, kind: str) -> str:
+    return f"{raw_files(spark, sf, 'bau', 'in_order')}/{kind}"
+
+
 @register
 def preview_fixed(spark, sf):
     """First 20 records of the first file, as a person sees them."""
-    path = raw_files(spark, sf, "bau", "fixed")
-    first = list_files(spark, path).where(F.col("bytes") > 0).orderBy(FILE).first()[FILE]
-    return preview_raw(spark, plain_path(first), "fixed", layout=sides.FIXED_LAYOUT)
+    return preview_raw(spark, _in_order(spark, sf, "fixed"), "fixed", layout=sides.FIXED_LAYOUT)
+
+
+@register
+def preview_delimited(spark, sf):
+    return preview_raw(spark, _in_order(spark, sf, "delimited"), "delimited")
+
+
+@register
+def preview_record_rows(spark, sf):
+    return preview_records(spark, _in_order(spark, sf, "records"), ["H", "D"])
+
+
+@register
+def preview_transaction_rows(spark, sf):
+    """Details of the first orders with the totals of their trailers."""
+    rows = preview_transactions(
+        spark, _in_order(spark, sf, "transactions"), "HDR", sides.HEADER_LAYOUT, sides.DETAIL_LAYOUT,
+        trailer_prefix="TRL", trailer_layout=sides.TRAILER_LAYOUT,
+    )
+    return _names(rows, order_key="Store", upc="UPC", descr="Description", units="Units", price="Price", total_units="TotalUnits", total_price="TotalPrice")
 
 
 # --- whole runs ------------------------------------------------------------
@@ -782,6 +805,17 @@ def landing_stream_store(spark, sf):
     return _names(spark.read.parquet(f"{out}/summary"), **_STORE)
 
 
+@register
+def landing_table_store(spark, sf):
+    """The same into a growing table, three files at a time; the folder is then replayed, which changes nothing."""
+    out = scratch_dir(spark)
+    table = SummaryTable(spark, f"{out}/table", "store", buckets=16)
+    for replay in range(2):
+        writer = stream_into(spark, raw_files(spark, sf, "bau", "delimited"), CONFIGS["delimited"], table, max_files=3)
+        writer.option("checkpointLocation", f"{out}/progress-{replay}").trigger(availableNow=True).start().awaitTermination()
+    return _names(table.read(), **_STORE)
+
+
 # --- profiles and configurations -------------------------------------------
 
 

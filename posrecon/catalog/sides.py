@@ -259,6 +259,43 @@ def _write_numbered(rows: DataFrame, path: str) -> None:
     )
 
 
+def _write_in_order(rows: DataFrame, path: str) -> None:
+    """The same lines as the other writers, in the order of their keys; ``part=0`` of each kind is its first file.
+
+    Transactions are orders here: a header with the order, its lines, a trailer with its totals.
+    """
+    part = (F.col("OrderKey") % NUMBERED_PARTS).alias("part")
+    order, units = ["OrderKey", "LineNumber"], F.col("Units").cast("long").cast("string")
+    item = F.concat(F.lpad("UPC", 14, " "), _padded(30, F.col("Description")), F.lpad(units, 6, " "), F.lpad(_money("Price"), 14, " "))
+    fixed = F.concat(_padded(12, F.col("Store")), item)
+    record = F.concat_ws("|", F.lit("D"), "Store", "UPC", "Description", units, _money("Price"))
+    mark = F.concat_ws("|", F.lit("H"), "Store", "Month")
+    one = lambda kind, line: F.struct(F.lit(kind).alias("kind"), line.alias("value"))
+    detail = F.concat(_padded(14, F.col("UPC")), _padded(30, F.col("Description")), F.lpad(units, 6, " "), F.lpad(_money("Price"), 14, " "))
+    ends = rows.groupBy("OrderKey").agg(
+        F.sum("Units").cast("long").cast("string").alias("u"), F.sum(F.col("Price").cast("decimal(18,2)")).cast("string").alias("p")
+    ).select("OrderKey", F.explode(F.array(
+        F.struct(F.lit(0).alias("LineNumber"), F.concat(F.lit("HDR"), F.rpad(F.col("OrderKey").cast("string"), 12, " "), F.lit("2000-01")).alias("value")),
+        F.struct(F.lit(99).alias("LineNumber"), F.concat(F.lit("TRL"), F.lpad("u", 16, " "), F.lpad("p", 20, " ")).alias("value")),
+    )).alias("m")).select("OrderKey", "m.*")
+    lines = {
+        "fixed": rows.select(*order, F.lit(0).alias("kind"), fixed.alias("value")),
+        "records": rows.select(*order, F.explode(F.array(one(0, mark), one(1, record))).alias("m")).select(*order, "m.*"),
+        "transactions": rows.select("OrderKey", F.col("LineNumber").cast("int").alias("LineNumber"), detail.alias("value"))
+        .unionByName(ends).withColumn("kind", F.lit(0)),
+        "delimited": rows.select(*order, F.lit(0).alias("kind"), F.concat_ws(",", "Store", "UPC", "Description", units, _money("Price")).alias("value"))
+        .unionByName(rows.sparkSession.range(NUMBERED_PARTS).select(
+            F.col("id").alias("OrderKey"), F.lit(-1).alias("LineNumber"), F.lit(-1).alias("kind"), F.lit(",".join(RAW)).alias("value")
+        )),
+    }
+    for kind, df in lines.items():
+        first = "kind" if kind == "delimited" else "OrderKey"
+        (
+            df.withColumn("part", part).repartition("part").sortWithinPartitions("part", first, "OrderKey", "LineNumber", "kind")
+            .select("part", "value").write.partitionBy("part").text(f"{path}/{kind}")
+        )
+
+
 #: Three layouts of the same sales, one folder each; ``LAYOUTS`` also has each one's saved options.
 LAYOUTS = {
     "plain": (FIXED_LAYOUT, {}),
@@ -301,6 +338,7 @@ def _write_layouts(rows: DataFrame, path: str) -> None:
 
 _WRITERS = {
     "layouts": _write_layouts,
+    "in_order": _write_in_order,
     "quoted": _write_quoted,
     "orphans": _write_orphans,
     "numbered": _write_numbered,

@@ -155,28 +155,3 @@ def head_lines(lines: DataFrame, n: int) -> DataFrame:
         .withColumn(LINE_NO, F.col("__r") - 1)
         .drop("__r")
     )
-
-
-def first_lines(
-    spark: SparkSession,
-    path: str,
-    n: int,
-    encoding: str = "cp1252",
-    start_line: int = 0,
-    keep: Column | None = None,
-) -> list[str]:
-    """Up to ``n`` lines from the start of one file, for previews and headers.
-
-    ``take`` reads the first split only as far as it must.
-    """
-    lines = read_lines(spark, path, encoding, ordered=True)
-    if start_line:
-        head = lines.take(start_line + (0 if keep is not None else n))
-        if keep is None:
-            return [r[VALUE] for r in head[start_line:]]
-        lines = number_lines(lines).where(F.col(LINE_NO) >= start_line)
-        kept = lines.where(keep).orderBy(LINE_NO).limit(n)
-        return [r[VALUE] for r in kept.select(LINE_NO, VALUE).collect()]
-    if keep is not None:
-        lines = lines.where(keep)
-    return [r[VALUE] for r in lines.select(VALUE).take(n)]

@@ -58,6 +58,24 @@ def read_transactions(
     columns that order the rows inside a file. ``seen`` counts ``details`` and, of these, the
     dropped ``orphan_details`` on the same pass.
     """
+    lines = read_lines(spark, paths, encoding, ordered=True, keep=F.col(VALUE) != "")
+    return flatten_transactions(
+        lines, header_prefix, header_layout, detail_layout, trailer_prefix, trailer_layout, with_file, with_position, seen
+    )
+
+
+def flatten_transactions(
+    lines: DataFrame,
+    header_prefix: str,
+    header_layout,
+    detail_layout,
+    trailer_prefix: str | None = None,
+    trailer_layout=None,
+    with_file: bool = False,
+    with_position: bool = False,
+    seen: Observation | None = None,
+) -> DataFrame:
+    """:func:`read_transactions` for ordered lines that are already read (blank ones left out)."""
     headers, details = as_layout(header_layout), as_layout(detail_layout)
     trailers = as_layout(trailer_layout) if trailer_prefix else []
     if not headers:
@@ -77,8 +95,7 @@ def read_transactions(
     # Cut the fields before the shuffle, so that only the columns a query asks for
     # are shuffled instead of whole lines.
     parsed = (
-        read_lines(spark, paths, encoding, ordered=True, keep=line != "")
-        .select(
+        lines.select(
             FILE, FILE_ID, BLOCK, SEQ,
             F.when(is_header, True).when(is_trailer, False).alias(_OPEN),
             (~is_header & ~is_trailer).alias(_DETAIL),

@@ -3,7 +3,7 @@
 Base kinds (``assign``, ``access``, ``hex``) are regular expressions; a match that is too
 short is dropped. ``entropy`` spans come from candidate strings (runs of 20 and more
 characters of one class; spans of two classes that overlap count as one): a window of 20 characters slides over the candidate and keeps
-the count of every character of the class; counts change by the character that enters and the one
+the count of every character; counts change by the character that enters and the one
 that leaves, and with them the sum of ``c * log2(c)`` that gives Shannon's entropy. The
 span runs from the first to the last window that reaches the threshold of the class.
 A candidate is not scanned if the allow-list has its form (see ``ALLOWED``), and a span is not
@@ -11,7 +11,8 @@ reported a second time where base spans cover the whole of it.
 
 Positions are code points, the end exclusive; they come from the lengths of the matches
 and of the text between them. Only built-in functions run. A null or empty text has no spans;
-repeated rows are scanned alike; an empty table gives an empty result; other columns are
+repeated rows are scanned alike; an empty table gives an empty result. Time grows with the text, also for one
+candidate of a megabyte or for a hundred thousand spans. Other columns are
 not looked at (``redact`` hands them through whatever their names).
 """
 
@@ -78,25 +79,55 @@ ALLOWED = (
 PRODUCTION = Scan()
 
 
+_SPAN = "struct<start:int,end:int,match:string>"
+#: Values of an array that are folded together; longer arrays are folded in chunks, and then the chunks' ends.
+CHUNK = 256
+
+
+def _running(values: Column, op, zero: Column) -> Column:
+    """``op`` over all values up to each, in time that grows with their number (up to tens of millions).
+
+    A fold that appends copies what it has, so folds stay short: chunks are folded one by one, and each goes on
+    from the running value of the chunks before it.
+    """
+
+    def folded(xs: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out")).cast("struct<at:int,out:array<int>>")
+        step = lambda acc, x: let(
+            op(acc["at"], x), lambda v: F.struct(v.alias("at"), F.concat(acc["out"], F.array(v)).alias("out"))
+        ).cast("struct<at:int,out:array<int>>")
+        return F.aggregate(xs, start, step, lambda acc: acc["out"])
+
+    def joined(parts: Column) -> Column:
+        ends = folded(F.transform(parts, lambda c: F.element_at(c, -1)))
+        before = lambda e, k: F.when(k > 0, F.get(e, k - 1)).otherwise(zero)
+        return let(ends, lambda e: F.flatten(F.transform(parts, lambda c, k: let(before(e, k), lambda v: F.transform(c, lambda x: op(v, x))))))
+
+    def chunks(xs: Column) -> Column:
+        count = F.ceil(F.size(xs) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: folded(F.slice(xs, k * CHUNK + 1, F.lit(CHUNK))))
+
+    return let(values, lambda xs: F.when(F.size(xs) <= CHUNK, folded(xs)).otherwise(let(chunks(xs), joined)))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _placed(text: Column, pattern: str, keep) -> Column:
     """(start, end, match) of the matches that ``keep`` accepts."""
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    state = "struct<at:int,spans:array<struct<start:int,end:int,match:string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("spans")).cast(state)
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["match"])
-        one = F.struct(begin.alias("start"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(
-            end.alias("at"),
-            F.when(keep(pair["match"]), F.concat(acc["spans"], F.array(one))).otherwise(acc["spans"]).alias("spans"),
-        ).cast(state)
+    def spans(m: Column) -> Column:
+        steps = F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, x: F.length(g) + F.length(x))
+        placed = lambda ends: F.zip_with(
+            m, ends, lambda x, end: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("match"))
+        )
+        return F.filter(let(_running(steps, _plus, F.lit(0)), placed), lambda s: keep(s["match"]))
 
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    pairs = lambda m: F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, x: F.struct(g.alias("gap"), x.alias("match")))
-    return let(found, lambda m: F.when(F.size(m) == 0, none).otherwise(F.aggregate(pairs(m), start, step)["spans"]))
+    none = F.array().cast(f"array<{_SPAN}>")
+    return let(found, lambda m: F.when(F.size(m) == 0, none).otherwise(spans(m).cast(f"array<{_SPAN}>")))
 
 
 def _spans(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -104,91 +135,134 @@ def _spans(text: Column, pattern: str, group: int, least: int) -> Column:
     return F.transform(_placed(text, pattern, counted), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
-_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
+#: Counts of a window fit in 5 bits each, 12 to a number; letters, digits and marks have codes below 128.
+_BITS, _PACKED = 5, 12
+_WORDS = -(-128 // _PACKED)
 
 
 def _entropy_reach(candidate: Column, window: int, bits: float) -> Column:
-    """(first, last): start of the first and end of the last window with ``bits`` or more."""
+    """(first, last): start of the first and end of the last window with ``bits`` or more.
+
+    The counts of all characters in the window are packed in a few numbers: one character in and one out change
+    one number each.
+    """
+    if window >= 1 << _BITS:
+        raise ValueError(f"a window holds fewer than {1 << _BITS} characters")
     terms = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
-    state = "struct<counts:array<int>,total:double,first:int,last:int>"
+    state = "struct<counts:array<bigint>,total:double,first:int,last:int>"
     zero = F.struct(
-        F.array_repeat(F.lit(0), len(_ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("total"),
+        F.array_repeat(F.lit(0).cast("long"), _WORDS).alias("counts"), F.lit(0.0).alias("total"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
     ).cast(state)
     goal = window * (math.log2(window) - bits) + 1e-9
-
-    def at(i: Column) -> Column:
-        return F.instr(F.lit(_ALPHABET), F.substr(candidate, i, F.lit(1)))
-
-    def step(acc: Column, i: Column) -> Column:
-        def moved(codes: Column) -> Column:
-            new, old = codes["new"], codes["old"]
-            counts = acc["counts"]
-            # A character that replaces its like changes nothing.
-            same = new == old
-            total = F.when(same, acc["total"]).otherwise(
-                acc["total"]
-                + F.get(terms, F.get(counts, new) + 1) - F.get(terms, F.get(counts, new))
-                + F.when(old > 0, F.get(terms, F.greatest(F.get(counts, old) - 1, F.lit(0))) - F.get(terms, F.get(counts, old))).otherwise(0.0)
+    powers = F.array(*(F.lit(1 << _BITS * k).cast("long") for k in range(_PACKED)))
+    word = lambda code: F.floor(code / _PACKED).cast("int")
+    unit = lambda code: F.get(powers, code % _PACKED)
+
+    def count(counts: Column, code: Column) -> Column:
+        packed = F.get(counts, word(code)).bitwiseAND(unit(code) * ((1 << _BITS) - 1))
+        return F.floor(packed / unit(code)).cast("int")
+
+    def scanned_codes(codes: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            new, old = F.get(codes, i - 1), F.when(i > window, F.get(codes, i - window - 1)).otherwise(-1)
+
+            def moved(x: Column) -> Column:
+                counts, n, o = acc["counts"], x["n"], x["o"]
+                # A character that replaces its like changes nothing.
+                same = x["new"] == x["old"]
+                total = F.when(same, acc["total"]).otherwise(
+                    acc["total"] + F.get(terms, n + 1) - F.get(terms, n)
+                    + F.when(x["old"] >= 0, F.get(terms, o - 1) - F.get(terms, o)).otherwise(0.0)
+                )
+                shifted = F.when(same, counts).otherwise(F.transform(
+                    counts,
+                    lambda c, k: c + F.when(k == word(x["new"]), unit(x["new"])).otherwise(0)
+                    - F.when((x["old"] >= 0) & (k == word(x["old"])), unit(x["old"])).otherwise(0),
+                ))
+                return F.struct(shifted.alias("counts"), total.alias("total"), i.alias("i"))
+
+            def marked(y: Column) -> Column:
+                reached = (i >= window) & (y["total"] <= goal)
+                return F.struct(
+                    y["counts"].alias("counts"), y["total"].alias("total"),
+                    F.when(reached & acc["first"].isNull(), i - window).otherwise(acc["first"]).alias("first"),
+                    F.when(reached, i).otherwise(acc["last"]).alias("last"),
+                ).cast(state)
+
+            seen = F.struct(
+                new.alias("new"), old.alias("old"), count(acc["counts"], new).alias("n"),
+                F.when(old >= 0, count(acc["counts"], old)).alias("o"),
             )
-            shifted = F.transform(
-                counts, lambda c, k: c + F.when(k == new, 1).otherwise(0) - F.when((k == old) & (old > 0), 1).otherwise(0)
-            )
-            reached = (i >= window) & (total <= goal)
-            return F.struct(
-                shifted.alias("counts"), total.alias("total"),
-                F.when(reached & acc["first"].isNull(), i - window).otherwise(acc["first"]).alias("first"),
-                F.when(reached, i).otherwise(acc["last"]).alias("last"),
-            ).cast(state)
-
-        old = F.when(i > window, at(i - window)).otherwise(0)
-        return let(F.struct(at(i).alias("new"), old.alias("old")), moved)
+            return let(let(seen, moved), marked)
 
-    done = F.aggregate(F.sequence(F.lit(1), F.length(candidate)), zero, step)
-    return let(done, lambda d: F.struct(d["first"].alias("first"), d["last"].alias("last")))
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), zero, step)
 
+    codes = F.transform(F.split(candidate, ""), F.ascii)
+    return let(let(codes, scanned_codes), lambda d: F.struct(d["first"].alias("first"), d["last"].alias("last")))
 
-def _merged(spans: Column) -> Column:
-    """Spans by start; those that overlap become one."""
-    state = "array<struct<start:int,end:int>>"
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        more = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))
-        return F.when((F.size(acc) > 0) & (s["start"] < last["end"]), more).otherwise(
-            F.concat(acc, F.array(s))
-        ).cast(state)
+_PLAIN_SPAN = "struct<start:int,end:int>"
 
-    return F.aggregate(F.sort_array(spans), F.array().cast(state), step)
 
+def _merged(spans: Column, touching: bool = False) -> Column:
+    """Spans by start; those that overlap (or touch, on demand) become one."""
 
-def _entropy_spans(text: Column, scan: Scan) -> Column:
-    def reach(cls: CharClass):
-        moved = lambda s: let(
-            _entropy_reach(s["match"], scan.window, cls.bits),
-            lambda r: F.struct((s["start"] + r["first"]).alias("start"), (s["start"] + r["last"]).alias("end")),
+    def groups(x: Column) -> Column:
+        s, reach = x["s"], x["reach"]
+        before = lambda i: F.get(reach, i - 1)
+        opens = lambda v, i: (i == 0) | ((v["start"] > before(i)) if touching else (v["start"] >= before(i)))
+        begins = F.filter(F.transform(s, lambda v, i: F.when(opens(v, i), i)), lambda i: i.isNotNull())
+        closed = lambda b: F.transform(
+            b,
+            lambda i, k: F.struct(
+                F.get(s, i)["start"].alias("start"),
+                F.get(reach, F.coalesce(F.get(b, k + 1), F.size(s)) - 1).alias("end"),
+            ),
         )
-        candidates = _placed(text, cls.candidate, lambda m: ~m.rlike(ALLOWED))
-        return F.filter(F.transform(candidates, moved), lambda s: s["start"].isNotNull())
+        return let(begins, closed)
+
+    def ordered(s: Column) -> Column:
+        reach = _running(F.transform(s, lambda v: v["end"]), F.greatest, F.lit(-1))
+        return let(F.struct(s.alias("s"), reach.alias("reach")), groups)
 
-    return _merged(F.concat(*map(reach, scan.classes)))
+    none = F.array().cast(f"array<{_PLAIN_SPAN}>")
+    plain = F.transform(spans, lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end")))
+    return let(F.sort_array(plain), lambda s: F.when(F.size(s) == 0, none).otherwise(ordered(s).cast(f"array<{_PLAIN_SPAN}>")))
+
+
+def _reached(candidates: Column, cls: CharClass, scan: Scan) -> Column:
+    moved = lambda s: let(
+        _entropy_reach(s["match"], scan.window, cls.bits),
+        lambda r: F.struct((s["start"] + r["first"]).alias("start"), (s["start"] + r["last"]).alias("end")),
+    )
+    return F.filter(F.transform(candidates, moved), lambda s: s["start"].isNotNull())
 
 
 def scanned(docs: DataFrame, scan: Scan = PRODUCTION) -> DataFrame:
     """``docs`` as a struct ``row_`` with one array of (start, end) spans per kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select(F.struct("*").alias("row_"), text.alias("text_"))
-    out = out.withColumns({kind: _spans(F.col("text_"), *rest) for kind, *rest in BASE})
-    out = out.withColumn("entropy_", _entropy_spans(F.col("text_"), scan))
-    base = F.sort_array(F.concat("assign", "access", "hex"))
-
-    def uncovered(s: Column) -> Column:
-        # How far base spans reach from the start of ``s`` without a gap.
-        step = lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at)
-        return F.aggregate(base, s["start"], step) < s["end"]
-
-    return out.withColumn("entropy", F.filter("entropy_", uncovered)).drop("entropy_")
+    text = F.col("text_")
+    out = out.withColumns({kind: _spans(text, *rest) for kind, *rest in BASE})
+    # Every class asks for a run like this. Steps are columns of their own: one expression would nest too deep.
+    none = F.array().cast(f"array<{_SPAN}>")
+    out = out.withColumn("run_", text.rlike("[A-Za-z0-9+/_=-]{20}"))
+    found = {f"c{k}_": _placed(text, c.candidate, lambda m: ~m.rlike(ALLOWED)) for k, c in enumerate(scan.classes)}
+    out = out.withColumns({name: F.when(F.col("run_"), spans).otherwise(none) for name, spans in found.items()})
+    out = out.withColumns({name: _reached(F.col(name), c, scan) for name, c in zip(found, scan.classes)})
+    out = out.withColumn("entropy_", _merged(F.concat(*found)))
+    out = out.withColumn("base_", _merged(F.concat("assign", "access", "hex"), touching=True))
+    side = lambda c, own: F.transform(c, lambda v: F.struct(v["start"].alias("start"), F.lit(own).alias("own"), v["end"].alias("end")))
+    # Base spans first where both start: merged ones are disjoint, so the last to begin reaches furthest.
+    out = out.withColumn("both_", F.sort_array(F.concat(side("base_", False), side("entropy_", True))))
+    reach = _running(F.transform("both_", lambda v: F.when(v["own"], -1).otherwise(v["end"])), F.greatest, F.lit(-1))
+    out = out.withColumn("reach_", F.when((F.size("entropy_") > 0) & (F.size("base_") > 0), reach))
+    uncovered = F.filter("both_", lambda v, i: v["own"] & (F.get("reach_", i) < v["end"]))
+    plain = F.transform(uncovered, lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end")))
+    return out.withColumn("entropy", F.when(F.col("reach_").isNull(), F.col("entropy_")).otherwise(plain)).select(
+        "row_", "text_", *KINDS
+    )
 
 
 def _digest(kinds) -> Column:
@@ -220,22 +294,24 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", scan: Scan = PRODUCTION) ->
     Nulls stay null and all columns keep their names and order.
     """
     rows = scanned(docs, scan)
-    spans = F.sort_array(F.concat(*KINDS))
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast("struct<at:int,out:string>")
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(F.col("text_"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"),
-        ).cast("struct<at:int,out:string>")
-
-    new = let(
-        F.aggregate(spans, empty, step),
-        lambda a: F.concat(a["out"], F.substr(F.col("text_"), a["at"] + 1, F.length("text_"))),
+    # Characters are split once where there are many pieces: cutting a string counts from its start.
+    cut = {
+        "few": lambda t, start, n: F.substr(t, start + 1, n),
+        "many": lambda t, start, n: F.array_join(F.slice(t, start + 1, n), ""),
+    }
+
+    def pieces(t: Column, spans: Column, size: Column, how) -> Column:
+        end = lambda k: F.coalesce(F.get(spans, k - 1)["end"], F.lit(0))
+        masked = F.transform(spans, lambda v, k: F.concat(how(t, end(k), v["start"] - end(k)), F.lit(mask)))
+        return F.concat(F.array_join(masked, ""), how(t, end(F.size(spans)), F.greatest(size - end(F.size(spans)), F.lit(0))))
+
+    whole = F.col("text_")
+    size = F.length(whole)
+    masked = lambda spans: F.when(F.size(spans) <= CHUNK, pieces(whole, spans, size, cut["few"])).otherwise(
+        let(F.split(whole, ""), lambda t: pieces(t, spans, size, cut["many"]))
     )
-    text = F.when(F.size(spans) == 0, F.col("row_.text")).otherwise(new)
+    rows = rows.withColumn("spans_", _merged(F.concat(*KINDS)))
+    text = F.when(F.size("spans_") == 0, F.col("row_.text")).otherwise(masked(F.col("spans_")))
     return rows.withColumn("new_", text).select(
         *(F.col("new_").alias(c) if c == "text" else F.col(f"row_.`{c}`").alias(c) for c in docs.columns)
     )

@@ -47,23 +47,26 @@ class LineRules:
 
 
 PRODUCTION = LineRules()
+#: Whole hashes beside a filter's table after which the filter is built anew.
+SPARE = 4096
 
 
 class CuckooFilter:
     """Sets of 64-bit hashes with deletion: buckets of four 16-bit fingerprints.
 
-    A hash has two buckets, each found from the other and the fingerprint. What finds no
-    place after ``KICKS`` moves goes to a further layer, so insertion never fails.
+    A hash has two buckets, each found from the other and the fingerprint; their bits are mixed, so they do not depend on
+    those that chose the shard. What finds no place after ``KICKS`` moves is kept as it is, in a sorted list of whole
+    hashes. Deletion looks there first. In the table, equal fingerprints with a bucket in common have both
+    in common, so that taking either of them out leaves the other hash found: deletion never loses another key.
     """
 
     SLOTS, KICKS = 4, 200
 
-    def __init__(self, layers=None, capacity: int = 64):
+    def __init__(self, table=None, spare=None, capacity: int = 64):
         import numpy as np
 
-        self.layers = layers if layers is not None else []
-        if not self.layers:
-            self.layers.append(np.zeros((self._buckets(capacity), self.SLOTS), np.uint16))
+        self.table = np.zeros((self._buckets(capacity), self.SLOTS), np.uint16) if table is None else table
+        self.spare = np.zeros(0, np.int64) if spare is None else spare
 
     @classmethod
     def _buckets(cls, capacity: int) -> int:
@@ -72,99 +75,111 @@ class CuckooFilter:
     def dump(self) -> bytes:
         import numpy as np
 
-        sizes = np.array([len(self.layers), *map(len, self.layers)], np.int64)
-        return sizes.tobytes() + b"".join(x.tobytes() for x in self.layers)
+        return np.array([len(self.table), len(self.spare)], np.int64).tobytes() + self.table.tobytes() + self.spare.tobytes()
 
     @classmethod
     def load(cls, data: bytes) -> CuckooFilter:
         import numpy as np
 
-        n = int(np.frombuffer(data, np.int64, 1)[0])
-        at, layers = 8 * (n + 1), []
-        for size in np.frombuffer(data, np.int64, n, 8):
-            layers.append(np.frombuffer(data, np.uint16, size * cls.SLOTS, at).reshape(size, cls.SLOTS).copy())
-            at += int(size) * cls.SLOTS * 2
-        return cls(layers)
+        buckets, spare = np.frombuffer(data, np.int64, 2).tolist()
+        table = np.frombuffer(data, np.uint16, buckets * cls.SLOTS, 16).reshape(buckets, cls.SLOTS).copy()
+        return cls(table, np.frombuffer(data, np.int64, spare, 16 + 2 * table.size).copy())
 
-    @staticmethod
-    def _spots(hashes, buckets: int):
+    def _spots(self, hashes):
         import numpy as np
 
-        h = np.asarray(hashes).astype(np.uint64)
-        prints = ((h >> np.uint64(48)) | np.uint64(0)).astype(np.uint16)
+        h = np.asarray(hashes, np.int64).astype(np.uint64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        h ^= h >> np.uint64(31)
+        prints = (h >> np.uint64(48)).astype(np.uint16)
         prints[prints == 0] = 1
-        mask = np.uint64(buckets - 1)
-        first = h & mask
-        return prints, first.astype(np.int64), CuckooFilter._other(first, prints, buckets)
+        first = (h & np.uint64(len(self.table) - 1)).astype(np.int64)
+        return prints, first, self._other(first, prints)
 
-    @staticmethod
-    def _other(bucket, prints, buckets: int):
+    def _other(self, bucket, prints):
         import numpy as np
 
         moved = prints.astype(np.uint64) * np.uint64(0x5BD1E9955BD1E995) >> np.uint64(20)
-        return ((np.asarray(bucket).astype(np.uint64) ^ moved) & np.uint64(buckets - 1)).astype(np.int64)
+        return ((bucket.astype(np.uint64) ^ moved) & np.uint64(len(self.table) - 1)).astype(np.int64)
 
     def contains(self, hashes):
         import numpy as np
 
-        found = np.zeros(len(hashes), bool)
-        for layer in self.layers:
-            prints, a, b = self._spots(hashes, len(layer))
-            found |= ((layer[a] == prints[:, None]) | (layer[b] == prints[:, None])).any(axis=1)
+        h = np.asarray(hashes, np.int64)
+        prints, a, b = self._spots(h)
+        found = ((self.table[a] == prints[:, None]) | (self.table[b] == prints[:, None])).any(axis=1)
+        if len(self.spare):
+            at = np.minimum(np.searchsorted(self.spare, h), len(self.spare) - 1)
+            found |= self.spare[at] == h
         return found
 
     def insert(self, hashes) -> None:
+        """All at once into free slots of the first and second buckets; only the rest moves others."""
         import numpy as np
 
-        for h in np.asarray(hashes, np.int64):
-            one = np.array([h])
-            for layer in self.layers:
-                if self._place(layer, one):
-                    break
+        h = np.asarray(hashes, np.int64)
+        prints, *buckets = self._spots(h)
+        left = np.arange(len(h))
+        for bucket in buckets:
+            left = left[~self._fill(prints[left], bucket[left])]
+        room = int(0.95 * self.table.size) - np.count_nonzero(self.table)
+        kept = []
+        for k in left.tolist():
+            if room > 0 and self._kick(int(prints[k]), int(buckets[0][k])):
+                room -= 1
             else:
-                self.layers.append(np.zeros((2 * len(self.layers[-1]), self.SLOTS), np.uint16))
-                self._place(self.layers[-1], one)
+                kept.append(h[k])
+        if kept:
+            self.spare = np.sort(np.append(self.spare, np.array(kept, np.int64)))
 
-    def _place(self, layer, one) -> bool:
-        """Put one hash in, or leave the layer as it was."""
+    def _fill(self, prints, buckets):
+        """Which of the fingerprints found a free slot in their bucket; used slots come first in a bucket."""
         import numpy as np
 
-        prints, a, b = self._spots(one, len(layer))
-        mark = prints[0]
-        for bucket in (a[0], b[0]):
-            free = np.flatnonzero(layer[bucket] == 0)
-            if len(free):
-                layer[bucket, free[0]] = mark
-                return True
-        bucket, moves = int(a[0]), []
+        order = np.argsort(buckets, kind="stable")
+        bucket = buckets[order]
+        slot = (self.table[bucket] != 0).sum(axis=1) + np.arange(len(bucket)) - np.searchsorted(bucket, bucket)
+        fits = slot < self.SLOTS
+        self.table[bucket[fits], slot[fits]] = prints[order][fits]
+        placed = np.zeros(len(buckets), bool)
+        placed[order] = fits
+        return placed
+
+    def _kick(self, mark: int, bucket: int) -> bool:
+        """Make room for one fingerprint, or leave the table as it was."""
+        moves, mask = [], len(self.table) - 1
         for kick in range(self.KICKS):
-            slot = (kick * 7 + int(mark)) % self.SLOTS
-            moves.append((bucket, slot, layer[bucket, slot]))
-            mark, layer[bucket, slot] = layer[bucket, slot], mark
-            bucket = int(self._other(np.array([bucket]), np.array([mark], np.uint16), len(layer))[0])
-            free = np.flatnonzero(layer[bucket] == 0)
-            if len(free):
-                layer[bucket, free[0]] = mark
+            slot = (kick * 7 + mark) % self.SLOTS
+            out = int(self.table[bucket, slot])
+            moves.append((bucket, slot, out))
+            self.table[bucket, slot] = mark
+            mark, bucket = out, (bucket ^ ((out * 0x5BD1E9955BD1E995 & (1 << 64) - 1) >> 20)) & mask
+            row = self.table[bucket].tolist()
+            if 0 in row:
+                self.table[bucket, row.index(0)] = mark
                 return True
-        for bucket, slot, before in reversed(moves):
-            layer[bucket, slot] = before
+        for at, slot, before in reversed(moves):
+            self.table[at, slot] = before
         return False
 
     def delete(self, hashes) -> None:
-        """Take out hashes that were inserted."""
+        """Take out hashes that were inserted, each as often as it is given."""
         import numpy as np
 
-        for h in np.asarray(hashes, np.int64):
-            for layer in self.layers:
-                prints, a, b = self._spots(np.array([h]), len(layer))
-                for bucket in (a[0], b[0]):
-                    held = np.flatnonzero(layer[bucket] == prints[0])
-                    if len(held):
-                        layer[bucket, held[0]] = 0
-                        break
-                else:
-                    continue
-                break
+        h = np.sort(np.asarray(hashes, np.int64))
+        # The k-th copy of a hash takes the k-th copy in the list, as long as there is one.
+        at = np.searchsorted(self.spare, h) + np.arange(len(h)) - np.searchsorted(h, h)
+        near = np.minimum(at, max(len(self.spare) - 1, 0))
+        listed = (at < len(self.spare)) & (self.spare[near] == h) if len(self.spare) else np.zeros(len(h), bool)
+        self.spare = np.delete(self.spare, at[listed])
+        for mark, *buckets in zip(*(x[~listed].tolist() for x in self._spots(h))):
+            for bucket in buckets:
+                row = self.table[bucket].tolist()
+                if mark in row:
+                    row.remove(mark)
+                    self.table[bucket] = [*row, 0]
+                    break
 
 
 @dataclass(frozen=True)
@@ -205,24 +220,34 @@ def _tallied(refs: DataFrame) -> DataFrame:
     return refs.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("id").alias("last_id"))
 
 
-def _filters(entering: DataFrame, leaving: DataFrame | None, old: DataFrame | None, shards: int) -> DataFrame:
-    """Filters per shard after keys (k1) enter and leave; a shard with none has no row."""
+def _filters(
+    entering: DataFrame, leaving: DataFrame | None, old: DataFrame | None, shards: int, now: DataFrame | None = None
+) -> DataFrame:
+    """Filters per shard after keys (k1) enter and leave; a shard with none has no row.
+
+    A shard that has outgrown its filter (``spare`` hashes beside the table) gets a new one from all its keys ``now``.
+    """
 
     def build(key, held, moved):
         import pandas as pd
 
-        n = len(moved)
-        f = CuckooFilter.load(held["data"].iloc[0]) if len(held) else CuckooFilter(capacity=n)
+        f = CuckooFilter.load(held["data"].iloc[0]) if len(held) else CuckooFilter(capacity=len(moved))
         f.delete(moved["k1"][~moved["enters"]])
         f.insert(moved["k1"][moved["enters"]])
-        return pd.DataFrame({"shard": [key[0]], "data": [f.dump()]})
+        return pd.DataFrame({"shard": [key[0]], "data": [f.dump()], "spare": [len(f.spare)]})
 
-    moved = entering.select(_shard(shards).alias("shard"), "k1", F.lit(True).alias("enters"))
+    tagged = lambda keys, enters: keys.select(_shard(shards).alias("shard"), "k1", F.lit(enters).alias("enters"))
+    moved = tagged(entering, True)
     if leaving is not None:
-        moved = moved.unionByName(leaving.select(_shard(shards).alias("shard"), "k1", F.lit(False).alias("enters")))
-    schema = "shard int, data binary"
+        moved = moved.unionByName(tagged(leaving, False))
+    schema = "shard int, data binary, spare int"
     if old is None:
         old = moved.sparkSession.createDataFrame([], schema)
+    elif now is not None:
+        # One number per shard, never more than ``max_shards``.
+        full = F.broadcast(old.where(F.col("spare") > SPARE).select("shard"))
+        moved = moved.join(full, "shard", "left_anti").unionByName(tagged(now, True).join(full, "shard", "left_semi"))
+        old = old.where(F.col("spare") <= SPARE)
     return old.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(build, schema)
 
 
@@ -243,7 +268,7 @@ def _changed(state: LineState, refs: DataFrame, counts: DataFrame, rules: LineRu
     was = state.counts.filter(many).select("k1", "k2")
     now = counts.filter(many).select("k1", "k2")
     entering, leaving = now.join(was, ["k1", "k2"], "left_anti"), was.join(now, ["k1", "k2"], "left_anti")
-    return LineState(refs, counts, saved(_filters(entering, leaving, state.filters, state.shards)), state.shards)
+    return LineState(refs, counts, saved(_filters(entering, leaving, state.filters, state.shards, now)), state.shards)
 
 
 def insert(state: LineState, docs: DataFrame, rules: LineRules = PRODUCTION) -> LineState:

@@ -101,3 +101,57 @@ def test_cuckoo_filter():
     same.insert(np.full(40, 7))
     same.delete(np.full(39, 7))
     assert same.contains(np.array([7]))[0]
+
+
+def test_deletion_keeps_keys_of_equal_fingerprints():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(-(2**63), 2**63 - 1, 6000)
+    f = d.CuckooFilter(capacity=16)
+    prints, first, _ = f._spots(keys)
+    seen, pairs = {}, []
+    for i, spot in enumerate(zip(prints.tolist(), first.tolist())):
+        if spot in seen:
+            pairs.append((keys[seen[spot]], keys[i]))
+        seen[spot] = i
+    assert len(pairs) > 5
+    for g, h in pairs:
+        others = keys[:200][~np.isin(keys[:200], [g, h])]
+        for order in ([g], others, [h]), ([h], others, [g]), (others, [g], [h]):
+            f = d.CuckooFilter(capacity=16)
+            for some in order:
+                f.insert(np.array(some))
+            assert f.contains(np.array([g, h])).all() and len(f.spare)
+            f.delete(np.array([h]))
+            assert f.contains(np.array([g]))[0] and f.contains(others).all()
+            f.delete(np.array([g]))
+            assert not f.contains(np.array([g, h])).any() and f.contains(others).all()
+
+
+def test_keys_of_one_shard_fill_one_table():
+    import time
+
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(-(2**57), 2**57 - 1, 50_100))[:50_000] * 64 + 5
+    start = time.monotonic()
+    f = d.CuckooFilter(capacity=len(keys))
+    f.insert(keys)
+    assert f.contains(keys).all() and len(f.spare) == 0
+    f.delete(keys[::2])
+    assert f.contains(keys[1::2]).all() and f.contains(keys[::2]).mean() < 0.01
+    f.insert(keys[::2])
+    assert f.contains(keys).all() and len(f.spare) == 0 and time.monotonic() - start < 20
+
+
+def test_outgrown_filters_are_built_anew(frame, monkeypatch):
+    monkeypatch.setattr(d, "SPARE", 3)
+    text = lambda i: "\n".join(f"a line of its own kind, number {i + k}" for k in range(60))
+    docs = frame([(10 * i + j, text(100 * i)) for i in range(12) for j in range(3)])
+    rules = d.LineRules(min_shards=1)
+    state = d.build(d.lines_of(docs.filter("doc_id < 20"), rules), rules)
+    for low, high in ((20, 60), (60, 100), (100, 120)):
+        state = d.insert(state, docs.filter(f"doc_id >= {low} and doc_id < {high}"), rules)
+    state = d.delete(state, docs.filter("doc_id % 10 = 0 and doc_id < 40"), rules)
+    (row,) = state.filters.collect()
+    f = d.CuckooFilter.load(row.data)
+    frequent = np.array([r.k1 for r in state.counts.filter("n_docs >= 3").collect()])
+    assert len(frequent) == 480 and f.contains(frequent).all() and len(f.table) >= 128

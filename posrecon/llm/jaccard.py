@@ -170,10 +170,10 @@ def _version(text: Column) -> list[Column]:
 def fingerprints(docs: DataFrame, j: Join = PRODUCTION, versions: bool = False) -> DataFrame:
     """(doc_id, n, few, id, check): size of the set and of its sample, and its hashes.
 
-    The hashes are null for no shingles. ``versions`` adds v_ and w_ of the text.
+    The hashes are null for no shingles. v_ (and, with ``versions``, w_) tell texts apart.
     """
     words, sample = j.words, j.sample
-    extra = ["v_", "w_"] if versions else []
+    extra = ["v_", "w_"] if versions else ["v_"]
 
     def run(batches):
         import numpy as np
@@ -192,7 +192,7 @@ def fingerprints(docs: DataFrame, j: Join = PRODUCTION, versions: bool = False)
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "few", "id", "check", *extra])
 
     rows = _text_rows(docs)
-    rows = rows.select("*", *_version(F.col("text"))) if versions else rows
+    rows = rows.select("*", *_version(F.col("text"))[: len(extra)])
     schema = "doc_id long, n long, few long, id long, check long" + "".join(f", {c} long" for c in extra)
     return rows.mapInArrow(run, schema)
 
@@ -282,7 +282,11 @@ def _shared_counts(blobs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, j: Join) -> DataFrame:
-    """(id, n, tokens) of the classes in ``wanted`` (id, first_doc), from the text of one document each."""
+    """(id, n, tokens) of the classes in ``wanted`` (id, first_doc, first_v), from the text of one document each.
+
+    The text counts with the id, so that rows without one, or with the same, meet their own class only. Rows that
+    repeat both are together after the join, and one of them is enough.
+    """
     words = j.words
 
     def run(batches):
@@ -290,8 +294,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, j: Join) -> DataFrame:
 
         make = _shingles(words)
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
+        seen = set()
         for batch in batches:
             rows = []
+            fresh = [k for k, key in enumerate(batch.column(0).to_pylist()) if not (key in seen or seen.add(key))]
+            batch = batch.take(pa.array(fresh, pa.int64()))
             for key, tokens in zip(batch.column(0).to_pylist(), make(batch.column(1))):
                 if len(tokens) and make.fingerprint(tokens)[0] == key:
                     rows.append((key, len(tokens), tokens.tobytes()))
@@ -299,7 +306,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, j: Join) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     d = _text_rows(docs)
-    joined = d.join(wanted, d.doc_id.eqNullSafe(wanted.first_doc)).select("id", "text")
+    same = d.doc_id.eqNullSafe(wanted.first_doc) & (F.xxhash64(d.text) == wanted.first_v)
+    joined = d.join(wanted, same).select("id", "text")
     return joined.mapInArrow(run, "id long, n long, tokens binary")
 
 
@@ -485,7 +493,7 @@ def _linked_classes(docs: DataFrame, classes: DataFrame, j: Join) -> DataFrame:
     alive = able.join(counts, able.id == counts.owner, "left").filter(
         F.col("few") - F.coalesce("shared", F.lit(0)) <= spare
     )
-    sets = saved(_sets(docs, alive.select("id", "first_doc"), j))
+    sets = saved(_sets(docs, alive.select("id", "first_doc", "first_v"), j))
 
     tokens = _token_rows(sets).groupBy("token").agg(
         F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("df")
@@ -546,7 +554,10 @@ def _named_classes(docs: DataFrame, prints: DataFrame, j: Join) -> DataFrame:
     classes = saved(
         prints.filter(F.col("id").isNotNull())
         .groupBy("id", "check")
-        .agg(F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.max("few").alias("few"))
+        .agg(
+            F.min("doc_id").alias("first_doc"), F.coalesce(F.min_by("v_", "doc_id"), F.min("v_")).alias("first_v"),
+            F.max("n").alias("n"), F.max("few").alias("few"),
+        )
     )
     linked = _linked_classes(docs, classes, j).withColumnRenamed("id", "linked_id")
     return saved(

@@ -126,3 +126,11 @@ def test_overlaps():
     blobs = [s.tobytes() for s in sets]
     want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
     assert (j._overlaps(blobs) == want).all() and (j._overlaps(blobs[:7], blobs[7:]) == want[:7, 7:]).all()
+
+
+def test_many_rows_without_ids_and_with_one_id(frame):
+    base = "one text that has rather more than five words in every single line of it and goes on for a while"
+    near = lambda k: f"{base} number {k // 2} of the pairs which differ in the end by {k % 2} alone"
+    rows = [(None, near(k)) for k in range(2000)] + [(7, near(k)) for k in range(2000, 4000)] + [(None, near(0))] * 500
+    got = j.joined(frame(rows), j.Join(words=4, num=60, den=100)).collect()
+    assert len(got) == len(rows) and all(r.component_id == 7 for r in got)

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from posrecon.llm.common import smallest_hashes
 from posrecon.llm.language import fold
 from posrecon.llm.tokens import WordCache, batches_of
 
@@ -142,10 +143,7 @@ def fit(bags: list[list[str]], grades: list[float], rules: OrdinalRules = PRODUC
 def training_words(docs: DataFrame, labels: DataFrame, keep: Column, column: str, rules: OrdinalRules) -> tuple[list, list]:
     """Distinct words and grade of a bounded sample of labelled documents."""
     known = labels.filter(keep & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).cast("double").alias("grade"))
-    n = known.count()
-    spread = 1_000_000
-    if n > rules.max_rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < spread * rules.max_rows // n)
+    known = smallest_hashes(known, rules.max_rows, "doc_id")
 
     def run(batches):
         import pyarrow as pa
@@ -157,7 +155,9 @@ def training_words(docs: DataFrame, labels: DataFrame, keep: Column, column: str
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(
         known.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id"
     )
-    rows = joined.mapInArrow(run, "doc_id long, words string, grade double").collect()
+    # Rows that repeat an id count once, so that no more rows than the sample has are collected.
+    once = joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade"))
+    rows = once.mapInArrow(run, "doc_id long, words string, grade double").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["words"]))
     one: dict[str, str] = {}  # each word is held once, however many texts have it
     return [[one.setdefault(w, w) for w in r["words"].split()] for r in rows], [r["grade"] for r in rows]

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from posrecon.llm.common import let, saved, words_of
+from posrecon.llm.common import let, saved, smallest_hashes, words_of
 from posrecon.llm.language import fold
 from posrecon.llm.quality_rules import measured
 
@@ -138,13 +138,9 @@ def fit(x, y, b: Boosting = PRODUCTION) -> Trees:
 
 
 def labelled(labels: DataFrame, column: str, max_rows: int, keep: Column) -> DataFrame:
-    """(doc_id, y): the mean label per document, thinned by a hash to about ``max_rows``."""
+    """(doc_id, y): the mean label per document, of the ``max_rows`` with the smallest hashes."""
     rows = labels.filter(keep & F.col(column).isNotNull()).groupBy("doc_id").agg(F.avg(column).alias("y"))
-    n = rows.count()
-    if n <= max_rows:
-        return rows
-    spread = 1_000_000
-    return rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < spread * max_rows // n)
+    return smallest_hashes(rows, max_rows, "doc_id")
 
 
 def scored(docs: DataFrame, labels: DataFrame, keep: Column, column: str = "quality", b: Boosting = PRODUCTION) -> DataFrame:
@@ -152,7 +148,9 @@ def scored(docs: DataFrame, labels: DataFrame, keep: Column, column: str = "qual
     import numpy as np
 
     rows = saved(statistics(docs))
-    known = labelled(labels, column, b.max_rows, keep).join(rows, "doc_id").select("features", "y").collect()
+    known = labelled(labels, column, b.max_rows, keep).join(rows, "doc_id")
+    # Rows that repeat an id count once, so that no more rows than the sample has are collected.
+    known = known.groupBy("doc_id").agg(F.min("features").alias("features"), F.min("y").alias("y")).collect()
     x = np.array([r["features"] for r in known]).reshape(len(known), len(FEATURES))
     order = np.lexsort(x.T) if len(known) else []
     model = fit(x[order], np.array([r["y"] for r in known])[order], b)

@@ -21,7 +21,9 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
+from posrecon.llm.common import hash_place
 from posrecon.llm.tokens import batches_of
 
 UNDETERMINED = "und"
@@ -36,6 +38,8 @@ class ByteNet:
     filters: int = 16
     #: Texts per language and windows per text that training may use.
     texts_per_language: int = 1500
+    #: Languages that are learned, those with most texts first.
+    max_languages: int = 1000
     windows_per_text: int = 3
     epochs: int = 4
     batch: int = 64
@@ -173,26 +177,23 @@ def fold(n: int) -> Column:
 def training_windows(docs: DataFrame, net: ByteNet = PRODUCTION) -> tuple[list[bytes], list[str]]:
     """A bounded sample of windows with their languages, the same for the same rows."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return [], []
-    spread = 1_000_000
-    share = F.create_map(
-        *(F.lit(x) for k, n in counts.items() for x in (k, min(spread, 1 + spread * net.texts_per_language * 5 // (4 * n))))
-    )
-    order = F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(net.max_languages)
+    # Per language the smallest hashes: a first cut at twice the share that is wanted leaves few rows to rank.
+    cut = F.least(F.lit(1.0), F.lit(2.0 * (net.texts_per_language + 50)) / F.col("n")) * float(1 << 63)
+    order = hash_place("doc_id", "text")
+    chosen = counts.select("lang", cut.alias("cut"))
+    few = rows.join(F.broadcast(chosen), "lang").withColumn("order", order).where(F.col("order") <= F.col("cut"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
     start = lambda j: F.floor(F.greatest(F.length("text") - net.length, F.lit(0)) * (j / max(1, net.windows_per_text - 1))) + 1
     pieces = F.array(
         *(F.encode(F.substr(F.col("text"), start(j).cast("int"), F.lit(net.length)), "utf-8") for j in range(net.windows_per_text))
     )
-    sample = rows.filter(order < share[F.col("lang")]).select("lang", order.alias("order"), pieces.alias("pieces"))
-    windows, labels, used = [], [], {}
-    for r in sorted(sample.collect(), key=lambda r: (r["order"], r["pieces"])):
-        used[r["lang"]] = used.get(r["lang"], 0) + 1
-        if used[r["lang"]] <= net.texts_per_language:
-            pieces = list(dict.fromkeys(bytes(x)[: net.length] for x in r["pieces"]))
-            windows += pieces
-            labels += [r["lang"]] * len(pieces)
+    sample = few.select("lang", "order", pieces.alias("pieces")).withColumn("place", place)
+    windows, labels = [], []
+    for r in sorted(sample.where(F.col("place") <= net.texts_per_language).collect(), key=lambda r: (r["order"], r["pieces"])):
+        pieces = list(dict.fromkeys(bytes(x)[: net.length] for x in r["pieces"]))
+        windows += pieces
+        labels += [r["lang"]] * len(pieces)
     return windows, labels
 
 

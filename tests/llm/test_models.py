@@ -147,3 +147,21 @@ def test_toxicity_odd_rows(spark, frame, edge):
     some = spark.createDataFrame([(4, 1, 0), (5, 1, 1), (5, 1, None)], none.schema)
     assert t.toxicity_report(docs, some).count() == len(edge)
     assert t.toxicity_report(frame([]), some).count() == 0
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    from posrecon.llm.common import hash_place, smallest_hashes
+
+    rows = spark.range(5000).withColumnRenamed("id", "doc_id")
+    place = {r.doc_id: r.p for r in rows.select("doc_id", hash_place("doc_id").alias("p")).collect()}
+    for most in (1, 40, 4999, 5000, 9000):
+        got = {r.doc_id for r in smallest_hashes(rows, most, "doc_id").collect()}
+        assert got == set(sorted(place, key=lambda k: (place[k], k))[:most])
+
+
+def test_language_sample_is_bounded(frame):
+    net = l.ByteNet(texts_per_language=7, max_languages=2, windows_per_text=1)
+    rows = [(i, f"words of text {i} in some language", "abc"[i % 3 if i % 6 else 0]) for i in range(300)] + [(1, "the same row", "a")] * 50
+    windows, labels = l.training_windows(frame(rows), net)
+    assert sorted(set(labels)) == ["a", "b"] or sorted(set(labels)) == ["a", "c"]
+    assert max(labels.count(x) for x in set(labels)) <= 7 and len(windows) == len(labels)

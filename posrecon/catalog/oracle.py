@@ -292,6 +292,29 @@ o as (select order_key, cast(cast(sum(units) as bigint) as varchar) as total_uni
 select cast(order_key as varchar) as order_key, upc, descr, whole as units, money as price, total_units, total_price
 from f join o using (order_key) where n <= 20"""
 ORACLE["landing_table_store"] = _STORE
+_HARD = f"""
+with {_BAU}, h as (select case when line = 3 then null else store end as store, upc, 'CAFÉ € ' || descr as descr, units,
+  case when line = 1 then 0 else price end as price from bau)"""
+ORACLE["read_hard_item"] = f"{_HARD} {_grouped('upc, descr', 'h')}"
+ORACLE["read_hard_store"] = f"{_HARD} {_grouped('store', 'h')}"
+ORACLE["read_fixed_dates"] = """
+select '20' || strftime(l_shipdate, '%y-%m-%d') as day, cast(l_linenumber as varchar) as line, count(*) as n
+from lineitem group by all
+union all select '', '0', count(*) from lineitem where l_linenumber = 7 having count(*) > 0"""
+ORACLE["run_history"] = """
+select '2024-01-0' || l_linenumber as day, 1::bigint as files_processed, count(*) as rows_processed,
+  round(count(*) / 8, 2) as execution_time, count(*) filter (where l_returnflag = 'R') as rows_failed
+from lineitem group by l_linenumber order by l_linenumber desc limit 5"""
+ORACLE["profile_roles"] = f"""
+with {_BAU}, t as (select order_key % 5 as part, store, upc, descr, cast(cast(units as bigint) as varchar) as units,
+  printf('%.2f', price) as price from bau),
+k as (select part, {', '.join(f"case when bool_and(regexp_full_match({c}, '-?[0-9]+')) then 'Int64' when bool_and(regexp_full_match({c}, '-?[0-9]*[.]?[0-9]+')) then 'Float64' else 'String' end as {c}" for c in ('store', 'upc', 'descr', 'units', 'price'))}
+  from t group by part)
+select part, 'delimited' as file_type, ',' as delimiter, true as has_header, 'Store,UPC,Description,Units,Price' as columns,
+  store || ',' || upc || ',' || descr || ',' || units || ',' || price as data_types, 'Store' as store_col, 'UPC' as upc_col,
+  'Description' as desc_col, 'Units' as units_col, 'Price' as price_col from k"""
+ORACLE["profile_transactions"] = """
+select 'multiline' as file_type, 'HDR' as header_prefix, false as has_header, count(distinct l_orderkey % 5) as files from lineitem"""
 ORACLE["read_layouts_item"] = f"""
 with {_BAU} select case line % 3 when 0 then 'plain' when 1 then 'implied' else 'marked' end as layout, upc, descr,
   {_sum('units')} as units, {_sum('price')} as dollars from bau group by all"""

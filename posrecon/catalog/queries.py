@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -20,6 +21,7 @@ from posrecon.operators import summarize as sm
 from posrecon.operators.canonical import to_item_rows, to_rows, to_sales_rows
 from posrecon.plans.config_audit import config_errors
 from posrecon.plans.profile import profile_files
+from posrecon.plans.history import last_runs, record_run
 from posrecon.plans.item_audit import item_audit
 from posrecon.plans.mapping import check_mapping
 from posrecon.plans.reconcile import RunResult, onboard, reconcile
@@ -27,6 +29,7 @@ from posrecon.shared import scratch_dir, stored
 from posrecon.sources.by_layout import load_configs, load_layouts, read_by_layout, sales_rows_by_layout
 from posrecon.sources.delimited import list_files, read_delimited
 from posrecon.sources.dispatch import read_pos
+from posrecon.sources.fixed import read_fixed_width
 from posrecon.sources.lines import FILE, LINE_NO, number_lines, read_lines
 from posrecon.sources.preview import preview_raw, preview_records, preview_transactions
 from posrecon.sources.sinks import write_report
@@ -347,6 +350,47 @@ def read_fixed_width_item(spark, sf):
     return _names(_from_files(spark, sf, "fixed", "item"), **_ITEM)
 
 
+def _hard(spark, sf, **options) -> DataFrame:
+    config = TABLE_CONFIG.with_(**options)
+    return read_pos(spark, raw_files(spark, sf, "bau", "hard"), config)
+
+
+@register
+def read_hard_item(spark, sf):
+    """Code page 1252, short and long rows, blank lines, blanks around keys."""
+    return _names(_level(_hard(spark, sf, pad_ragged=True), "item"), **_ITEM)
+
+
+@register
+def read_hard_store(spark, sf):
+    """Rows without a store are a group of their own."""
+    return _names(_level(_hard(spark, sf), "store"), **_STORE)
+
+
+@register
+def read_fixed_dates(spark, sf):
+    """Six-digit dates in fixed-width files; blank lines are records with empty fields and zeros."""
+    df = read_fixed_width(spark, raw_files(spark, sf, "bau", "dates"), sides.DATE_LAYOUT)
+    return df.groupBy(F.col("Day").alias("day"), F.col("Line").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register
+def run_history(spark, sf):
+    """One recorded run per line number, with its counts; the latest five."""
+    path = f"{scratch_dir(spark)}/history"
+    counts = table(spark, sf, "lineitem").groupBy("l_linenumber").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("failed")
+    )
+    for r in counts.collect():  # seven rows at most: the line numbers of an order
+        record_run(
+            spark, path, 1, r["n"], r["n"] / 8, rows_failed=r["failed"],
+            timestamp=datetime.datetime(2024, 1, r["l_linenumber"]),
+        )
+    return last_runs(spark, path, 5).select(
+        F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "files_processed", "rows_processed", "execution_time", "rows_failed"
+    )
+
+
 @register
 def read_layouts_item(spark, sf):
     """Files of three layouts in one scan, each by its saved configuration and layout file."""
@@ -836,6 +880,24 @@ def profile_formats(spark, sf):
     )
 
 
+@register
+def profile_roles(spark, sf):
+    """Types of all values and the five suggested roles, per file."""
+    found = profile_files(spark, _in_order(spark, sf, "delimited"))
+    return found.select(
+        F.regexp_extract(FILE, r"part=(\d+)", 1).cast("long").alias("part"), "file_type", "delimiter", "has_header",
+        F.array_join("columns", ",").alias("columns"), F.array_join("data_types", ",").alias("data_types"),
+        "store_col", "upc_col", "desc_col", "units_col", "price_col",
+    )
+
+
+@register
+def profile_transactions(spark, sf):
+    """Header / detail / trailer files whose headers go on with a number: the prefix is that of the header alone."""
+    found = profile_files(spark, _in_order(spark, sf, "transactions"))
+    return found.groupBy("file_type", "header_prefix", "has_header").agg(F.count(F.lit(1)).alias("files"))
+
+
 @register
 def config_check(spark, sf):
     """One configuration per supplier, with different parts left out."""

@@ -30,6 +30,7 @@ def _raw(line: DataFrame, store, upc, descr, units) -> DataFrame:
         units.alias("Units"), F.col("l_extendedprice").alias("Price"),
         F.date_format("l_shipdate", "yyyy-MM").alias("Month"), F.col("l_linestatus").alias("Status"),
         F.col("l_orderkey").alias("OrderKey"), F.col("l_linenumber").alias("LineNumber"),
+        F.col("l_shipdate").alias("ShipDate"),
     )
 
 
@@ -296,6 +297,38 @@ def _write_in_order(rows: DataFrame, path: str) -> None:
         )
 
 
+def _write_hard(rows: DataFrame, path: str) -> None:
+    """Delimited files as they should not be, in code page 1252: by line number a row lacks its price, has more cells than
+    the header, has no store, follows a blank line, or has blanks around its UPC."""
+    line = F.col("LineNumber")
+    cells = lambda *c: F.concat_ws(",", *c)
+    text = F.concat(F.lit("CAF\xc9 \u20ac "), F.col("Description"))
+    units = F.col("Units").cast("long").cast("string")
+    whole = cells(F.coalesce("Store", F.lit("")), "UPC", text, units, _money("Price"))
+    value = (
+        F.when(line == 1, cells("Store", "UPC", text, units))
+        .when(line == 2, F.concat(whole, F.lit(",one,more")))
+        .when(line == 3, cells(F.lit(""), "UPC", text, units, _money("Price")))
+        .when(line == 5, cells("Store", F.concat(F.lit(" "), "UPC", F.lit("  ")), text, units, _money("Price")))
+        .otherwise(whole)
+    )
+    lines = F.explode(F.when(line == 4, F.array(F.lit(""), value)).otherwise(F.array(value)))
+    # One column named like the header, written without quotes; the sign of the euro has a byte of its own.
+    bytes_ = F.translate("value", "\u20ac", "\x80")
+    rows.select(lines.alias("value")).select(bytes_.alias(",".join(RAW))).write.options(
+        header=True, encoding="ISO-8859-1", quote="\x00", sep="\x01", emptyValue=""
+    ).csv(path)
+
+
+def _write_dates(rows: DataFrame, path: str) -> None:
+    """Fixed-width lines with a six-digit date, and blank lines, which are empty records."""
+    line = F.concat(F.date_format("ShipDate", "yyMMdd"), F.lpad(F.col("LineNumber").cast("string"), 4, "0"))
+    blank = F.col("LineNumber") == 7
+    rows.select(F.explode(F.when(blank, F.array(line, F.lit(""))).otherwise(F.array(line))).alias("value")).write.text(path)
+
+
+DATE_LAYOUT = [LayoutField("Day", 0, 6, "date"), LayoutField("Line", 6, 10, "numeric")]
+
 #: Three layouts of the same sales, one folder each; ``LAYOUTS`` also has each one's saved options.
 LAYOUTS = {
     "plain": (FIXED_LAYOUT, {}),
@@ -338,6 +371,8 @@ def _write_layouts(rows: DataFrame, path: str) -> None:
 
 _WRITERS = {
     "layouts": _write_layouts,
+    "hard": _write_hard,
+    "dates": _write_dates,
     "in_order": _write_in_order,
     "quoted": _write_quoted,
     "orphans": _write_orphans,

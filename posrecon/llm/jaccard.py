@@ -20,7 +20,8 @@ more tokens than it overlaps the union. That bound is applied from large groups
 
 No task gets more than a bounded group; frequent tokens meet as one row per group.
 
-Tokens and sets are known by 64-bit hashes. A null, empty or blank text has no shingles
+Tokens and sets are known by 64-bit hashes. Texts of any length count whole: a task holds the words of one text at a time
+and, in a group, sets of bounded total size. A null, empty or blank text has no shingles
 and links with nothing, not even with its like. Repeated rows are copies. Rows without an id
 are joined too; a component of only such rows has a null id. An empty table gives an empty result.
 Columns other than the id and the text are not read.

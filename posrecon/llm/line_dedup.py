@@ -17,7 +17,7 @@ table, which settles the filter's false positives. A line goes if its key is in
 Keys are kept as 128 bits of hash. Lines are dealt to shards by key and, where a shard has more
 lines than most, to several groups per shard, each with a copy of the shard's filter.
 
-A null or empty text is one empty line. Rows with one id count as one document; each of
+Texts of any length are split whole, and only the hashes of their lines are moved. A null or empty text is one empty line. Rows with one id count as one document; each of
 them is cleaned. A null id counts as the smallest. Lines of the document that keeps a key
 all stay. Empty tables give empty results. Other columns are handed through, whatever
 their names.

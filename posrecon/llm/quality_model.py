@@ -6,7 +6,7 @@ into bins, and the split of a node is the best by gain over the sums of gradient
 second derivatives per bin. A model is three flat arrays (feature, threshold, leaf value) of complete
 binary trees, and numpy walks whole batches through them at once.
 
-A null or empty text has statistics of zero and is scored like any other. Several labels of
+Texts of any length are measured whole. A null or empty text has statistics of zero and is scored like any other. Several labels of
 one document count as their mean; null labels, and labels of unknown documents, are not
 used. Without labels the score is 0.5, with one kind of label it is that label's share.
 Repeated rows are scored alike; an empty table gives an empty result; other columns than

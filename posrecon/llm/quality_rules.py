@@ -9,7 +9,7 @@ rare language the one of all documents. A document is kept if every measure lies
 the fences that the sketch gives: quartiles -/+ ``reach`` times their distance (and at
 least ``reach`` times a smallest distance).
 
-Only built-in functions run. A null text counts as empty; null languages and sources
+Only built-in functions run. Texts of any length are measured whole, in memory that grows with the number of words. A null text counts as empty; null languages and sources
 are groups of their own; repeated rows are judged like any others; an empty table gives
 an empty result. Other columns, whatever their names, play no part.
 """

@@ -8,7 +8,7 @@ sample has in ``min_docs`` documents or more and that tell its grades apart best
 likely grade (the lowest of equals). Training is numpy on the driver, on the
 words of a bounded sample of labelled documents; scoring is one pass over all texts.
 
-A null or empty text has no words. Several labels of one document count as the highest; null
+Texts of any length are scored whole; a task keeps the distinct words of one text. A null or empty text has no words. Several labels of one document count as the highest; null
 labels are not used. Without labels every severity is the lowest grade (0). Repeated rows
 are scored alike; an empty table gives an empty result; other columns are not read.
 """

@@ -165,3 +165,57 @@ def test_language_sample_is_bounded(frame):
     windows, labels = l.training_windows(frame(rows), net)
     assert sorted(set(labels)) == ["a", "b"] or sorted(set(labels)) == ["a", "c"]
     assert max(labels.count(x) for x in set(labels)) <= 7 and len(windows) == len(labels)
+
+
+def test_severity_equals_single_documents(frame, edge):
+    """Each text on its own: features, cumulative links, expected grade."""
+    import math
+    import re
+
+    rules = t.PRODUCTION
+    bags = [["vile", "hateful", f"w{i % 7}"] if i % 3 == 2 else ["rude", f"w{i % 5}"] if i % 3 else ["kind", f"w{i % 4}"] for i in range(90)]
+    model = t.fit(bags, [float(i % 3) for i in range(90)], rules)
+    assert list(model.grades) == [0.0, 1.0, 2.0] and model.thresholds[0] < model.thresholds[1]
+    rows = [*edge, (20, "Vile, VILE hateful words"), (21, "rude w1 rudeness"), (22, "kind w0")]
+    got = t.graded(frame(rows, clash=True), model, rules).collect()
+    want = []
+    for key, text, *_ in rows:
+        words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        features = {f for w in words for f in (w, *("<" + w[:n] for n in rules.prefixes if len(w) > n))}
+        x = sum(model.weights.get(f, 0.0) for f in features)
+        below = [0.0, *(1 / (1 + math.exp(x - cut)) for cut in model.thresholds), 1.0]
+        chances = [below[k + 1] - below[k] for k in range(3)]
+        want.append((key, sum(k * c for k, c in enumerate(chances)), max(range(3), key=lambda k: (chances[k], -k))))
+    order = lambda r: (r[0] is None, r[0] or 0)
+    for a, b in zip(sorted(map(tuple, got), key=order), sorted(want, key=order)):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-9) and a[2] == b[2]
+    by = {r.doc_id: r.grade for r in got}
+    assert (by[20], by[21], by[22]) == (2.0, 1.0, 0.0)
+
+
+def test_forward_pass_equals_loops():
+    net = l.ByteNet(length=10, embedding=3, widths=(2, 3), filters=4)
+    rng = np.random.default_rng(4)
+    p = {"E": rng.normal(size=(256, 3)), "U": rng.normal(size=(8, 3)), "c": rng.normal(size=3)}
+    for w in net.widths:
+        p |= {f"W{w}": rng.normal(size=(w, 3, 4)), f"b{w}": rng.normal(size=4)}
+
+    def window(bytes_):
+        x = [*bytes_, *[0] * (net.length - len(bytes_))]
+        hidden = []
+        for w in net.widths:
+            for f in range(net.filters):
+                sums = [sum(float(p["E"][x[i + k]] @ p[f"W{w}"][k][:, f]) for k in range(w)) for i in range(net.length - w + 1)]
+                hidden.append(max(0.0, max(sums) + p[f"b{w}"][f]))
+        z = np.array([sum(h * p["U"][k][c] for k, h in enumerate(hidden)) + p["c"][c] for c in range(3)])
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    texts = [bytes(rng.integers(1, 256, n).tolist()) for n in (1, 5, 10, 11, 37)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    got = l.Scorer(p, net).texts(data, np.append(0, np.cumsum([len(x) for x in texts])))
+    step = net.length - max(net.widths) + 1
+    for text, probs in zip(texts, got):
+        starts = range(0, max(1, len(text) - (net.length - step)), step)
+        parts = [text[s : s + net.length] for s in starts]
+        want = sum(window(x) * max(1, len(x)) for x in parts) / sum(max(1, len(x)) for x in parts)
+        assert probs == pytest.approx(want, abs=1e-9)

@@ -41,3 +41,26 @@ def test_stages(spark, tmp_path):
 
 def test_names():
     assert [name for name, _ in p.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "secret scans", "packing"]
+
+
+def test_odd_rows_and_empty_tables_through_all_stages(spark, frame, edge, tmp_path):
+    good = [(100 + i, f"a clean text number {i} with more than ten words in it, all told; and line {i} ends", "en", "s0", 1) for i in range(30)]
+    # Two documents each: a third copy would be the line dedup's.
+    copies = [(200, good[3][1], "en", "s0", 1)] + [(None, good[4][1], "en", "s0", 1)] * 2
+    secret = [(300, f"{good[5][1]} and then password=abcdefghijkl for all who read on to the very end of it", "en", "s0", 1)]
+    for name, given in (("odd", [*edge, *good, *copies, *secret]), ("none", [])):
+        docs = frame(given, clash=True)
+        columns, schema = docs.columns, docs.dtypes
+        for k, (_, stage) in enumerate(p.STAGES):
+            out = f"{tmp_path}/{name}{k}"
+            stage(spark, docs, "").write.parquet(out)
+            docs = spark.read.parquet(out)
+            if k < len(p.STAGES) - 1:
+                assert docs.columns == columns and docs.dtypes == schema
+        if not given:
+            assert docs.count() == 0
+            continue
+        kept = {r.doc_id for r in docs.collect()}
+        assert {100 + i for i in range(30)} <= kept and not kept & {1, 2, 3, 200, None}
+        masked = spark.read.parquet(f"{tmp_path}/{name}3").filter("doc_id = 300").first()
+        assert "[SECRET]" in masked.text and masked.n_chars == len(masked.text)

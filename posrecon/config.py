@@ -14,6 +14,13 @@ UNIT_PRICE = "Unit Price"
 RULE_NAMES = ("store_validation", "item_validation", "compare_store_list", "file_review")
 DEFAULT_RECORD_TYPES = ("H", "D")
 
+# Key and measure columns of each level.
+LEVELS = {
+    "store": (["STORE_NUMBER"], ["Units", "Totalprice"]),
+    "item": (["UPC_CODE", "PRODUCT_DESCRIPTION"], ["UNITS_SOLD", "TOTAL_DOLLARS"]),
+    "upc": (["UPC"], ["UNITS_SOLD", "TOTAL_DOLLARS"]),
+}
+
 
 @dataclass(frozen=True)
 class LayoutField:
@@ -52,42 +59,32 @@ class ValidationRule:
     aggregation_columns: list[str] = field(default_factory=list)
 
 
-def _store_rule() -> ValidationRule:
-    return ValidationRule(
-        required_columns=["STORE_NUMBER", "Units", "Totalprice"],
-        group_by_columns=["STORE_NUMBER"],
-        aggregation_columns=["Units", "Totalprice"],
-    )
-
-
-def _item_rule() -> ValidationRule:
-    return ValidationRule(
-        required_columns=["UPC_CODE", "PRODUCT_DESCRIPTION", "UNITS_SOLD", "TOTAL_DOLLARS"],
-        group_by_columns=["UPC_CODE", "PRODUCT_DESCRIPTION"],
-        aggregation_columns=["UNITS_SOLD", "TOTAL_DOLLARS"],
-    )
+def _level_rule(level: str) -> ValidationRule:
+    keys, sums = LEVELS[level]
+    return ValidationRule(required_columns=[*keys, *sums], group_by_columns=list(keys), aggregation_columns=list(sums))
 
 
 def _store_list_rule() -> ValidationRule:
-    return ValidationRule(required_columns=["STORE_NUMBER"], group_by_columns=["STORE_NUMBER"])
+    keys, _ = LEVELS["store"]
+    return ValidationRule(required_columns=list(keys), group_by_columns=list(keys))
 
 
 def _review_rule() -> ValidationRule:
-    return ValidationRule(
-        required_columns=["STORE_NUMBER", "UPC_CODE", "UNITS_SOLD", "TOTAL_DOLLARS"]
-    )
+    """Stores and UPCs are counted, item measures summed; the review has groups of its own."""
+    return ValidationRule(required_columns=[*LEVELS["store"][0], LEVELS["item"][0][0], *LEVELS["item"][1]])
 
 
 @dataclass
 class ValidationConfig:
-    store_validation: ValidationRule = field(default_factory=_store_rule)
-    item_validation: ValidationRule = field(default_factory=_item_rule)
+    store_validation: ValidationRule = field(default_factory=lambda: _level_rule("store"))
+    item_validation: ValidationRule = field(default_factory=lambda: _level_rule("item"))
     compare_store_list: ValidationRule = field(default_factory=_store_list_rule)
     file_review: ValidationRule = field(default_factory=_review_rule)
 
 
 @dataclass
 class OutputConfig:
+    # Names and defaults of a saved configuration. Only ``format`` changes what is written.
     format: str = "csv"
     include_file_review: bool = True
     include_validation_details: bool = True

@@ -7,18 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posrecon.config import FormatConfig, ValidationRule
+from posrecon.config import LEVELS, FormatConfig, ValidationRule
 from posrecon.functions.measures import total
 from posrecon.operators.canonical import to_rows
 
-# Key and measure columns of each level.
-LEVELS = {
-    "store": (["STORE_NUMBER"], ["Units", "Totalprice"]),
-    "item": (["UPC_CODE", "PRODUCT_DESCRIPTION"], ["UNITS_SOLD", "TOTAL_DOLLARS"]),
-    "upc": (["UPC"], ["UNITS_SOLD", "TOTAL_DOLLARS"]),
-}
-
-
 def _level(level: str) -> tuple[list[str], list[str]]:
     if level not in LEVELS:
         raise ValueError(f"Unknown aggregation level: {level}")

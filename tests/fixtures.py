@@ -2,6 +2,7 @@
 
 from posrecon.config import FormatConfig, LayoutField
 
+# Sales rows of both sides, the layouts of the files, and the sums that all formats must give.
 ROWS = [
     ("S001", "100001", "Widget A", "10", "99.90"),
     ("S001", "100002", "Gadget B", "5", "49.95"),
@@ -54,8 +55,16 @@ def delimited_text(rows, sep=","):
     return "\n".join([sep.join(NAMES)] + [sep.join(r) for r in rows]) + "\n"
 
 
+def placed(layout, values, prefix=""):
+    """A line with each value at its field's place, numbers to the right."""
+    line = prefix
+    for f, v in zip(layout, values):
+        line = line.ljust(f.start) + (v.rjust(f.length) if f.type == "numeric" else v.ljust(f.length))
+    return line
+
+
 def fixed_text(rows):
-    return "".join(f"{s:<6}{u:>10}{d:<20}{n:>5}{p:>8}\n" for s, u, d, n, p in rows)
+    return "".join(placed(FIXED_LAYOUT, r) + "\n" for r in rows)
 
 
 def records_text(rows):
@@ -67,11 +76,11 @@ def hdr_text(rows):
     for r in rows:
         by_store.setdefault(r[0], []).append(r)
     for store, lines in by_store.items():
-        out.append(f"HDR01{store:<4}   2024-01-15")
-        out += [f"{u:<12}{d:<21}{n:>2}{p:>8}     " for _, u, d, n, p in lines]
+        out.append(placed(HEADER_LAYOUT, (store, "2024-01-15"), "HDR01"))
+        out += [placed(DETAIL_LAYOUT, r[1:]) + " " * 5 for r in lines]
         units = sum(int(x[3]) for x in lines)
         price = sum(float(x[4]) for x in lines)
-        out.append(f"TRL{units:>6}{price:>9.2f}")
+        out.append(placed(TRAILER_LAYOUT, (str(units), f"{price:.2f}"), "TRL"))
     return "\n".join(out) + "\n"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posrecon.functions.measures import (
@@ -18,6 +18,8 @@ from posrecon.operators.skew import lookup_by_key, rows_before
 from posrecon.shared import stored
 
 _STORE_MEASURES = ("Units", "Totalprice")
+#: Distinct values that one task ranks.
+FEW_VALUES = 200_000
 _ITEM_KEYS = ["UPC_CODE", "PRODUCT_DESCRIPTION"]
 
 
@@ -177,18 +179,22 @@ def rank_by_diff(
 
     Rows are first reduced to distinct values with counts, so that neither a value
     shared by most rows nor the global order ends up in one task. ``df`` is computed
-    once and stored.
+    once and stored, and so are its values; where these are few (``FEW_VALUES``, counted), one
+    window ranks them and they are sent to every task.
     """
     df = stored(df)
     c = F.col(f"`{rank_col}`")
-    values = df.where(c.isNotNull()).groupBy(c.alias("__value")).agg(
-        F.count(F.lit(1)).alias("__n")
+    values = stored(
+        df.where(c.isNotNull()).groupBy(c.alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
     )
-    before = rows_before(values, "__value", "__n", ascending)
-    ranks = before.withColumn(
-        rank_name, F.floor(F.col("__before") + (F.col("__n") + 1) / 2).cast("int")
-    )
-    ranks = stored(ranks)
+    rank = F.floor(F.col("__before") + (F.col("__n") + 1) / 2).cast("int").alias(rank_name)
+    if values.count() <= FEW_VALUES:
+        order = F.col("__value").asc() if ascending else F.col("__value").desc()
+        above = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        before = values.withColumn("__before", F.coalesce(F.sum("__n").over(above), F.lit(0)))
+        ranks = before.select("__value", rank)
+        return df.join(F.broadcast(ranks), c == F.col("__value"), "left").drop("__value")
+    ranks = stored(rows_before(values, "__value", "__n", ascending).select("__value", "__n", rank))
     keyed = df.withColumn("__value", c)
     return lookup_by_key(keyed, ranks, "__value", rank_name, "__n").drop("__value")
 

@@ -175,8 +175,10 @@ def _average_ranks(values, ascending):
     return out
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
 @pytest.mark.parametrize("ascending", [True, False])
-def test_rank(spark, ascending):
+def test_rank(spark, monkeypatch, ascending, few):
+    monkeypatch.setattr(cmp, "FEW_VALUES", few)
     rng = random.Random(3)
     data = [None if i % 17 == 0 else (0.0 if i % 3 == 0 else round(rng.uniform(-9, 9), 1)) for i in range(600)]
     df = spark.createDataFrame(list(enumerate(data)), "id int, `Units_Diff_%` double")

@@ -74,3 +74,44 @@ def test_tree_leaves_subtrees_out():
 
     tree.search(points[3] + 0.01, 1, np.inf, 1.0, found)
     assert best[0] == n.distances(points, points[3] + 0.01).min() and len(seen) < 600
+
+
+def clustered(n_clusters, each, size=16):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 10, (n_clusters, size))
+    return [(i, (centres[i % n_clusters] + rng.normal(0, 1, size)).astype(np.float32).tolist(), 0) for i in range(n_clusters * each)]
+
+
+def test_work_on_clusters_is_a_small_share_and_answers_are_exact(spark):
+    # Nested: 6,000 vectors, four pivots a cell at most, shards of 200 or less.
+    search = n.Search(vectors_per_pivot=100, fan=4, shard_rows=200, chunk_rows=500, block_queries=20, leaf=16)
+    rows = clustered(60, 100)
+    df = spark.createDataFrame(rows, SCHEMA)
+    is_query = F.col("vec_id") % 100 == 0
+    index = n.build_index(df, is_query, search)
+    work = n.search_work(index, search).first()
+    assert work["queries"] == 60 and work["vectors"] == 6000 and work["shards"] >= 30
+    assert work["opened"] < 0.3 * work["queries"] * work["shards"]
+    assert work["measured"] < 0.15 * work["queries"] * work["vectors"]
+    got = {tuple(r) for r in n.nearest(df, is_query, search, index).collect()}
+    points, ids = np.array([v for _, v, _ in rows]).astype(np.float32).astype(float), np.arange(6000)
+    want = set()
+    for q in range(0, 6000, 100):
+        d = n.distances(points, points[q])
+        best = [i for i in np.lexsort((ids, d)) if i != q][:10]
+        want |= {(q, r + 1, int(i), float(d[i])) for r, i in enumerate(best)}
+    assert got == want
+
+
+def test_a_larger_factor_measures_less(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(0, 1, 8).astype(np.float32).tolist(), 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    is_query = F.col("vec_id") % 50 == 0
+    how = {"vectors_per_pivot": 100, "shard_rows": 150, "leaf": 8}
+    exact, loose = n.Search(**how), n.Search(relax=1.5, **how)
+    index = n.build_index(df, is_query, exact)
+    measured = [n.search_work(index, s).first()["measured"] for s in (exact, loose)]
+    found = [{tuple(r)[::2] for r in n.nearest(df, is_query, s, index).collect()} for s in (exact, loose)]
+    assert measured[1] < 0.8 * measured[0]
+    assert len(found[0] & found[1]) >= 0.9 * len(found[0])

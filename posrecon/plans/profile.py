@@ -1,9 +1,9 @@
 """Profile of a landing folder: one row per file with its likely format.
 
 All lines of a file decide. A first scan counts what the lines look like per (file, read
-block, prefix or record letter), a second one the kinds of values per (file, column) once the
-delimiter is known. Only counts and the first line of each file, which has the names, are
-shuffled.
+block, prefix or record letter), a second one takes the first line of each file, which has the names,
+and a third one counts the kinds of values per (file, column) once the delimiter is known. Only counts
+and first lines are shuffled.
 """
 
 from __future__ import annotations
@@ -39,16 +39,21 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
 
 
 def _counts(lines: DataFrame) -> DataFrame:
-    """Counts per (file, block, prefix, record letter, whether the line starts with it)."""
-    text, bare = F.col(_TEXT), strip(F.col(_TEXT))
+    """Counts per (file, block, prefix, record letter, whether the line starts with it).
+
+    All results are numbers and flags, so the groups are hashed and no line is sorted.
+    """
+    text, bare = F.col(_TEXT), F.col("__bare")
     found = lambda pattern: F.nullif(F.regexp_extract(bare, pattern, 1), F.lit(""))
     ascii_line = is_ascii(F.col(VALUE))
     valid = F.is_valid_utf8(F.encode(F.col(VALUE), "ISO-8859-1").cast("string"))
-    keyed = lines.withColumns({"prefix": found(_PREFIX), "letter": found(_RECORD)}).withColumn(
+    quoted = F.contains(text, F.lit('"'))
+    counted = {f"__d{i}": F.when(quoted, delimiter_count(text, d)).otherwise(_times(text, d)) for i, d in enumerate(DELIMITERS)}
+    keyed = lines.withColumns({"__bare": strip(text), **counted}).withColumns({"prefix": found(_PREFIX), "letter": found(_RECORD)}).withColumn(
         "flush", F.coalesce("prefix", "letter").isNotNull() & text.rlike(r"^\p{L}")
     )
-    marks = [F.sum(delimiter_count(text, d)).alias(f"s{i}") for i, d in enumerate(DELIMITERS)]
-    lines_with = [F.count_if(delimiter_count(text, d) > 0).alias(f"l{i}") for i, d in enumerate(DELIMITERS)]
+    marks = [F.sum(c).alias(f"s{i}") for i, c in enumerate(counted)]
+    lines_with = [F.count_if(F.col(c) > 0).alias(f"l{i}") for i, c in enumerate(counted)]
     return keyed.groupBy(FILE, FILE_ID, BLOCK, "prefix", "letter", "flush").agg(
         *marks,
         *lines_with,
@@ -57,11 +62,23 @@ def _counts(lines: DataFrame) -> DataFrame:
         F.count_if(F.col("prefix").isNull() & bare.rlike(r"^\p{Nd}")).alias("digit_led"),
         F.bool_and(ascii_line).alias("ascii"),
         F.bool_and(ascii_line | valid).alias("utf8"),
-        F.min(F.struct(F.col(BLOCK).alias("b"), F.col(SEQ).alias("s"), text.alias("t"))).alias("first"),
+        F.min(SEQ).alias("first"),
     )
 
 
-def _file_format(counts: DataFrame) -> DataFrame:
+def _times(text: Column, delimiter: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(delimiter), F.lit("")))
+
+
+def _first_lines(lines: DataFrame, counts: DataFrame) -> DataFrame:
+    """File and the text of its first line, found by its place."""
+    places = counts.groupBy(FILE, FILE_ID).agg(F.min(F.struct(F.col(BLOCK), F.col("first").alias(SEQ))).alias("p"))
+    places = stored(places.select(FILE_ID, "p.*", F.lit(True).alias("__is_first")))
+    placed = with_index(lines.select(FILE, FILE_ID, BLOCK, SEQ, _TEXT), places, [FILE_ID, BLOCK, SEQ], places.count())
+    return placed.where("__is_first").select(FILE, F.col(_TEXT).alias("names_line"))
+
+
+def _file_format(counts: DataFrame, first_lines: DataFrame) -> DataFrame:
     sums = [f"{c}{i}" for c in "sl" for i in range(len(DELIMITERS))]
     facts = counts.groupBy(FILE).agg(
         *(F.sum(c).alias(c) for c in (*sums, "n", "continued", "digit_led")),
@@ -71,8 +88,7 @@ def _file_format(counts: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set(F.when(F.col("flush"), F.col("letter")))).alias("record_types"),
         F.bool_and("ascii").alias("ascii"),
         F.bool_and("utf8").alias("utf8"),
-        F.min("first")["t"].alias("names_line"),
-    ).withColumn("first_line", strip(F.col("names_line")))
+    ).join(first_lines, FILE).withColumn("first_line", strip(F.col("names_line")))
     # The longest prefix of those that many lines have or the first line has.
     per_prefix = counts.filter(F.col("flush") & F.col("prefix").isNotNull()).groupBy(FILE, "prefix").agg(F.sum("n").alias("k"))
     lead = F.regexp_extract("names_line", _PREFIX, 1)
@@ -159,11 +175,31 @@ def _line_cells(text: Column) -> Column:
         F.exists("record_types", lambda t: F.startswith(text, t)),
         F.when(F.startswith(after, F.lit("|")), F.substr(after, F.lit(2))).otherwise(after),
     )
-    return F.when((F.col("file_type") == "delimited") & (text != ""), _cells(text, F.col("delimiter"))).when(
+    plain = F.lit(None).cast("array<string>")
+    for d in DELIMITERS:
+        plain = F.when(F.col("delimiter") == d, split_literal(text, d)).otherwise(plain)
+    cells = F.when(F.contains(text, F.lit('"')), _cells(text, F.col("delimiter"))).otherwise(plain)
+    return F.when((F.col("file_type") == "delimited") & (text != ""), cells).when(
         (F.col("file_type") == "multiline") & (body != ""), split_literal(body, "|")
     )
 
 
+# What a cell holds, and the number of neighbouring cells counted together.
+_EMPTY, _INT, _NUMBER, _BOOL, _OTHER = range(5)
+_NEAR = 5
+
+
+def _kind(v: Column) -> Column:
+    is_bool = F.length(v).between(4, 6) & v.rlike(r"(?i)^(true|false)$")
+    return (
+        F.when(F.coalesce(v, F.lit("")) == "", _EMPTY)
+        .when(v.rlike(r"^\s*-?\d+$"), _INT)
+        .when(v.rlike(r"^[-+]?(\d*\.\d+([eE][-+]?\d+)?|\d+[eE][-+]?\d+|\d+\.|\d+)$"), _NUMBER)
+        .when(is_bool, _BOOL)
+        .otherwise(_OTHER)
+    )
+
+
 def _with_columns(lines: DataFrame, files: DataFrame, formats: DataFrame) -> DataFrame:
     """Add column names and the types of all values (delimited and record files).
 
@@ -175,22 +211,28 @@ def _with_columns(lines: DataFrame, files: DataFrame, formats: DataFrame) -> Dat
         lines.select(FILE_ID, _TEXT), known.select(FILE_ID, "file_type", "delimiter", "record_types"), [FILE_ID], files.count()
     )
     delimited = F.col("file_type") == "delimited"
-    every = placed.select(FILE_ID, F.lit(1).alias("sign"), F.posexplode(_line_cells(F.col(_TEXT))).alias("pos", "v"))
-    names = known.filter(delimited).select(
-        FILE_ID, F.lit(-1).alias("sign"), F.posexplode(_line_cells(F.col("names_line"))).alias("pos", "v")
-    )
-    is_name = F.col("sign") < 0
-    data = F.nullif(F.col("v"), F.lit(""))
-    integer = data.rlike(r"^\s*-?\d+$")
-    number = data.rlike(r"^[-+]?(\d*\.\d+([eE][-+]?\d+)?|\d+[eE][-+]?\d+|\d+\.|\d+)$")
-    logical = data.rlike(r"(?i)^(true|false)$")
-    times = lambda c: F.sum(F.when(c, F.col("sign")).otherwise(0))
+    # Lines are counted by the kinds of neighbouring cells, a few groups per file, before anything is a row per cell.
+    # Exploding an array of one has each line cut once; a plain column would be worked out again wherever it is used.
+    found = F.transform(_line_cells(F.col(_TEXT)), lambda v: F.when(delimited, _kind(v)).otherwise(_EMPTY))
+    kinds = placed.select(FILE_ID, F.explode(F.array(found)).alias("kinds"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("kinds") - 1) / _NEAR).cast("int")), lambda i: F.slice("kinds", i * _NEAR + 1, _NEAR))
+    counted = kinds.where(F.size("kinds") > 0).select(FILE_ID, F.posexplode(pieces).alias("piece", "kinds")).groupBy(FILE_ID, "piece", "kinds").agg(
+        F.count(F.lit(1)).alias("times")
+    )
+    every = counted.select(FILE_ID, "piece", "times", F.posexplode("kinds").alias("pos", "of")).select(
+        FILE_ID, (F.col("piece") * _NEAR + F.col("pos")).alias("pos"), "of", "times", F.lit(None).cast("string").alias("name")
+    )
+    names = known.filter(delimited).select(FILE_ID, F.posexplode(_line_cells(F.col("names_line"))).alias("pos", "name")).select(
+        FILE_ID, "pos", _kind(F.col("name")).alias("of"), F.lit(-1).cast("long").alias("times"), "name"
+    )
+    times = lambda c: F.sum(F.when(c, F.col("times")).otherwise(0))
+    of = F.col("of")
     per_column = every.unionByName(names).groupBy(FILE_ID, "pos").agg(
-        F.max(F.when(is_name, F.col("v"))).alias("name"),
-        times(data.isNotNull()).alias("k"),
-        times(integer).alias("ints"),
-        times(integer | number).alias("numbers"),
-        times(logical).alias("booleans"),
+        F.max("name").alias("name"),
+        times(of != _EMPTY).alias("k"),
+        times(of == _INT).alias("ints"),
+        times((of == _INT) | (of == _NUMBER)).alias("numbers"),
+        times(of == _BOOL).alias("booleans"),
     ).join(known.select(FILE_ID, FILE, "file_type"), FILE_ID)
     kind = (
         F.when(~delimited | (F.col("k") == 0), "String")
@@ -215,7 +257,7 @@ def profile_files(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     """Detected format, encoding, columns, types and suggested mapping per file."""
     lines = _lines(spark, paths)
     counts = stored(_counts(lines))
-    formats = stored(_file_format(counts))
+    formats = stored(_file_format(counts, stored(_first_lines(lines, counts))))
     files = counts.select(FILE, FILE_ID).distinct()
     return suggest_mapping(_with_columns(lines, files, formats), "columns")
 

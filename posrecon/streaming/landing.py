@@ -34,10 +34,10 @@ def stream_into(spark: SparkSession, folder: str, config: FormatConfig, table: S
 
     No state is kept in the stream: a batch is summed, and only the buckets it touches are rewritten.
     """
-    rows = stream_rows(spark, folder, config, with_file=True, max_files=max_files)
+    rows = to_rows(stream_rows(spark, folder, config, with_file=True, max_files=max_files), table.level, config)
 
     def add(batch: DataFrame, _: int) -> None:
-        table.add(to_rows(batch, table.level, config))
+        table.add(batch)
 
     return rows.writeStream.foreachBatch(add)
 

@@ -10,6 +10,7 @@ from posrecon.sources import preview
 from posrecon.sources.lines import FILE
 from posrecon.sources.preview import preview_raw, preview_records, preview_transactions
 from posrecon.streaming.landing import stream_into
+from posrecon.streaming import summary_table
 from posrecon.streaming.summary_table import SummaryTable
 from tests.fixtures import FORMATS, NAMES
 from tests.test_formats import DTL, HDR
@@ -69,6 +70,68 @@ def test_stream_into_a_growing_table(spark, tmp_path):
     assert run()["S2"] == (8.0, 14.0)
 
 
+def test_a_batch_costs_few_jobs_and_opens_few_logs(spark, tmp_path):
+    table = SummaryTable(spark, str(tmp_path / "t"), "item", buckets=4)
+    batches = [sales(spark, [(f"f{i}", [(f"u{k}", i + 1) for k in range(20)])]) for i in range(17)]
+    for batch in batches[:16]:
+        table.add(batch)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = []
+    for batch in (batches[16], batches[3]):
+        group = f"add-{len(jobs)}-{tmp_path}"
+        spark.sparkContext.setJobGroup(group, "")
+        table.add(batch)
+        jobs.append(len(tracker.getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("", "")
+    # 18 jobs for new files and 9 for known ones before, and a log folder for each of the 17 versions.
+    assert jobs[0] <= 9 and jobs[1] <= 6, jobs
+    assert len(table.files().inputFiles()) <= 3
+    assert {r[1] for r in table.files().collect()} == set(range(1, 18))
+    assert Counter(map(tuple, table.read().collect())) == {(f"u{k}", "d", 153.0, 38.25): 1 for k in range(20)}
+
+
+def test_logs_are_read_in_blocks_or_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(summary_table, "_BLOCK", 2)
+    path = str(tmp_path / "t")
+    table, other = SummaryTable(spark, path, "upc", buckets=3), SummaryTable(spark, path, "upc", buckets=3)
+    upcs = lambda f, u, n: sales(spark, [(f, [(u, n)])]).select(FILE, F.col("UPC_CODE").alias("UPC"), "UNITS_SOLD", "TOTAL_DOLLARS")
+    for i in range(7):
+        # Two writers take turns, and each sees what the other one wrote.
+        (table, other)[i % 2].add(upcs(f"f{i}", f"u{i % 2}", 1))
+        assert (table, other)[i % 2].add(upcs(f"f{max(0, i - 1)}", "u0", 100)) == []
+    table._look()
+    assert table._parts == [(0, 4), (4, 2), (6, 1)]
+    ledger = {(f"f{i}", i + 1) for i in range(7)}
+
+    def check(t, parts):
+        assert {tuple(r) for r in t.files().collect()} == ledger and t.versions() == table.versions()
+        assert t._parts == parts
+        assert sorted(map(tuple, t.read().collect())) == [("u0", 4.0, 1.0), ("u1", 3.0, 0.75)]
+
+    check(SummaryTable(spark, path, "upc", buckets=3), [(0, 4), (4, 2), (6, 1)])
+    # What an attempt left behind that failed before its commit, and a block that was not written to its end.
+    (tmp_path / "t/log/version=8/_temporary").mkdir(parents=True)
+    (tmp_path / "t/log-blocks/1-4/_SUCCESS").unlink()
+    check(SummaryTable(spark, path, "upc", buckets=3), [(0, 2), (2, 2), (4, 2), (6, 1)])
+    ledger.add(("f7", 8))
+    last = SummaryTable(spark, path, "upc", buckets=3)
+    assert last.add(upcs("f7", "u2", 0)) and last.add(upcs("f0", "u2", 5)) == []
+    assert {tuple(r) for r in last.files().collect()} == ledger and last._parts == [(0, 8)]
+
+
+@pytest.mark.parametrize("few", [1000, 1])
+def test_known_files_among_new_ones(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(summary_table, "_FEW", few)
+    table = SummaryTable(spark, str(tmp_path / "t"), "item", buckets=16, exact=2)
+    table.add(sales(spark, [("a'b %20\"c", [("u", 1), (None, 4)]), ("d", [("v", 2)])]))
+    mixed = sales(spark, [("d", [("v", 2), ("only here", 9)]), ("e", [("u", 3), (None, 4)]), ("f", [("u", 5)]), (None, [("u", 50)])])
+    wrote = table.add(mixed)
+    assert len(wrote) == len([v for v in table.versions().values() if v == 2]) and 0 < len(wrote) <= 2
+    assert Counter(map(tuple, table.read().collect())) == {("u", "d", 9.0, 2.25): 1, (None, "d", 8.0, 2.0): 1, ("v", "d", 2.0, 0.5): 1}
+    assert {tuple(r) for r in table.files().collect()} == {("a'b %20\"c", 1), ("d", 1), ("e", 2), ("f", 2)}
+    assert table.add(mixed.where(F.col(FILE).isNotNull())) == []
+
+
 def test_previews_read_on_until_rows_are_complete(spark, tmp_path, monkeypatch):
     (tmp_path / "b.txt").write_text("never shown\n")
     (tmp_path / "a.txt").write_text("")
